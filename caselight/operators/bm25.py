@@ -30,9 +30,14 @@ def search_text():
         " ", "subject", "description", "resolution", "error_logs", F.array_join("tags", " "))
 
 
-def tokenised(docs: DataFrame) -> DataFrame:
+def search_texts(docs: DataFrame) -> DataFrame:
+    """(ticket_id, category, text): what the index reads."""
     docs = with_columns(docs, ["subject", "description", "resolution", "error_logs", "tags", "category"])
-    return docs.select("ticket_id", "category", tokens(search_text()).alias("tokens"))
+    return docs.select("ticket_id", "category", search_text().alias("text"))
+
+
+def tokenised(texts: DataFrame) -> DataFrame:
+    return texts.select("ticket_id", "category", tokens("text").alias("tokens"))
 
 
 def postings(tokenised_docs: DataFrame) -> DataFrame:
@@ -45,9 +50,10 @@ def postings(tokenised_docs: DataFrame) -> DataFrame:
 
 
 def corpus_terms(post: DataFrame, n_docs: int) -> DataFrame:
-    """(term, df, idf): unfloored inverse document frequency."""
+    """(term, df, tokens, idf): unfloored inverse document frequency."""
     n = F.lit(float(n_docs))
-    return post.groupBy("term").agg(F.count("*").alias("df")).withColumn(
+    return post.groupBy("term").agg(
+        F.count("*").alias("df"), F.sum("tf").alias("tokens")).withColumn(
         "idf", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
 
 
@@ -78,19 +84,18 @@ def build_index(docs: DataFrame, buckets: int | None = None) -> Bm25Index:
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     base, name = shared_dir(spark, "bm25"), f"caselight_postings_{uuid.uuid4().hex[:12]}"
-    by_doc = tokenised(docs).repartition(buckets, "ticket_id")
-    (postings(by_doc).write.bucketBy(buckets, "ticket_id").option("path", f"{base}/postings")
-     .format("parquet").saveAsTable(name))
-    (tokenised(docs).groupBy("category")
-     .agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("len"))
-     .write.parquet(f"{base}/categories"))
-    totals = spark.read.parquet(f"{base}/categories").agg(
-        F.sum("n").alias("n"), F.sum("len").alias("len")).first()
-    n = totals.n or 0
+    # the raw texts are spread, which is less to shuffle than their tokens; tokenising
+    # and counting then stay in the task that holds the ticket
+    by_doc = search_texts(docs).repartition(buckets, "ticket_id")
+    (postings(tokenised(by_doc)).write.bucketBy(buckets, "ticket_id")
+     .option("path", f"{base}/postings").format("parquet").saveAsTable(name))
+    docs.groupBy("category").agg(F.count("*").alias("n")).write.parquet(f"{base}/categories")
+    n = spark.read.parquet(f"{base}/categories").agg(F.sum("n")).first()[0] or 0
     corpus_terms(spark.table(name), n).write.parquet(f"{base}/terms")
-    mean = spark.read.parquet(f"{base}/terms").agg(F.avg("idf").alias("m")).first().m
+    terms = spark.read.parquet(f"{base}/terms").agg(
+        F.avg("idf").alias("mean"), F.sum("tokens").alias("tokens")).first()
     return Bm25Index(name, f"{base}/terms", f"{base}/categories", n,
-                     (totals.len or 0) / n if n else 0.0, mean or 0.0)
+                     (terms.tokens or 0) / n if n else 0.0, terms["mean"] or 0.0)
 
 
 def drop_index(spark: SparkSession, index: Bm25Index) -> None:

@@ -48,11 +48,12 @@ def _long(df: DataFrame, features: list[str]) -> DataFrame:
 
 def psi_bins(reference: DataFrame, current: DataFrame, features: list[str],
              n_bins: int = 10, open_ended: bool = False) -> DataFrame:
-    """(feature, bin, ref_count, cur_count, n_ref, n_cur) over the reference deciles.
+    """(feature, n_ref, n_cur, bins array<struct<ref, cur>>) over the reference deciles.
 
     All features of both sides are counted in one aggregate against a table of edges
-    with one row per feature. Bins are [a, b), the last one closed; values outside the
-    reference range are dropped unless ``open_ended``. Empty bins are kept.
+    with one row per feature; a feature's bins then fit in one row. Bins are [a, b), the
+    last one closed; values outside the reference range are dropped unless
+    ``open_ended``. Empty bins are kept.
     """
     ref, cur = _long(reference, features), _long(current, features)
     probs = [i / n_bins for i in range(n_bins + 1)]
@@ -62,28 +63,30 @@ def psi_bins(reference: DataFrame, current: DataFrame, features: list[str],
         inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
         edges = edges.withColumn("edges", F.concat(
             F.array(F.lit(float("-inf"))), inner, F.array(F.lit(float("inf")))))
-    # one row per listed feature: bounded by the argument itself
-    edges = edges.withColumn("bins", F.size("edges") - 1)
-    small = F.broadcast(edges)
+    edges = broadcast_if_small(edges.withColumn("last", F.size("edges") - 1))
 
     both = ref.withColumn("is_ref", F.lit(True)).unionByName(cur.withColumn("is_ref", F.lit(False)))
     position = sum(
         (F.coalesce((F.get("edges", F.lit(i)) <= F.col("value")).cast("int"), F.lit(0))
          for i in range(n_bins + 1)), F.lit(0))
-    inside = F.col("value").between(F.get("edges", F.lit(0)), F.get("edges", F.col("bins")))
+    inside = F.col("value").between(F.get("edges", F.lit(0)), F.get("edges", F.col("last")))
     counts = (
-        both.join(small, "feature")
-        .withColumn("bin", F.when(inside & (F.col("bins") > 0), F.least(position, F.col("bins"))))
-        .groupBy("feature", "bin").agg(
-            F.count_if("is_ref").alias("ref_count"), F.count_if(~F.col("is_ref")).alias("cur_count"))
+        both.join(edges, "feature")
+        .withColumn("bin", F.when(inside & (F.col("last") > 0), F.least(position, F.col("last")))
+                    .otherwise(0))
+        .groupBy("feature", "last", "bin").agg(
+            F.count_if("is_ref").alias("ref"), F.count_if(~F.col("is_ref")).alias("cur"))
     )
-    totals = counts.groupBy("feature").agg(
-        F.sum("ref_count").alias("n_ref"), F.sum("cur_count").alias("n_cur"))
-    grid = edges.filter(F.col("bins") > 0).select(
-        "feature", F.explode(F.sequence(F.lit(1), F.col("bins"))).alias("bin"))
-    filled = grid.join(counts.filter(F.col("bin").isNotNull()), ["feature", "bin"], "left").na.fill(
-        0, ["ref_count", "cur_count"])
-    return totals.join(filled, "feature", "left")
+    packed = counts.groupBy("feature", "last").agg(
+        F.sum("ref").alias("n_ref"), F.sum("cur").alias("n_cur"),
+        F.map_from_entries(F.collect_list(F.struct("bin", F.struct("ref", "cur")))).alias("m"))
+    zero = F.struct(F.lit(0).cast("long").alias("ref"), F.lit(0).cast("long").alias("cur"))
+    filled = F.transform(
+        F.sequence(F.lit(1), F.col("last")),
+        lambda i: F.coalesce(F.try_element_at("m", i), zero))
+    return packed.select(
+        "feature", "n_ref", "n_cur",
+        F.when(F.col("last") > 0, filled).otherwise(F.slice(F.array(zero), 1, 0)).alias("bins"))
 
 
 def psi_table(reference: DataFrame, current: DataFrame, features: list[str] | None = None,
@@ -91,17 +94,18 @@ def psi_table(reference: DataFrame, current: DataFrame, features: list[str] | No
     """(feature, psi, n_ref, n_cur); a constant reference has no bins and psi 0."""
     features = features or [
         f for f in DRIFT_FEATURES if f in reference.columns and f in current.columns]
-    bins = psi_bins(reference, current, features, n_bins, open_ended)
-    sums = bins.filter(F.col("bin").isNotNull()).groupBy("feature").agg(
-        F.sum("ref_count").alias("r"), F.sum("cur_count").alias("c"), F.count("*").alias("k"))
-    share = lambda n, total: (F.col(n) + PSI_EPS) / (F.col(total) + PSI_EPS * F.col("k"))
-    p, q = share("ref_count", "r"), share("cur_count", "c")
-    return (
-        bins.join(sums, "feature", "left")
-        .groupBy("feature", "n_ref", "n_cur")
-        .agg(F.coalesce(F.sum((q - p) * F.log(q / p)), F.lit(0.0)).alias("psi"))
-        .select("feature", "psi", "n_ref", "n_cur")
-    )
+    rows = psi_bins(reference, current, features, n_bins, open_ended)
+    total = lambda side: F.aggregate(
+        "bins", F.lit(0).cast("long"), lambda acc, b: acc + b[side]) + PSI_EPS * F.size("bins")
+    rows = rows.withColumns({"ref_all": total("ref"), "cur_all": total("cur")})
+
+    def term(b: Column) -> Column:
+        p = (b["ref"] + PSI_EPS) / F.col("ref_all")
+        q = (b["cur"] + PSI_EPS) / F.col("cur_all")
+        return (q - p) * F.log(q / p)
+
+    psi = F.aggregate("bins", F.lit(0.0), lambda acc, b: acc + term(b))
+    return rows.select("feature", psi.alias("psi"), "n_ref", "n_cur")
 
 
 def feature_drift(reference: DataFrame, current: DataFrame,

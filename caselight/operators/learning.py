@@ -41,10 +41,15 @@ def structured(df: DataFrame, categorical, numeric, boolean) -> DataFrame:
     })
 
 
+def scoring_inputs(tickets: DataFrame) -> DataFrame:
+    """The tickets with the model's text and structured inputs added."""
+    df = structured(tickets, CLASSIFIER_CATEGORICAL, CLASSIFIER_NUMERIC, CLASSIFIER_BOOLEAN)
+    return with_columns(df, ["subject", "description"]).withColumn("_text", classifier_text())
+
+
 def classifier_inputs(tickets: DataFrame) -> DataFrame:
     """Text and structured columns shared by the four tasks; persist it once."""
-    df = structured(tickets, CLASSIFIER_CATEGORICAL, CLASSIFIER_NUMERIC, CLASSIFIER_BOOLEAN)
-    df = with_columns(df, CLASSIFIER_TASKS.values()).withColumn("_text", classifier_text())
+    df = with_columns(scoring_inputs(tickets), CLASSIFIER_TASKS.values())
     keep = [f"{c}_cat" for c in CLASSIFIER_CATEGORICAL]
     keep += [f"{c}_num" for c in CLASSIFIER_NUMERIC + CLASSIFIER_BOOLEAN]
     labels = {

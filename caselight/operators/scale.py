@@ -85,18 +85,17 @@ def quantiles(
         ks, vals = ["_k0"], vals.withColumn("_k0", F.lit(0))
 
     by_bucket = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
-    pos = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
-    ranks = F.array_distinct(F.array(*[f(p).cast("long") for p in pos for f in (F.floor, F.ceil)]))
+    wanted = F.array(*[F.lit(float(p)) for p in probs])
+    ends = lambda p: [f(p * (F.col("_total") - 1)).cast("long") for f in (F.floor, F.ceil)]
+    ranks = F.flatten(F.transform(wanted, lambda p: F.array(*ends(p))))
     targets = (
         vals.groupBy(*ks, "_b").agg(F.count("*").alias("_c"))
         .withColumn("_cum", F.sum("_c").over(by_bucket))
         .withColumn("_total", F.sum("_c").over(Window.partitionBy(*ks)))
         .withColumn("_before", F.col("_cum") - F.col("_c"))
-        .withColumn("_want", F.filter(
-            ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_cum"))))
-        .filter(F.size("_want") > 0)
+        .filter(F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_cum"))))
         .select(*[F.col(k).alias(f"_t{k}") for k in ks], F.col("_b").alias("_tb"),
-                "_before", "_total", "_want")
+                "_before", "_total")
     )
     cond = same([F.col(k) for k in ks], [F.col(f"_t{k}") for k in ks])
     by_value = (
@@ -105,10 +104,10 @@ def quantiles(
     upto = F.col("_before") + F.sum("_c").over(by_value)
     picked = (
         vals.join(broadcast_if_small(targets), cond & (F.col("_b") == F.col("_tb")))
-        .groupBy(*ks, "_b", "_before", "_total", "_want", "_v").agg(F.count("*").alias("_c"))
+        .groupBy(*ks, "_b", "_before", "_total", "_v").agg(F.count("*").alias("_c"))
         .withColumn("_upto", upto)
         .withColumn("_hit", F.filter(
-            "_want",
+            F.array_distinct(ranks),
             lambda r: (r >= F.col("_upto") - F.col("_c")) & (r < F.col("_upto"))))
         .filter(F.size("_hit") > 0)
         .groupBy(*ks, "_total")
@@ -117,13 +116,13 @@ def quantiles(
     )
 
     def interpolated(p: Column) -> Column:
-        lo = F.element_at("_m", F.floor(p).cast("long"))
-        hi = F.element_at("_m", F.ceil(p).cast("long"))
-        return lo + (hi - lo) * (p - F.floor(p))
+        at = p * (F.col("_total") - 1)
+        lo, hi = (F.element_at("_m", r) for r in ends(p))
+        return lo + (hi - lo) * (at - F.floor(at))
 
     return picked.select(
         *[F.col(a).alias(k) for k, a in zip(keys, ks)],
-        F.array(*[interpolated(p) for p in pos]).alias(name),
+        F.transform(wanted, interpolated).alias(name),
     )
 
 

@@ -806,14 +806,8 @@ def stream_score(spark, d):
     def model(trees: int, depth: int):
         fitted = learning.fit_task(train, "priority", trees=trees, depth=depth)
 
-        def prepare(df: DataFrame) -> DataFrame:
-            x = learning.structured(df, learning.CLASSIFIER_CATEGORICAL, learning.CLASSIFIER_NUMERIC,
-                                    learning.CLASSIFIER_BOOLEAN)
-            return relabel.with_columns(x, ["subject", "description"]).withColumn(
-                "_text", tx.classifier_text())
-
         best = F.array_max(learning.vector_to_array("_prob_priority"))
-        return jobs.model_score(prepare, [feats, fitted], "pred_priority", best)
+        return jobs.model_score(learning.scoring_inputs, [feats, fitted], "pred_priority", best)
 
     snapshot = F.create_map(F.lit("product"), "product", F.lit("priority"), "priority")
     log = jobs.scored(_event_stream(spark, d), model(10, 6), "forest", "1", snapshot, model(5, 3))

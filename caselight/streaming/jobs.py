@@ -29,8 +29,14 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 def open_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A Parquet folder or file as a stream, with the schema of its files."""
+    """A Parquet folder or single file as a stream, with the schema of its files.
+
+    The path is given as a pattern that matches only itself, because a stream takes a
+    plain path for a folder.
+    """
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    path = path.rstrip("/")
+    path = f"{path[:-1]}[{path[-1]}]"
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
