@@ -38,6 +38,11 @@ REPEATED_PUNCTUATION = r"([!?.=\-]){3,}"
 MANY_NEWLINES = r"\n{3,}"
 MANY_SPACES = r" {2,}"
 
+# parts that every match of the two searching patterns contains; letters with more
+# than one upper-case form are left out, so that testing the lower-cased text is safe
+REPLY_PARTS = ["wrote", "from", ">", "original", "forwarded"]
+CLOSING_PARTS = ["regard", "than", "cheer", "incerely", "forward", "advi", "appreciate"]
+
 # ---------------------------------------------------------------------------------
 
 _TRIM = r"\A\s+|\s+\z"
@@ -77,10 +82,22 @@ def first_line(c: str | Column) -> Column:
     return F.substring_index(F.col(c) if isinstance(c, str) else c, "\n", 1)
 
 
+def _where(c: Column, parts: list[str], changed: Column) -> Column:
+    """Run an expensive pattern only on texts that can match it."""
+    low, some = F.lower(c), F.lit(False)
+    for p in parts:
+        some = some | F.contains(low, F.lit(p))
+    return F.when(some, changed).otherwise(c)
+
+
 def _cut_at_reply(c: Column) -> Column:
     """Text before the first quoted reply, trimmed if there is one."""
     parts = F.split(c, _uni(QUOTED_REPLY), 2)
-    return F.when(F.size(parts) > 1, strip(parts[0])).otherwise(c)
+    return _where(c, REPLY_PARTS, F.when(F.size(parts) > 1, strip(parts[0])).otherwise(c))
+
+
+def _without_closing(c: Column) -> Column:
+    return _where(c, CLOSING_PARTS, _replace(c, (CLOSING, "")))
 
 
 def _replace(c: Column, *steps: tuple[str, str]) -> Column:
@@ -146,7 +163,8 @@ def clean_tickets(
     """Add the cleaned "subject. description" used for semantic search."""
     body = _replace(strip(_text(description)), (HTML_TAG, " "), (HEADER_LINE, ""))
     df = df.withColumn("_body", body).withColumn(
-        "_body", _replace(_cut_at_reply(F.col("_body")), (GREETING, ""), (CLOSING, "")))
+        "_body", _replace(_cut_at_reply(F.col("_body")), (GREETING, "")))
+    df = df.withColumn("_body", _without_closing(F.col("_body")))
     if stack:
         df = collapse_stack(df, "_body")
     tail = strip(_replace(
@@ -164,8 +182,8 @@ def clean_tickets(
 def clean_resolution(df: DataFrame, out: str = "cleaned_resolution",
                      resolution: str = "resolution") -> DataFrame:
     """Add the cleaned resolution text used at index time."""
-    start = _replace(strip(_text(resolution)), (HTML_TAG, " "), (GREETING, ""), (CLOSING, ""))
-    df = df.withColumn("_res", start)
+    start = _replace(strip(_text(resolution)), (HTML_TAG, " "), (GREETING, ""))
+    df = df.withColumn("_res", start).withColumn("_res", _without_closing(F.col("_res")))
     end = _replace(_cut_at_reply(F.col("_res")), (MANY_NEWLINES, "\n\n"), (MANY_SPACES, " "))
     return df.withColumn(out, strip(end)).drop("_res")
 

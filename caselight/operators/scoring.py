@@ -12,20 +12,23 @@ WEIGHTS = {
     "relevance": 0.30, "success": 0.25, "satisfaction": 0.10,
     "completeness": 0.20, "specificity": 0.15,
 }
-COMPLETENESS = [
-    r"\p{Nd}",
-    r"(?i)(config|setting|parameter|update|change|set|increase|decrease)",
-    r"(?i)(resolved|fixed|working|confirmed)",
-]
-SPECIFICITY = [
-    ERROR_CODE,
-    r"(?i)\.(yaml|json|conf|py|js|xml|ini)",
-    r"(?i)(version|v[0-9]+|upgrade|patch)",
-    r"(?i)(command|script|query|api|endpoint)",
-]
+ACTION_WORDS = [
+    "config", "setting", "parameter", "update", "change", "set", "increase", "decrease"]
+OUTCOME_WORDS = ["resolved", "fixed", "working", "confirmed"]
+FILE_SUFFIX = r"\.(yaml|json|conf|py|js|xml|ini)"
+VERSION_WORDS = ["version", "upgrade", "patch"]
+VERSION_NUMBER = r"v[0-9]"
+TOOL_WORDS = ["command", "script", "query", "api", "endpoint"]
 # ---------------------------------------------------------------------------------
 
 
+def _any_of(text: Column, words: list[str]) -> Column:
+    found = F.lit(False)
+    for w in words:
+        found = found | F.contains(text, F.lit(w))
+    return found
+
+
 def _share(step: float, conditions: list[Column]) -> Column:
     total = sum((F.when(c, F.lit(step)).otherwise(0.0) for c in conditions), F.lit(0.0))
     return F.least(F.lit(1.0), F.greatest(F.lit(0.1), total))
@@ -39,7 +42,13 @@ def with_quality(pairs: DataFrame) -> DataFrame:
     """
     category = F.col("query_category").eqNullSafe(F.col("category"))
     product = F.col("query_product").eqNullSafe(F.col("product"))
-    text = F.coalesce("resolution", F.lit(""))
+    pairs = pairs.withColumn("_text", F.coalesce("resolution", F.lit("")))
+    pairs = pairs.withColumn("_low", F.lower("_text"))
+    text, low = F.col("_text"), F.col("_low")
+    complete = [F.length(text) > 50, F.length(text) > 150, text.rlike(r"\p{Nd}"),
+                _any_of(low, ACTION_WORDS), _any_of(low, OUTCOME_WORDS)]
+    specific = [text.rlike(ERROR_CODE), low.rlike(FILE_SUFFIX),
+                _any_of(low, VERSION_WORDS) | low.rlike(VERSION_NUMBER), _any_of(low, TOOL_WORDS)]
     dims = {
         "relevance": F.when(category & product, 1.0).when(category, 0.7)
         .when(product, 0.3).otherwise(0.1),
@@ -47,12 +56,12 @@ def with_quality(pairs: DataFrame) -> DataFrame:
         .when(~F.col("resolution_helpful"), 0.2).otherwise(0.5),
         "satisfaction": F.coalesce(
             F.least(F.lit(1.0), F.col("satisfaction_score") / 5.0), F.lit(0.5)),
-        "completeness": _share(
-            0.2, [F.length(text) > 50, F.length(text) > 150, *[text.rlike(p) for p in COMPLETENESS]]),
-        "specificity": _share(0.25, [text.rlike(p) for p in SPECIFICITY]),
+        "completeness": _share(0.2, complete),
+        "specificity": _share(0.25, specific),
     }
+    pairs = pairs.withColumns(dims).drop("_text", "_low")
     total = sum((F.col(d) * w for d, w in WEIGHTS.items()), F.lit(0.0))
-    return pairs.withColumns(dims).withColumn("quality_score", total)
+    return pairs.withColumn("quality_score", total)
 
 
 def rank_by_quality(pairs: DataFrame, top_k: int) -> DataFrame:
@@ -65,6 +74,8 @@ def quality_metrics(scored: DataFrame, keys: list[str] | None = None) -> DataFra
     """Count, mean, median, lower quartile and low / high shares, overall or per key."""
     keys = keys or []
     q = F.col("quality_score")
+    # the patterns run once; what is kept is one number per result and its key
+    scored = scored.select(*keys, "quality_score").persist()
     facts = scored.filter(q.isNotNull()).groupBy(*keys).agg(
         F.count("*").alias("n_results_scored"),
         F.avg(q).alias("mean_quality"),

@@ -25,6 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores where a table of long texts comes in fewer splits than there are.
+
+    That is a matter of small data in one file; a table of many files stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def pick(values: list[str], index: Column) -> Column:
     """Element of a fixed list by 0-based position modulo its length."""
     return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(index, F.lit(len(values))).cast("int"))
@@ -82,7 +91,7 @@ def tickets_e(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tickets_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as tickets: first line the subject, the rest the resolution."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     i = F.col("doc_id")
     code = F.concat(F.lit("ERROR_"), F.upper("source"), F.lit("_"), (i % 7).cast("string"))
     rest = F.when(
@@ -131,7 +140,7 @@ def tickets_o(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tickets_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as tickets with HTML bodies."""
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages"), "page_id").select(
         F.col("page_id").cast("string").alias("ticket_id"), F.col("url").alias("subject"),
         F.col("html").alias("description"), F.col("html").alias("resolution"))
 

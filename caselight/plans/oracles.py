@@ -381,6 +381,10 @@ ORACLES["hybrid_keyword_only"] = query("tickets_d queries_b", _RERANK_BODY + "5"
 # ---- quality of results ---------------------------------------------------------
 
 
+def _words(words: list[str]) -> str:
+    return f"regexp_matches(res, '(?i)({'|'.join(words)})')"
+
+
 def _points(step: float, conditions: list[str]) -> str:
     total = " + ".join(f"CASE WHEN {c} THEN {step}::DOUBLE ELSE 0 END" for c in conditions)
     return f"least(1.0::DOUBLE, greatest(0.1::DOUBLE, {total}))"
@@ -398,8 +402,11 @@ _QUALITY = {
                ELSE 0.5::DOUBLE END AS success,
           coalesce(least(1.0::DOUBLE, satisfaction_score / 5.0::DOUBLE), 0.5::DOUBLE) AS satisfaction,
           {_points(0.2, ["length(res) > 50", "length(res) > 150",
-                         *[f"regexp_matches(res, '{p}')" for p in scoring.COMPLETENESS]])} AS completeness,
-          {_points(0.25, [f"regexp_matches(res, '{p}')" for p in scoring.SPECIFICITY])} AS specificity
+                         "regexp_matches(res, '\\p{Nd}')",
+                         _words(scoring.ACTION_WORDS), _words(scoring.OUTCOME_WORDS)])} AS completeness,
+          {_points(0.25, [f"regexp_matches(res, '{tx.ERROR_CODE}')",
+                          f"regexp_matches(res, '(?i){scoring.FILE_SUFFIX}')",
+                          _words([*scoring.VERSION_WORDS, scoring.VERSION_NUMBER]), _words(scoring.TOOL_WORDS)])} AS specificity
         FROM pairs""",
     "q": "SELECT *, " + " + ".join(f"{d} * {w}::DOUBLE" for d, w in scoring.WEIGHTS.items())
          + " AS quality_score FROM dims",
