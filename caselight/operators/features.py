@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caselight.functions.text import error_codes, word_count
 from caselight.operators.scale import broadcast_if_small
@@ -65,46 +65,47 @@ def ticket_features(tickets: DataFrame) -> DataFrame:
     )
 
 
-def trailing_count(tickets: DataFrame, key: str, days: int, name: str) -> DataFrame:
-    """Per ticket: earlier tickets of the same key in the last ``days`` days.
+TRAILING = {
+    "customer_ticket_count_30d": ("customer_id", 30),
+    "product_ticket_volume_7d": ("product", 7),
+}
+
+
+def trailing_features(tickets: DataFrame, spec: dict[str, tuple[str, int]] | None = None) -> DataFrame:
+    """Per ticket: earlier tickets of the same key in the last days, per feature.
 
     Counts rows with second in [t - days, t - 1]. That is C(t) - C(t - days), with
     C(x) the key's rows before second x, and C(x) is a running total over whole hours
     plus the rows of x's hour. No task holds more than one hour of one key, so a hot
-    key needs no window of its own.
+    key needs no window of its own. All features go through the same shuffles.
     """
-    at = F.floor(F.unix_micros("created_at") / 1_000_000).cast("long")
-    base = tickets.filter(F.col(key).isNotNull()).select("ticket_id", F.col(key).alias("_k"), at.alias("_t"))
-    probes = base.select(
-        "ticket_id", "_k",
-        F.inline(F.array(
-            F.struct(F.col("_t").alias("_x"), F.lit(1).alias("_row"), F.lit(1).alias("_sign")),
-            F.struct((F.col("_t") - days * 86400).alias("_x"), F.lit(0).alias("_row"),
-                     F.lit(-1).alias("_sign")),
-        )),
-    ).withColumn("_h", F.floor(F.col("_x") / 3600).cast("long"))
+    spec = spec or TRAILING
+    second = F.floor(F.unix_micros("created_at") / 1_000_000).cast("long")
+
+    def cell(name: str, key: str, at: Column, row: int, sign: int) -> Column:
+        return F.struct(
+            F.lit(name).alias("_f"), F.col(key).alias("_k"), at.alias("_x"),
+            F.lit(row).alias("_row"), F.lit(sign).alias("_sign"))
+
+    cells = [
+        c for name, (key, days) in spec.items()
+        for c in (cell(name, key, second, 1, 1), cell(name, key, second - days * 86400, 0, -1))]
+    probes = tickets.select("ticket_id", F.inline(F.array(*cells))).filter(
+        F.col("_k").isNotNull()).withColumn("_h", F.floor(F.col("_x") / 3600).cast("long"))
 
-    within = Window.partitionBy("_k", "_h").orderBy("_x").rangeBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy("_k").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("_f", "_k", "_h").orderBy("_x").rangeBetween(
+        Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_f", "_k").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
     hours = (
-        probes.groupBy("_k", "_h").agg(F.sum("_row").alias("_n"))
+        probes.groupBy("_f", "_k", "_h").agg(F.sum("_row").alias("_n"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
         .drop("_n")
     )
-    return (
+    share = F.col("_sign") * (F.col("_before") + F.col("_in_hour"))
+    counts = (
         probes.withColumn("_in_hour", F.coalesce(F.sum("_row").over(within), F.lit(0)))
-        .join(hours, ["_k", "_h"])
+        .join(hours, ["_f", "_k", "_h"])
         .groupBy("ticket_id")
-        .agg(F.sum(F.col("_sign") * (F.col("_before") + F.col("_in_hour"))).alias(name))
-    )
-
-
-def trailing_features(tickets: DataFrame) -> DataFrame:
-    """The time-correct customer (30 days) and product (7 days) counts."""
-    customer = trailing_count(tickets, "customer_id", 30, "customer_ticket_count_30d")
-    product = trailing_count(tickets, "product", 7, "product_ticket_volume_7d")
-    return (
-        tickets.select("ticket_id")
-        .join(customer, "ticket_id", "left").join(product, "ticket_id", "left")
-        .na.fill(0, ["customer_ticket_count_30d", "product_ticket_volume_7d"])
+        .agg(*[F.sum(F.when(F.col("_f") == name, share)).alias(name) for name in spec])
     )
+    return tickets.select("ticket_id").join(counts, "ticket_id", "left").na.fill(0, list(spec))
