@@ -26,13 +26,11 @@ def issue_solutions(tickets: DataFrame) -> DataFrame:
         F.col("resolution_code").isNotNull() & F.col("resolution").isNotNull()
         & F.col("category").isNotNull()
     ).withColumn("issue_type", F.col("category"))
-    keys = ["issue_type", "resolution_code"]
-    numbers = rows.groupBy(*keys).agg(
-        F.count("ticket_id").alias("usage_count"),
-        F.avg(F.col("resolution_helpful").cast("int")).alias("success_rate"),
-    )
-    texts = first_by_time(rows, keys, F.left("resolution", F.lit(TEXT_CHARS)), "resolution_template")
-    return numbers.join(texts, keys)
+    return first_by_time(
+        rows, ["issue_type", "resolution_code"],
+        {"resolution_template": F.left("resolution", F.lit(TEXT_CHARS))},
+        [F.count("ticket_id").alias("usage_count"),
+         F.avg(F.col("resolution_helpful").cast("int")).alias("success_rate")])
 
 
 def error_code_mapping(tickets: DataFrame) -> DataFrame:
@@ -44,11 +42,10 @@ def error_code_mapping(tickets: DataFrame) -> DataFrame:
                 "resolution_code", F.left("resolution", F.lit(TEXT_CHARS)).alias("text"),
                 F.explode(distinct_error_codes("error_logs")).alias("error_code"))
     )
-    keys = ["error_code", "product", "issue_type"]
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("occurrences"))
-    code = first_by_time(rows, keys, F.col("resolution_code"), "resolution_code")
-    text = first_by_time(rows, keys, F.col("text"), "resolution_text")
-    return counts.join(code, keys, "left").join(text, keys, "left")
+    return first_by_time(
+        rows, ["error_code", "product", "issue_type"],
+        {"resolution_code": F.col("resolution_code"), "resolution_text": F.col("text")},
+        [F.count("*").alias("occurrences")])
 
 
 def product_resolutions(

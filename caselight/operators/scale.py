@@ -127,20 +127,35 @@ def quantiles(
 
 
 def first_by_time(
-    df: DataFrame, keys: list[str], value: Column, name: str,
+    df: DataFrame, keys: list[str], values: dict[str, Column], aggs: list[Column] | None = None,
     time: str = "created_at", ident: str = "ticket_id",
 ) -> DataFrame:
-    """The earliest non-null value of every group, ties by identifier.
+    """Per group: plain aggregates and the earliest non-null of every value.
 
-    The earliest time is a plain long, which Spark aggregates by hash; only the rows
-    at that time reach the second step, so wide text is never sorted.
+    One hash aggregate yields ``aggs`` and the earliest time of each value, a plain
+    long; only the rows at these times reach the second step, ties going to the
+    smallest identifier. Wide text is never sorted and is read once.
     """
-    rows = df.select(*keys, F.unix_micros(time).alias("_at"), F.col(ident).alias("_id"),
-                     value.alias(name)).filter(F.col(name).isNotNull())
+    rows = df.withColumns({"_at": F.unix_micros(time), **{f"_v_{n}": v for n, v in values.items()}})
+    facts = rows.groupBy(*keys).agg(
+        *(aggs or []),
+        *[F.min(F.when(F.col(f"_v_{n}").isNotNull(), F.col("_at"))).alias(f"_t_{n}") for n in values])
+    facts = broadcast_if_small(facts)
     ks = [f"_f{i}" for i in range(len(keys))]
-    firsts = rows.groupBy(*[F.col(k).alias(a) for k, a in zip(keys, ks)]).agg(
-        F.min("_at").alias("_first"))
-    cond = same([F.col(k) for k in keys], [F.col(a) for a in ks]) & (
-        F.col("_at") == F.col("_first"))
-    return rows.join(broadcast_if_small(firsts), cond, "left_semi").groupBy(*keys).agg(
-        F.min_by(name, "_id").alias(name))
+    times = facts.select(
+        *[F.col(k).alias(a) for k, a in zip(keys, ks)], *[f"_t_{n}" for n in values])
+    hit = F.lit(False)
+    for n in values:
+        hit = hit | (F.col("_at") == F.col(f"_t_{n}"))
+
+    def earliest(n: str) -> Column:
+        here = F.col(f"_v_{n}").isNotNull() & (F.col("_at") == F.col(f"_t_{n}"))
+        return F.min_by(f"_v_{n}", F.when(here, F.col(ident))).alias(n)
+
+    picked = (
+        rows.select(*keys, "_at", ident, *[f"_v_{n}" for n in values])
+        .join(times, same([F.col(k) for k in keys], [F.col(a) for a in ks]) & hit)
+        .groupBy(*ks).agg(*[earliest(n) for n in values])
+    )
+    cond = same([F.col(k) for k in keys], [F.col(a) for a in ks])
+    return facts.join(picked, cond, "left").drop(*ks, *[f"_t_{n}" for n in values])

@@ -60,7 +60,8 @@ def test_first_by_time_skips_nulls_and_breaks_ties(make):
                ("a", "2023-01-01 00:00:00", "3", None), ("b", "2024-01-01 00:00:00", "1", None)],
               "g string, created_at string, ticket_id string, v string").withColumn(
         "created_at", F.col("created_at").cast("timestamp"))
-    assert [tuple(r) for r in first_by_time(df, ["g"], F.col("v"), "v").collect()] == [("a", "y")]
+    got = first_by_time(df, ["g"], {"v": F.col("v"), "w": F.upper("ticket_id")}, [F.count("*").alias("n")])
+    assert sorted((r.g, r.n, r.v, r.w) for r in got.collect()) == [("a", 3, "y", "3"), ("b", 1, None, "1")]
 
 
 def test_broadcast_only_below_the_bound(spark):
