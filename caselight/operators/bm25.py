@@ -8,7 +8,7 @@ per query without being shuffled. Only k rows per task and query leave a task.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -66,24 +66,28 @@ def floored(idf, mean_idf: float):
 class Bm25Index:
     """Names and places of the index tables and the corpus totals."""
 
+    base: str
     postings_table: str
-    terms_path: str
-    categories_path: str
+    buckets: int
     n_docs: int
     avg_len: float
     mean_idf: float
 
     def terms(self, spark: SparkSession) -> DataFrame:
         """(term, df, idf) with the floor applied."""
-        return spark.read.parquet(self.terms_path).withColumn(
+        return spark.read.parquet(f"{self.base}/terms").withColumn(
             "idf", floored(F.col("idf"), self.mean_idf))
 
+    def categories(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.base}/categories")
 
-def build_index(docs: DataFrame, buckets: int | None = None) -> Bm25Index:
-    """Write postings, terms and category counts; texts are shuffled once."""
+
+def build_index(docs: DataFrame, base: str | None = None, buckets: int | None = None) -> Bm25Index:
+    """Write postings, terms, category counts and totals; texts are shuffled once."""
     spark = docs.sparkSession
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base, name = shared_dir(spark, "bm25"), f"caselight_postings_{uuid.uuid4().hex[:12]}"
+    base = base or shared_dir(spark, "bm25")
+    name = f"caselight_postings_{uuid.uuid4().hex[:12]}"
     # the raw texts are spread, which is less to shuffle than their tokens; tokenising
     # and counting then stay in the task that holds the ticket
     by_doc = search_texts(docs).repartition(buckets, "ticket_id")
@@ -94,11 +98,24 @@ def build_index(docs: DataFrame, buckets: int | None = None) -> Bm25Index:
     corpus_terms(spark.table(name), n).write.parquet(f"{base}/terms")
     terms = spark.read.parquet(f"{base}/terms").agg(
         F.avg("idf").alias("mean"), F.sum("tokens").alias("tokens")).first()
-    return Bm25Index(name, f"{base}/terms", f"{base}/categories", n,
-                     (terms.tokens or 0) / n if n else 0.0, terms["mean"] or 0.0)
+    index = Bm25Index(base, name, buckets, n, (terms.tokens or 0) / n if n else 0.0, terms["mean"] or 0.0)
+    spark.createDataFrame([asdict(index)]).write.parquet(f"{base}/totals")
+    return index
+
+
+def load_index(spark: SparkSession, base: str) -> Bm25Index:
+    """Open a written index, also in a session whose catalog does not know its table."""
+    index = Bm25Index(**spark.read.parquet(f"{base}/totals").first().asDict())
+    if not spark.catalog.tableExists(index.postings_table):
+        spark.sql(
+            f"CREATE TABLE {index.postings_table} "
+            "(ticket_id STRING, category STRING, dl INT, term STRING, tf INT) USING parquet "
+            f"CLUSTERED BY (ticket_id) INTO {index.buckets} BUCKETS LOCATION '{base}/postings'")
+    return index
 
 
-def drop_index(spark: SparkSession, index: Bm25Index) -> None:
+def close_index(spark: SparkSession, index: Bm25Index) -> None:
+    """Forget the table; its files stay."""
     spark.sql(f"DROP TABLE IF EXISTS {index.postings_table}")
 
 
@@ -115,7 +132,7 @@ def search(
         queries.select("query_id", "category", F.explode(tokens("text")).alias("term"))
         .groupBy("query_id", "category", "term").agg(F.count("*").alias("qtf"))
     )
-    known = spark.read.parquet(index.categories_path).select(
+    known = index.categories(spark).select(
         F.col("category").alias("known_category"))
     wanted = index.terms(spark).join(broadcast_if_small(q), "term").join(
         known, F.col("category") == F.col("known_category"), "left")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from caselight.functions.text import clean_tickets, distinct_error_codes, index_text
 from caselight.operators import bm25, graph, vectors
 from caselight.operators.scale import broadcast_if_small, top_n_per_group
 from caselight.schemas import PRIORITY_ADJACENCY, PRIORITY_ADJACENCY_OTHER, lookup, with_columns
+from caselight.session import shared_dir
 
 PAYLOAD = [
     "category", "subcategory", "priority", "product", "resolution", "resolution_code",
@@ -83,11 +84,23 @@ def resolved(tickets: DataFrame) -> DataFrame:
     return tickets.filter(F.length("resolution") > 0)
 
 
-def build_vectors(tickets: DataFrame) -> tuple[PipelineModel, DataFrame]:
-    """Encoder and vectors of the cleaned resolutions, with the filter columns."""
+def build_vectors(tickets: DataFrame, path: str | None = None) -> tuple[PipelineModel, DataFrame]:
+    """Encoder and vectors of the cleaned resolutions, with the filter columns.
+
+    Both are written, so that a batch of queries reads vectors instead of cleaning and
+    encoding the whole corpus again.
+    """
+    spark = tickets.sparkSession
+    path = path or shared_dir(spark, "vectors")
     texts = index_text(resolved(tickets), "text").select("ticket_id", "category", "product", "text")
     model = vectors.fit_encoder(texts)
-    return model, vectors.encode(model, texts).drop("text")
+    model.write().overwrite().save(f"{path}/encoder")
+    vectors.encode(model, texts).drop("text").write.mode("overwrite").parquet(f"{path}/vectors")
+    return read_vectors(spark, path)
+
+
+def read_vectors(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
+    return PipelineModel.load(f"{path}/encoder"), spark.read.parquet(f"{path}/vectors")
 
 
 def hybrid_retrieve(
@@ -121,12 +134,18 @@ def hybrid_retrieve(
     return rerank(reciprocal_rank_fusion(lists), tickets, predictions, top_k)
 
 
-def query_context(queries: DataFrame, tickets: DataFrame, top_k: int = 5) -> DataFrame:
-    """Graph context of a table of tickets."""
+def stored_context(queries: DataFrame, issues: DataFrame, solutions: DataFrame,
+                   mapping: DataFrame, top_k: int = 5) -> DataFrame:
+    """Graph context of a table of tickets from the edge tables."""
     q = with_columns(queries, ["error_logs"]).select(
         "query_id", "product", F.col("predicted_category").alias("category"),
         F.col("predicted_subcategory").alias("subcategory"),
         distinct_error_codes(F.concat_ws(" ", "description", "error_logs")).alias("error_codes"))
-    return graph.related_context(
-        q, graph.product_issues(tickets), graph.issue_solutions(tickets),
+    return graph.related_context(q, issues, solutions, mapping, top_k)
+
+
+def query_context(queries: DataFrame, tickets: DataFrame, top_k: int = 5) -> DataFrame:
+    """Graph context with edges taken from the tickets themselves."""
+    return stored_context(
+        queries, graph.product_issues(tickets), graph.issue_solutions(tickets),
         graph.error_code_mapping(tickets), top_k)

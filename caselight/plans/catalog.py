@@ -12,7 +12,7 @@ from caselight.operators import (
     quality, relabel, scoring, split, vectors,
 )
 from caselight.operators.scale import top_n_per_group
-from caselight.plans import bindings as b
+from caselight.plans import bindings as b, batch as jobs_batch
 from caselight.schemas import DRIFT_FEATURES
 from caselight.session import shared_dir
 from caselight.sources import tickets as store
@@ -557,16 +557,27 @@ def satisfaction_drivers(spark, d):
     return analytics.satisfaction_drivers(b.tickets_e(spark, d))
 
 
+_HOURS_MODELS: dict[tuple[str, str], str] = {}
+
+
+def _hours_model(spark, d):
+    """The regressor of a data set: fitted and saved once per application, then loaded."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _HOURS_MODELS:
+        path = shared_dir(spark, "hours-model")
+        learning.fit_hours(b.tickets_e(spark, d)).write().overwrite().save(path)
+        _HOURS_MODELS[key] = path
+    return learning.PipelineModel.load(_HOURS_MODELS[key])
+
+
 @register
 def resolution_time_predict(spark, d):
-    t = b.tickets_e(spark, d)
-    return learning.predict_hours(learning.fit_hours(t), t)
+    return learning.predict_hours(_hours_model(spark, d), b.tickets_e(spark, d))
 
 
 @register
 def resolution_time_model(spark, d):
-    t = b.tickets_e(spark, d)
-    return learning.hours_quality(learning.predict_hours(learning.fit_hours(t), t))
+    return learning.hours_quality(learning.predict_hours(_hours_model(spark, d), b.tickets_e(spark, d)))
 
 
 # ---- classification -------------------------------------------------------------
@@ -715,7 +726,7 @@ def feedback_log(spark, d):
 
 @register
 def event_rollup(spark, d):
-    return rounded(store.event_rollup(b.system_events(spark, d)).drop("latency_cuts"))
+    return rounded(store.event_rollup(b.system_events(spark, d)))
 
 
 @register
@@ -748,6 +759,13 @@ def graph_store(spark, d):
         "occurrences": mapping.agg(F.sum("occurrences")).scalar()})
 
 
+@register
+def ingest_job(spark, d):
+    """The whole ingest: check, split, features, store, index, edges; its summary."""
+    t = b.tickets_d(spark, d)
+    return jobs_batch.ingest(t, shared_dir(spark, "ingest"))
+
+
 # ---- streaming ------------------------------------------------------------------
 
 def _event_stream(spark, d) -> DataFrame:

@@ -872,7 +872,9 @@ ORACLES["feedback_log"] = query("feedback", """
 ORACLES["event_rollup"] = query("system_events", f"""
     SELECT event_type, component, count(*) AS n,
            {r6("avg(CAST(coalesce(status, 'success') <> 'success' AS INTEGER))", 'error_rate')},
-           {r6('avg(latency_ms)', 'mean_latency_ms')}, {r6('max(latency_ms)', 'max_latency_ms')}
+           {r6('avg(latency_ms)', 'mean_latency_ms')}, {r6('max(latency_ms)', 'max_latency_ms')},
+           {r6('quantile_cont(latency_ms, 0.5)', 'p50_latency_ms')},
+           {r6('quantile_cont(latency_ms, 0.95)', 'p95_latency_ms')}
     FROM system_events GROUP BY event_type, component""")
 ORACLES["active_models"] = query("model_versions", """
     SELECT model_name, version FROM (SELECT *, row_number() OVER (
@@ -887,6 +889,20 @@ ORACLES["graph_store"] = query("tickets_d", """
            (SELECT count(*) FROM m) AS mappings, (SELECT CAST(sum(occurrences) AS BIGINT) FROM m) AS occurrences
     FROM i""", {"i": _ISSUES, "s": _SOLUTIONS, "codes": _CODES, "m": _MAPPING})
 
+ORACLES["ingest_job"] = query("tickets_d", """
+    SELECT 'total' AS kind, CAST(NULL AS VARCHAR) AS name, count(*) AS n FROM s
+    UNION ALL SELECT 'split', data_split, count(*) FROM s GROUP BY data_split
+    UNION ALL SELECT 'category', category, count(*) FROM s GROUP BY category
+    UNION ALL SELECT 'check', c.check_name, CAST(c.passed AS BIGINT) FROM checks c
+    UNION ALL SELECT 'table', 'features', count(*) FROM s
+    UNION ALL SELECT 'table', 'indexed', count(*) FROM s WHERE length(resolution) > 0
+    UNION ALL SELECT 'table', 'vectors', count(*) FROM s WHERE length(resolution) > 0
+    UNION ALL SELECT 'table', 'product_issues', count(*) FROM i
+    UNION ALL SELECT 'table', 'issue_solutions', count(*) FROM sol
+    UNION ALL SELECT 'table', 'error_code_mapping', count(*) FROM m""", {
+    "s": _SPLIT.format("tickets_d"), "facts": _FACTS.format("tickets_d"), "checks": _CHECKS.format("true"),
+    "i": _ISSUES, "sol": _SOLUTIONS, "codes": _CODES, "m": _MAPPING})
+
 # ---- streaming ------------------------------------------------------------------
 
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from caselight.functions.expr import same
 from caselight.operators import graph
-from caselight.operators.scale import top_n_per_group
+from caselight.operators.scale import quantiles, top_n_per_group
 from caselight.schemas import PREDICTION_LOG, SYSTEM_EVENT, TICKET, TICKET_TYPES
 
 CORRUPT = "_corrupt_record"
@@ -94,19 +95,21 @@ def append_feedback(df: DataFrame, path: str) -> None:
     feedback_rows(df).write.mode("append").parquet(path)
 
 
-def event_rollup(events: DataFrame, accuracy: int = 10_000) -> DataFrame:
-    """Count, error rate and latency per event type and component.
-
-    The percentiles come from mergeable sketches of bounded size.
-    """
-    cuts = F.percentile_approx("latency_ms", F.array(F.lit(0.5), F.lit(0.95)), F.lit(accuracy))
-    return events.groupBy("event_type", "component").agg(
+def event_rollup(events: DataFrame) -> DataFrame:
+    """Count, error rate and latency percentiles per event type and component."""
+    keys = ["event_type", "component"]
+    facts = events.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.avg((F.coalesce("status", F.lit("success")) != "success").cast("int")).alias("error_rate"),
         F.avg("latency_ms").alias("mean_latency_ms"),
         F.max("latency_ms").alias("max_latency_ms"),
-        cuts.alias("latency_cuts"),
     )
+    cuts = quantiles(events, keys, F.col("latency_ms"), [0.5, 0.95]).select(
+        *[F.col(k).alias(f"_{k}") for k in keys],
+        F.get("quantiles", F.lit(0)).alias("p50_latency_ms"),
+        F.get("quantiles", F.lit(1)).alias("p95_latency_ms"))
+    cond = same([F.col(k) for k in keys], [F.col(f"_{k}") for k in keys])
+    return facts.join(cuts, cond, "left").drop(*[f"_{k}" for k in keys])
 
 
 def active_models(versions: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from caselight.operators import features, graph, quality, split
+from caselight.operators import features, graph, lifecycle, quality, split
+from caselight.plans import batch
 from caselight.session import shared_dir
 from caselight.sources import tickets as store
 
@@ -172,3 +173,28 @@ def test_graph_store_and_logs(spark, graph_tickets):
     assert spark.read.parquet(f"{base}/log").first().was_corrected is None
     store.append_events(spark.createDataFrame([("e", "classification")], "event_id string, event_type string"), f"{base}/ev")
     assert spark.read.parquet(f"{base}/ev").first().status == "success"
+
+
+def test_ingest_answer_and_monitor(spark, graph_tickets):
+    base = shared_dir(spark, "test-jobs")
+    raw = graph_tickets.withColumns({
+        "subject": F.concat(F.lit("subject "), "ticket_id"), "description": F.lit("desc ERROR_X"),
+        "satisfaction_score": F.lit(4)})
+    got = {(r.kind, r["name"]): r.n for r in batch.ingest(raw, base).collect()}
+    assert got["total", None] == 5 and got["check", "no_duplicate_ids"] == 1
+    assert got["table", "features"] == 5 and got["table", "indexed"] == 4 == got["table", "vectors"]
+    q = spark.createDataFrame(
+        [("q", "subject 5", "fix_setup ERROR_X", "Q", "B", None, None, None)],
+        "query_id string, subject string, description string, product string, predicted_category string, "
+        "predicted_subcategory string, predicted_priority string, predicted_sentiment string")
+    results, context = batch.answer(spark, q, base)
+    assert [r.ticket_id for r in results.collect()] == ["5"]
+    assert {(r.kind, r.code) for r in context.collect()} == {("template", "R2"), ("error_code", "ERROR_X")}
+    now = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    signals = spark.createDataFrame(
+        [("feature_drift", "severe"), ("label_drift", "severe")], "signal_type string, severity string")
+    log = spark.createDataFrame([("1", "A", 0.7)], "ticket_id string, predicted_category string, confidence double")
+    shadow = lifecycle.shadow_report(log, log, now, now)
+    rep = batch.monitor(signals, log, shadow, base, now, now, F.lit(0)).first()
+    assert (rep.n_severe, rep.trigger, rep.n_recent_predictions, rep.shadow_status) == (2, "drift", 1, "running")
+    assert spark.read.parquet(f"{base}/metrics").count() == 3

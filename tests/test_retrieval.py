@@ -38,7 +38,7 @@ def okapi(query, docs):
 
 @pytest.fixture(scope="module")
 def index(spark):
-    return bm25.build_index(spark.createDataFrame(DOCS, DOC_SCHEMA), 3)
+    return bm25.build_index(spark.createDataFrame(DOCS, DOC_SCHEMA), buckets=3)
 
 
 def ask(spark, *rows):
@@ -69,6 +69,17 @@ def test_search_is_the_same_without_broadcast(spark, index, monkeypatch):
     assert rows() == want
 
 
+def test_index_opens_without_its_table(spark, index):
+    q = ask(spark, ("a", "auth users login again", None))
+    rows = lambda ix: [(r.ticket_id, r.score) for r in bm25.search(ix, q).orderBy("rank").collect()]
+    want = rows(index)
+    bm25.close_index(spark, index)
+    again = bm25.load_index(spark, index.base)
+    assert again == index and rows(again) == want
+    plan = bm25.search(again, q)._jdf.queryExecution().toString()
+    assert "Bucketed: true" in plan
+
+
 def test_cosine_top_k_equals_numpy(spark, monkeypatch):
     rng = np.random.default_rng(2)
     m = rng.normal(size=(120, 8))
