@@ -13,9 +13,9 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caselight.functions.text import tokens
-from caselight.operators.scale import broadcast_if_small, top_n_per_group
+from caselight.operators.scale import broadcast_if_small, measured, top_n_per_group
 from caselight.schemas import with_columns
-from caselight.session import shared_dir
+from caselight.session import partitions_for_state, shared_dir
 
 # ---- fixed values: scoring parameters -------------------------------------------
 K1 = 1.5
@@ -23,6 +23,8 @@ B = 0.75
 EPSILON = 0.25
 # ---------------------------------------------------------------------------------
 
+QUERY_BYTES = 64 * 1024 * 1024
+
 
 def search_text():
     """Original text of a ticket, nothing cleaned: exact codes stay findable."""
@@ -85,7 +87,7 @@ class Bm25Index:
 def build_index(docs: DataFrame, base: str | None = None, buckets: int | None = None) -> Bm25Index:
     """Write postings, terms, category counts and totals; texts are shuffled once."""
     spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or partitions_for_state(spark)
     base = base or shared_dir(spark, "bm25")
     name = f"caselight_postings_{uuid.uuid4().hex[:12]}"
     # the raw texts are spread, which is less to shuffle than their tokens; tokenising
@@ -140,12 +142,26 @@ def search(
     weights = wanted.select(
         "query_id", "term", restrict.alias("only"),
         (F.col("qtf") * F.col("idf") * (K1 + 1)).alias("weight"))
+    # ticket and query meet in the task that reads the ticket; a query table whose
+    # weights exceed the bound is answered in blocks, never by shuffling pairs
+    weights, size = measured(weights)
+    blocks = max(1, -(-size // QUERY_BYTES))
+    found = None
+    for b in range(blocks):
+        block = weights if blocks == 1 else weights.filter(
+            F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        best = _best_of_block(index, spark, block, top_k)
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
+def _best_of_block(index: Bm25Index, spark: SparkSession, weights: DataFrame, top_k: int) -> DataFrame:
     gain = F.col("weight") * F.col("tf") / (
         F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(index.avg_len)))
     allowed = F.col("only").isNull() | (F.col("only") == F.col("category"))
     scores = (
         spark.table(index.postings_table)
-        .join(broadcast_if_small(weights), "term").filter(allowed)
+        .join(F.broadcast(weights), "term").filter(allowed)
         .groupBy("query_id", "ticket_id").agg(F.sum(gain).alias("score"))
         .filter(F.col("score") > 0)
     )

@@ -16,24 +16,28 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 32
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only for a side whose size was measured.
+def measured(df: DataFrame) -> tuple[DataFrame, int]:
+    """The rows kept, and their estimated bytes.
 
     The side, an aggregate or a batch of queries, is persisted so that measuring it
-    does not compute it twice. A larger one gets no hint: Spark then shuffles both
-    sides and splits skewed keys itself.
+    does not compute it twice.
     """
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    nested = (T.ArrayType, T.MapType, T.StructType)
+    text = lambda f: F.to_json(F.col(f.name)) if isinstance(f.dataType, nested) else F.col(f.name).cast("string")
     width = sum(
-        (F.coalesce(F.octet_length(F.col(f.name).cast("string")), F.lit(0))
-         for f in df.schema.fields if not isinstance(f.dataType, (T.ArrayType, T.MapType))),
-        F.lit(16 * len(df.columns)),
-    ) + sum(
-        (F.coalesce(F.octet_length(F.to_json(F.col(f.name))), F.lit(0))
-         for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType))),
-        F.lit(0),
-    )
-    size = kept.agg(F.sum(width).alias("b")).first().b or 0
+        (F.coalesce(F.octet_length(text(f)), F.lit(0)) for f in df.schema.fields),
+        F.lit(16 * len(df.columns)))
+    return kept, kept.agg(F.sum(width).alias("b")).first().b or 0
+
+
+def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast only for a side whose size was measured.
+
+    A larger side gets no hint: Spark then shuffles both sides and splits skewed keys
+    itself.
+    """
+    kept, size = measured(df)
     return F.broadcast(kept) if size <= max_bytes else kept
 
 
@@ -78,7 +82,7 @@ def quantiles(
     ks = [f"_k{i}" for i in range(len(keys))]
     vals = (
         df.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], value.cast("double").alias("_v"))
-        .filter(F.col("_v").isNotNull())
+        .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
         .withColumn("_b", _bucket(F.col("_v")))
     )
     if not ks:

@@ -46,6 +46,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/caselight/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def partitions_for_state(spark: SparkSession) -> int:
+    """Partitions of data that stays partitioned: buckets of a table, streaming state.
+
+    Such partitions are never merged at run time, so the configured number of shuffle
+    partitions is bounded by a multiple of the cores.
+    """
+    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(configured, 4 * spark.sparkContext.defaultParallelism))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint`` usable where the session sets no folder."""
     if not spark.sparkContext.getCheckpointDir():

@@ -13,7 +13,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from caselight.operators.scale import top_n_per_group
-from caselight.session import shared_dir
+from caselight.session import partitions_for_state, shared_dir
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WINDOWS = {
@@ -23,9 +23,23 @@ WINDOWS = {
 }
 
 
-def use_rocksdb(spark: SparkSession) -> None:
-    """State larger than memory lives in RocksDB."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+def _start(spark: SparkSession, writer):
+    """Start a query with its state in RocksDB and a fitting number of state partitions.
+
+    A query keeps the settings it was started with, so the session's are put back.
+    """
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.shuffle.partitions": str(partitions_for_state(spark)),
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        return writer.start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def open_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -46,7 +60,7 @@ def append_to(stream: DataFrame, base: str, available_now: bool = True):
     """Start an append query into ``base``/out."""
     writer = stream.writeStream.outputMode("append").format("parquet").option(
         "checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out")
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    return _start(stream.sparkSession, writer.trigger(availableNow=True) if available_now else writer)
 
 
 def run_append(stream: DataFrame, name: str) -> DataFrame:
@@ -64,7 +78,7 @@ def update_to(stream: DataFrame, base: str, available_now: bool = True):
 
     writer = stream.writeStream.outputMode("update").foreachBatch(write).option(
         "checkpointLocation", f"{base}/checkpoint")
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    return _start(stream.sparkSession, writer.trigger(availableNow=True) if available_now else writer)
 
 
 def latest_rows(spark: SparkSession, base: str, schema, keys: list[str]) -> DataFrame:
@@ -78,7 +92,6 @@ def latest_rows(spark: SparkSession, base: str, schema, keys: list[str]) -> Data
 
 def run_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
     spark = stream.sparkSession
-    use_rocksdb(spark)
     base = shared_dir(spark, name)
     update_to(stream, base).awaitTermination()
     return latest_rows(spark, base, stream.schema, keys)
@@ -180,8 +193,8 @@ def last_n_to(stream: DataFrame, base: str, keys: list[str], order: list[Column]
         top_n_per_group(rows, keys, order, n).drop("rank").write.mode("overwrite").parquet(
             f"{base}/state/batch={batch_id}")
 
-    query = stream.writeStream.foreachBatch(merge).option(
-        "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query = _start(spark, stream.writeStream.foreachBatch(merge).option(
+        "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True))
     query.awaitTermination()
     last = query.lastProgress
     batch_id = last["batchId"] if last else 0
@@ -206,6 +219,6 @@ def run_cycles(stream: DataFrame, name: str, cycle: Callable[[DataFrame], DataFr
     def write(batch: DataFrame, batch_id: int) -> None:
         cycle(batch).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
-    stream.writeStream.foreachBatch(write).option(
-        "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    _start(spark, stream.writeStream.foreachBatch(write).option(
+        "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)).awaitTermination()
     return spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out/batch=*")

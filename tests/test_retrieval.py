@@ -61,12 +61,14 @@ def test_category_filter_and_its_fallback(spark, index):
     assert got == {"in": {"2"}, "none": {"1", "2", "4"}}
 
 
-def test_search_is_the_same_without_broadcast(spark, index, monkeypatch):
+def test_search_is_the_same_without_broadcast_and_in_blocks(spark, index, monkeypatch):
     q = ask(spark, ("a", "auth users login", None), ("b", "timeout invoice", "Tech"))
     rows = lambda: sorted((r.query_id, r.ticket_id, round(r.score, 9), r["rank"]) for r in bm25.search(index, q, 2).collect())
     want = rows()
     monkeypatch.setattr(bm25, "broadcast_if_small", lambda df: df)
     assert rows() == want
+    monkeypatch.setattr(bm25, "QUERY_BYTES", 150)       # several blocks
+    assert rows() == want
 
 
 def test_index_opens_without_its_table(spark, index):
