@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from caselight.functions.expr import same
 from caselight.functions.text import distinct_error_codes
 from caselight.operators.scale import first_by_time, top_n_per_group
 

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caselight.functions.text import strip
-from caselight.operators.lifecycle import latest_corrections
 from caselight.schemas import PRIORITIES, SENTIMENTS, SUBCATEGORIES, with_columns
 
 FIELDS = {"subcategory": "subcategory", "priority": "priority", "sentiment": "customer_sentiment"}
@@ -174,9 +173,3 @@ def first_tickets(tickets: DataFrame, n: int) -> DataFrame:
     """The processing cap of a trial run."""
     return tickets.orderBy("ticket_id").limit(n)
 
-
-__all__ = [
-    "apply_corrections", "change_counts", "first_tickets", "label_tickets",
-    "latest_corrections", "parse_answers", "prompt_fields", "remaining", "spot_check",
-    "status_counts", "with_prompt",
-]

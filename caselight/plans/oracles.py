@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from caselight.functions import text as tx
-from caselight.operators import analytics, scoring
-from caselight.plans.views import query
+from caselight.operators import scoring
+from caselight.plans import bindings as _b
+from caselight.plans.views import _list, query
 from caselight.schemas import (
     CLASSIFIER_BOOLEAN, CLASSIFIER_NUMERIC, DRIFT_FEATURES, PRIORITIES, PRIORITY_ADJACENCY,
     SENTIMENT_SCORE, SENTIMENTS, SUBCATEGORIES,
@@ -352,9 +353,6 @@ def _rerank(fused_score: str = "rrf_score") -> str:
 ORACLES["rrf_fusion"] = query("tickets_e", f"""
     SELECT query_id, ticket_id, {r6('rrf_score')}, first_seen FROM fused""", _FUSED)
 
-from caselight.plans import bindings as _b  # noqa: E402
-from caselight.plans.views import _list  # noqa: E402
-
 _NO = "CAST(substr(query_id, 2) AS INTEGER)"
 _RERANK_BODY = f"""
     SELECT query_id, CAST(rank AS INTEGER) AS rank, ticket_id, {r6('rrf_score')}, {r6('final_score')} FROM (
@@ -784,7 +782,6 @@ ORACLES["driver_matrix"] = query("tickets_e", f"""
            CAST(coalesce(response_count, 1) <= 2 AS INTEGER) AS first_contact_resolution,
            CAST(satisfaction_score >= 4 AS INTEGER) AS satisfied
     FROM tickets_e WHERE satisfaction_score IS NOT NULL""")
-assert len(analytics.DRIVER_FEATURES) == 10
 
 # ---- classification -------------------------------------------------------------
 
@@ -814,7 +811,6 @@ ORACLES["ensemble_route"] = query("pred_log shadow_log", f"""
 
 # ---- label correction -----------------------------------------------------------
 
-_PROMPT_LINES = ", chr(10), ".join
 ORACLES["label_prompts"] = query("tickets_d", """
     SELECT ticket_id, md5(concat_ws(chr(10), 'Subject: ' || coalesce(subject, 'N/A'),
              'Description: ' || coalesce(description, 'N/A'), 'Category: ' || coalesce(category, 'UNKNOWN'),
