@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup
+from . import decontaminate, line_dedup, near_dedup, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,3 +26,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of all documents on two-word shingles."""
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of repeated 20-word windows removed from all documents."""
+    out = substring_dedup.remove_repeated_windows(table(spark, sf_dir, "documents"), window=20)
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten-word passages of the benchmark in all documents."""
+    index = decontaminate.build_index(table(spark, sf_dir, "documents"))
+    found = decontaminate.phrase_matches(index, table(spark, sf_dir, "benchmark"), size=10)
+    n_hit = F.size("hit_words").cast("long")
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
+@query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated multi-line passages removed from all documents."""
+    out = line_dedup.remove_repeated_passages(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_passages", "n_removed_lines", F.sha2("kept_text", 256).alias("kept_sha256"))
