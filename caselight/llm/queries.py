@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dedup, substring_dedup
+from . import decontaminate, line_dedup, mixing, near_dedup, sharding, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated multi-line passages removed from all documents."""
     out = line_dedup.remove_repeated_passages(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_passages", "n_removed_lines", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights 5, 2, 1 by source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards by key."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.sharded(docs, 24).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

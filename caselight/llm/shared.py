@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
-#: Separators of words in most operators, as a pattern and as plain characters.
+#: Separators of words in most operators.
 SEPARATORS = r"[\x20\x09-\x0D]+"
-SEPARATOR_CHARS = " \t\n\x0b\x0c\r"
 
 
 def kept_aside(df: DataFrame) -> DataFrame:
@@ -26,15 +25,12 @@ def kept_aside(df: DataFrame) -> DataFrame:
 
 def words(text: Column) -> Column:
     """Words of a text as an array; a null text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
 
 
 def n_words(text: Column) -> Column:
-    """Number of words as a long, without an array lambda."""
-    parts = F.split(F.coalesce(text, F.lit("")), SEPARATORS)
-    blank = lambda i: F.when(F.element_at(parts, i) == "", 1).otherwise(0)
-    # only the first and the last part can be empty; a single part is both
-    return F.when(F.size(parts) == 1, 1 - blank(1)).otherwise(F.size(parts) - blank(1) - blank(-1)).cast("long")
+    """Number of words as a long."""
+    return F.size(words(text)).cast("long")
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:
@@ -55,7 +51,3 @@ def map_batches(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch | pa
                     yield out
 
     return df.mapInArrow(run, schema)
-
-
-def session_of(df: DataFrame) -> SparkSession:
-    return df.sparkSession
