@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, near_dedup, sharding, substring_dedup
+from . import chat_format, decontaminate, line_dedup, mixing, near_dedup, quality_classifier, sharding, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,22 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards by key."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.sharded(docs, 24).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from labels outside the held-out third."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = quality_classifier.held_out(F.col("doc_id"))
+    model = quality_classifier.fit(docs, table(spark, sf_dir, "labels"), learn_from=~held)
+    scores = quality_classifier.scored(docs, model)
+    return scores.select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, and one whose texts hold control strings; read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], turns.schema)
+    return chat_format.read_back(chat_format.format_conversations(turns.union(extra)))
