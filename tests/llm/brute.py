@@ -77,3 +77,18 @@ def contamination(docs: list[tuple[int, str | None]], items: list[tuple[object,
         names = ",".join(sorted(str(x) for x in ids))
         out[i] = (len(w), len(hit), len(ids), hashlib.sha256(names.encode()).hexdigest(), bool(hit))
     return out
+
+
+def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    text = text or ""
+    w = words(text)
+    lines, seen, dup = [x for x in text.split("\n") if words(x)], set(), 0
+    for x in lines:
+        dup += x in seen
+        seen.add(x)
+    at: dict[tuple, list[int]] = {}
+    for j in range(len(w) - 7):
+        at.setdefault(tuple(w[j : j + 8]), []).append(j)
+    inside = {j + k for js in at.values() if len(js) > 1 for j in js for k in range(8)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dup, len(inside)
