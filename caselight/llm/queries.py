@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    chat_format, decontaminate, licenses, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, sharding, substring_dedup,
+    chat_format, decontaminate, licenses, line_dedup, mixing, near_dedup, oracles, quality_classifier, quality_rules, sharding, substring_dedup,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
 
 
 def query(f):
