@@ -72,7 +72,7 @@ def non_negative_risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float
     for _ in range(steps):
         negative = risk(w, m_u, unlabelled, -1) - prior * risk(w, m_p, positive, -1)
         value = prior * risk(w, m_p, positive, 1) + max(0.0, negative) + penalty * w @ w
-        if value < least:
+        if negative >= 0 and value < least:
             best, least = w, value
         if negative >= 0:
             w = w + rate * (solve @ (prior * m_p - m_u / 2) - w)
