@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
 from caselight.functions.expr import flag, number, same
-from caselight.operators.scale import broadcast_if_small, first_by_time, quantiles
+from caselight.operators.scale import first_by_time, quantiles
 from caselight.schemas import with_columns
 
 _AGENT_INPUTS = [
@@ -85,7 +85,6 @@ def agent_performance(tickets: DataFrame) -> DataFrame:
 
 def agent_report(agents: DataFrame, head: int = 50, edge: int = 5) -> DataFrame:
     """Rows (section, position, agent_id, value): means, leading, top and bottom agents."""
-    agents = agents.persist()
     best = [F.desc("perf_score"), F.asc("agent_id")]
     worst = [F.asc("perf_score"), F.desc("agent_id")]
 
@@ -124,7 +123,7 @@ def resolution_time_stats(tickets: DataFrame) -> DataFrame:
         F.get("quantiles", F.lit(0)).alias("median_hours"),
         F.get("quantiles", F.lit(1)).alias("p95_hours"))
     joined = facts.join(
-        broadcast_if_small(cuts), same([F.col(k) for k in keys], [F.col("_p"), F.col("_c")]))
+        cuts, same([F.col(k) for k in keys], [F.col("_p"), F.col("_c")]))
     return joined.drop("_p", "_c").orderBy(F.desc("avg_hours"), *keys)
 
 

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from caselight.functions.expr import whole_days
-from caselight.operators.scale import top_n_per_group
 from caselight.operators.split import head_and_tail
 from caselight.schemas import (
     SENTIMENT_SCORE, SENTIMENT_SCORE_OTHER, lookup, severity_rank,
@@ -64,28 +61,31 @@ def volume_anomalies(
         (F.col("mean_daily") + z * F.col("std_daily")).alias("threshold"))
 
 
-def _ewma_rows(span: int) -> int:
-    """Rows that can change an exponentially weighted mean in double precision.
+def ewma_last(df: DataFrame, key: str, value: str, span: int = EWMA_SPAN) -> DataFrame:
+    """Last value of the adjusted exponentially weighted mean, per key, in time order.
 
-    Behind this many newer rows, all older ones together weigh less than 2**-60 of
-    the total, which is below the rounding of the sum.
+    With decay d the weighted sum of a run of rows is S = sum(x * d ** newer rows in the run),
+    and runs combine as S_new + d ** n_new * S_old. All rows take part: by second, then by
+    hour, then by key, so no window holds more than one second's rows, one hour's seconds or
+    one key's hours. Rows without a time count as the newest ones, ties go by ticket_id.
     """
     decay = 1 - 2 / (span + 1)
-    return math.ceil(60 * math.log(2) / -math.log(decay))
+    power = lambda n: F.pow(F.lit(decay), n)
 
+    def combined(runs: DataFrame, keys: list[str], step: str) -> DataFrame:
+        newer = Window.partitionBy(*keys).orderBy(F.col(step).desc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+        shifted = runs.withColumn("s", F.col("s") * power(F.coalesce(F.sum("n").over(newer), F.lit(0))))
+        return shifted.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
 
-def ewma_last(df: DataFrame, key: str, value: str, span: int = EWMA_SPAN) -> DataFrame:
-    """Last value of the adjusted exponentially weighted mean, per key, in time order.
-
-    A weighted sum over the newest rows; older ones are below double precision, so no
-    group is sorted whole.
-    """
-    decay = F.lit(1 - 2 / (span + 1))
-    newest = top_n_per_group(
-        df.select(key, "created_at", "ticket_id", value), [key],
-        [F.desc("created_at"), F.desc("ticket_id")], _ewma_rows(span))
-    weight = F.pow(decay, F.col("rank") - 1)
-    return newest.groupBy(key).agg((F.sum(F.col(value) * weight) / F.sum(weight)).alias("ewma"))
+    second = F.floor(F.unix_micros("created_at") / 1_000_000)
+    rows = df.select(key, "created_at", "ticket_id", F.col(value).alias("x"), second.alias("second"))
+    order = Window.partitionBy(key, "second").orderBy(F.col("created_at").desc_nulls_first(), F.desc("ticket_id"))
+    rows = rows.withColumn("s", F.col("x") * power(F.row_number().over(order) - 1))
+    seconds = rows.groupBy(key, "second").agg(F.count("*").alias("n"), F.sum("s").alias("s"))
+    hours = combined(seconds.withColumn("hour", F.floor(F.col("second") / 3600)), [key, "hour"], "second")
+    total = combined(hours, [key], "hour")
+    weights = (1 - power(F.col("n"))) / (1 - decay)
+    return total.select(key, (F.col("s") / weights).alias("ewma"))
 
 
 def sentiment_statistics(tickets: DataFrame, key: str = "product", min_rows: int = 50) -> DataFrame:
@@ -100,8 +100,9 @@ def sentiment_statistics(tickets: DataFrame, key: str = "product", min_rows: int
     return out.withColumn("z", (F.col("ewma") - F.col("mean")) / F.col("std"))
 
 
-def sentiment_drift(tickets: DataFrame, key: str = "product", z: float = Z_THRESHOLD) -> DataFrame:
-    hits = sentiment_statistics(tickets, key).filter(F.col("z") < -z)
+def sentiment_drift(tickets: DataFrame, key: str = "product", z: float = Z_THRESHOLD,
+                    min_rows: int = 50) -> DataFrame:
+    hits = sentiment_statistics(tickets, key, min_rows).filter(F.col("z") < -z)
     return hits.select(
         key, "ewma", "mean", "std", "z",
         F.when(F.col("z") > -3, "warning").otherwise("critical").alias("severity"),
@@ -130,21 +131,28 @@ def new_issue_types(
         (F.col("recent_share") > min_recent) & (F.col("hist_share") < max_hist))
 
 
-def all_anomalies(tickets: DataFrame) -> DataFrame:
-    """Findings of the three detectors in one table, most severe first."""
-    volume = volume_anomalies(tickets).select(
+def all_anomalies(tickets: DataFrame, group_cols: list[str] | None = None, z: float = Z_THRESHOLD,
+                  mood_z: float = Z_THRESHOLD, min_rows: int = 50, min_recent: float = 0.05,
+                  max_hist: float = 0.01) -> DataFrame:
+    """Findings of the three detectors in one table, most severe first.
+
+    The defaults are the specification's rules: groups (product, category), z above 2, moods of
+    at least 50 tickets, shares of 5 % recently and 1 % before.
+    """
+    group_cols = group_cols or ["product", "category"]
+    volume = volume_anomalies(tickets, group_cols, z).select(
         F.lit("volume_spike").alias("anomaly_type"), "severity",
         F.format_string("Volume: %.1f/day vs baseline %.1f/day (z=%.2f)",
                         "recent_daily", "mean_daily", "z").alias("description"),
-        F.create_map(F.lit("product"), "product", F.lit("category"), "category").alias("dimensions"),
+        F.create_map(*[x for c in group_cols for x in (F.lit(c), F.col(c))]).alias("dimensions"),
         F.col("recent_daily").alias("metric_value"), "threshold")
-    new = new_issue_types(tickets).select(
+    new = new_issue_types(tickets, min_recent, max_hist).select(
         F.lit("new_issue_type").alias("anomaly_type"), F.lit("info").alias("severity"),
         F.format_string("'%s' emerging for %s: %.1f%%", "category", "product",
                         F.col("recent_share") * 100).alias("description"),
         F.create_map(F.lit("product"), "product", F.lit("category"), "category").alias("dimensions"),
-        F.col("recent_share").alias("metric_value"), F.lit(0.05).alias("threshold"))
-    mood = sentiment_drift(tickets).select(
+        F.col("recent_share").alias("metric_value"), F.lit(min_recent).alias("threshold"))
+    mood = sentiment_drift(tickets, "product", mood_z, min_rows).select(
         F.lit("sentiment_drift").alias("anomaly_type"), "severity",
         F.format_string("Sentiment drift %s: EWMA=%.2f vs mean=%.2f (z=%.2f)",
                         "product", "ewma", "mean", "z").alias("description"),

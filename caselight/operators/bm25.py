@@ -13,9 +13,9 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caselight.functions.text import tokens
-from caselight.operators.scale import broadcast_if_small, measured, top_n_per_group
+from caselight.operators.scale import top_n_per_group
 from caselight.schemas import with_columns
-from caselight.session import partitions_for_state, shared_dir
+from caselight.session import kept_aside, shared_dir, state_partitions
 
 # ---- fixed values: scoring parameters -------------------------------------------
 K1 = 1.5
@@ -23,6 +23,7 @@ B = 0.75
 EPSILON = 0.25
 # ---------------------------------------------------------------------------------
 
+#: Query weights of one block, which every task gets whole.
 QUERY_BYTES = 64 * 1024 * 1024
 
 
@@ -87,13 +88,14 @@ class Bm25Index:
 def build_index(docs: DataFrame, base: str | None = None, buckets: int | None = None) -> Bm25Index:
     """Write postings, terms, category counts and totals; texts are shuffled once."""
     spark = docs.sparkSession
-    buckets = buckets or partitions_for_state(spark)
+    buckets = buckets or state_partitions(spark)
     base = base or shared_dir(spark, "bm25")
     name = f"caselight_postings_{uuid.uuid4().hex[:12]}"
     # the raw texts are spread, which is less to shuffle than their tokens; tokenising
     # and counting then stay in the task that holds the ticket
     by_doc = search_texts(docs).repartition(buckets, "ticket_id")
-    (postings(tokenised(by_doc)).write.bucketBy(buckets, "ticket_id")
+    # sorted by term inside a bucket: a search skips the row groups without its terms
+    (postings(tokenised(by_doc)).write.bucketBy(buckets, "ticket_id").sortBy("term")
      .option("path", f"{base}/postings").format("parquet").saveAsTable(name))
     docs.groupBy("category").agg(F.count("*").alias("n")).write.parquet(f"{base}/categories")
     n = spark.read.parquet(f"{base}/categories").agg(F.sum("n")).first()[0] or 0
@@ -122,7 +124,8 @@ def close_index(spark: SparkSession, index: Bm25Index) -> None:
 
 
 def search(
-    index: Bm25Index, queries: DataFrame, top_k: int = 10, use_category: bool = True
+    index: Bm25Index, queries: DataFrame, top_k: int = 10, use_category: bool = True,
+    query_bytes: int = QUERY_BYTES,
 ) -> DataFrame:
     """Best ``top_k`` tickets with a positive score for every query.
 
@@ -136,7 +139,7 @@ def search(
     )
     known = index.categories(spark).select(
         F.col("category").alias("known_category"))
-    wanted = index.terms(spark).join(broadcast_if_small(q), "term").join(
+    wanted = index.terms(spark).join(q, "term").join(
         known, F.col("category") == F.col("known_category"), "left")
     restrict = F.col("known_category") if use_category else F.lit(None).cast("string")
     weights = wanted.select(
@@ -144,8 +147,10 @@ def search(
         (F.col("qtf") * F.col("idf") * (K1 + 1)).alias("weight"))
     # ticket and query meet in the task that reads the ticket; a query table whose
     # weights exceed the bound is answered in blocks, never by shuffling pairs
-    weights, size = measured(weights)
-    blocks = max(1, -(-size // QUERY_BYTES))
+    weights = kept_aside(weights)
+    texts = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in ("query_id", "term", "only")), F.lit(64))
+    size = weights.agg(F.sum(texts)).first()[0] or 0
+    blocks = max(1, -(-size // (query_bytes // 2)))  # blocks by hash aren't quite even
     found = None
     for b in range(blocks):
         block = weights if blocks == 1 else weights.filter(

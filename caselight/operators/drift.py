@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from caselight.functions.expr import ladder, number, ratio
-from caselight.operators.scale import broadcast_if_small, quantiles
+from caselight.operators.scale import quantiles
 from caselight.schemas import (
     CONFIDENCE_STEPS, CORRECTION_STEPS, DRIFT_CATEGORIES, DRIFT_FEATURES, PSI_STEPS,
     SIGNAL_COLUMNS, severity_rank,
@@ -63,7 +63,8 @@ def psi_bins(reference: DataFrame, current: DataFrame, features: list[str],
         inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
         edges = edges.withColumn("edges", F.concat(
             F.array(F.lit(float("-inf"))), inner, F.array(F.lit(float("inf")))))
-    edges = broadcast_if_small(edges.withColumn("last", F.size("edges") - 1))
+    # one row per listed feature
+    edges = F.broadcast(edges.withColumn("last", F.size("edges") - 1))
 
     both = ref.withColumn("is_ref", F.lit(True)).unionByName(cur.withColumn("is_ref", F.lit(False)))
     position = sum(

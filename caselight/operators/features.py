@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caselight.functions.text import error_codes, word_count
-from caselight.operators.scale import broadcast_if_small
 from caselight.schemas import with_columns
 
 _INPUTS = [
@@ -49,8 +48,8 @@ def ticket_features(tickets: DataFrame) -> DataFrame:
         ((hour < 8) | (hour > 18)).alias("is_after_hours"),
         F.coalesce("product_version_age_days", F.lit(90)).alias("days_since_product_update"),
     )
-    joined = narrow.join(broadcast_if_small(by_customer), "customer_id", "left").join(
-        broadcast_if_small(by_product), "product", "left")
+    joined = narrow.join(by_customer, "customer_id", "left").join(
+        by_product, "product", "left")
     return joined.select(
         "ticket_id", "subject_length", "description_length",
         (F.col("subject_length") + F.col("description_length")).alias("combined_text_length"),

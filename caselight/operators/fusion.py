@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from caselight.functions.text import clean_tickets, distinct_error_codes, index_text
 from caselight.operators import bm25, graph, vectors
-from caselight.operators.scale import broadcast_if_small, top_n_per_group
+from caselight.operators.scale import top_n_per_group
 from caselight.schemas import PRIORITY_ADJACENCY, PRIORITY_ADJACENCY_OTHER, lookup, with_columns
 from caselight.session import shared_dir
 
@@ -73,7 +73,7 @@ def rerank(fused: DataFrame, docs: DataFrame, predictions: DataFrame, top_k: int
     """
     docs = with_columns(docs, PAYLOAD)
     rows = docs.select("ticket_id", *PAYLOAD).join(
-        broadcast_if_small(fused), "ticket_id").join(predictions, "query_id")
+        fused, "ticket_id").join(predictions, "query_id")
     scored = rows.withColumn("final_score", rerank_score(F.col("rrf_score")))
     return top_n_per_group(
         scored, ["query_id"],

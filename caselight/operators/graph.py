@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from caselight.functions.text import distinct_error_codes
 from caselight.operators.scale import first_by_time, top_n_per_group
 
-TEXT_CHARS = 500
+
+def _text(chars: int | None) -> Column:
+    """The resolution, whole unless a length is asked for."""
+    return F.col("resolution") if chars is None else F.left("resolution", F.lit(chars))
 
 
 def product_issues(tickets: DataFrame) -> DataFrame:
@@ -19,26 +22,32 @@ def product_issues(tickets: DataFrame) -> DataFrame:
     )
 
 
-def issue_solutions(tickets: DataFrame) -> DataFrame:
-    """Per category and resolution code: use, success and the earliest text."""
+def issue_solutions(tickets: DataFrame, text_chars: int | None = None) -> DataFrame:
+    """Per category and resolution code: use, success and the earliest text.
+
+    The text is kept whole; ``text_chars`` cuts it.
+    """
     rows = tickets.filter(
         F.col("resolution_code").isNotNull() & F.col("resolution").isNotNull()
         & F.col("category").isNotNull()
     ).withColumn("issue_type", F.col("category"))
     return first_by_time(
         rows, ["issue_type", "resolution_code"],
-        {"resolution_template": F.left("resolution", F.lit(TEXT_CHARS))},
+        {"resolution_template": _text(text_chars)},
         [F.count("ticket_id").alias("usage_count"),
          F.avg(F.col("resolution_helpful").cast("int")).alias("success_rate")])
 
 
-def error_code_mapping(tickets: DataFrame) -> DataFrame:
-    """Per error code, product and category: tickets and the earliest resolution."""
+def error_code_mapping(tickets: DataFrame, text_chars: int | None = None) -> DataFrame:
+    """Per error code, product and category: tickets and the earliest resolution.
+
+    The text is kept whole; ``text_chars`` cuts it.
+    """
     rows = (
         tickets.filter(F.col("error_logs").isNotNull() & F.col("product").isNotNull()
                        & F.col("category").isNotNull())
         .select("ticket_id", "created_at", "product", F.col("category").alias("issue_type"),
-                "resolution_code", F.left("resolution", F.lit(TEXT_CHARS)).alias("text"),
+                "resolution_code", _text(text_chars).alias("text"),
                 F.explode(distinct_error_codes("error_logs")).alias("error_code"))
     )
     return first_by_time(

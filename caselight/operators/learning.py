@@ -11,16 +11,15 @@ from itertools import product
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import HashingTF, IDF, IndexToString, Normalizer, RegexTokenizer
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler  # StringIndexer for labels only
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caselight.functions.expr import flag, number
 from caselight.functions.text import TOKEN, classifier_text
 from caselight.operators.analytics import standardised
 from caselight.operators.evaluation import class_weights, weighted_f1
-from caselight.operators.scale import broadcast_if_small
 from caselight.schemas import (
     CLASSIFIER_BOOLEAN, CLASSIFIER_CATEGORICAL, CLASSIFIER_NUMERIC, CLASSIFIER_TASKS,
     HOURS_BOOLEAN, HOURS_CATEGORICAL, HOURS_NUMERIC, with_columns,
@@ -29,13 +28,24 @@ from caselight.session import ensure_checkpoint_dir
 
 EMBEDDING = 384
 UNKNOWN_LABEL = "UNKNOWN"
+#: Range of the numbers that stand for categories in a model.
+CODES = 1 << 24
+
+
+def category(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit("unknown"))
 
 
 def structured(df: DataFrame, categorical, numeric, boolean) -> DataFrame:
-    """Typed inputs: missing category "unknown", missing number or flag 0."""
+    """Typed inputs: missing category "unknown", missing number or flag 0.
+
+    A model sees a category as a plain number, a hash of its value: a column may have any
+    number of values, none of them is ever listed on the driver, and new ones have a code.
+    """
     df = with_columns(df, [*categorical, *numeric, *boolean])
     return df.withColumns({
-        **{f"{c}_cat": F.coalesce(F.col(c).cast("string"), F.lit("unknown")) for c in categorical},
+        **{f"{c}_cat": category(c) for c in categorical},
+        **{f"{c}_code": F.pmod(F.xxhash64(category(c)), F.lit(CODES)).cast("double") for c in categorical},
         **{f"{c}_num": number(c, 0) for c in numeric},
         **{f"{c}_num": flag(c).cast("double") for c in boolean},
     })
@@ -50,7 +60,7 @@ def scoring_inputs(tickets: DataFrame) -> DataFrame:
 def classifier_inputs(tickets: DataFrame) -> DataFrame:
     """Text and structured columns shared by the four tasks; persist it once."""
     df = with_columns(scoring_inputs(tickets), CLASSIFIER_TASKS.values())
-    keep = [f"{c}_cat" for c in CLASSIFIER_CATEGORICAL]
+    keep = [f"{c}_code" for c in CLASSIFIER_CATEGORICAL]
     keep += [f"{c}_num" for c in CLASSIFIER_NUMERIC + CLASSIFIER_BOOLEAN]
     labels = {
         f"label_{t}": F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN_LABEL))
@@ -59,18 +69,14 @@ def classifier_inputs(tickets: DataFrame) -> DataFrame:
 
 
 def feature_stages() -> list:
-    """Hashed text embedding and alphabetical category codes in one vector."""
-    cats = CLASSIFIER_CATEGORICAL
+    """Hashed text embedding, category codes and numbers in one vector."""
     return [
         RegexTokenizer(inputCol="_text", outputCol="_tok", pattern=TOKEN, gaps=False),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=EMBEDDING),
         IDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="emb"),
-        StringIndexer(
-            inputCols=[f"{c}_cat" for c in cats], outputCols=[f"{c}_idx" for c in cats],
-            stringOrderType="alphabetAsc", handleInvalid="keep"),
         VectorAssembler(
-            inputCols=["emb", *[f"{c}_idx" for c in cats],
+            inputCols=["emb", *[f"{c}_code" for c in CLASSIFIER_CATEGORICAL],
                        *[f"{c}_num" for c in CLASSIFIER_NUMERIC + CLASSIFIER_BOOLEAN]],
             outputCol="features"),
     ]
@@ -80,13 +86,23 @@ def fit_features(inputs: DataFrame) -> PipelineModel:
     return Pipeline(stages=feature_stages()).fit(inputs)
 
 
-def encoded_categories(model: PipelineModel, inputs: DataFrame) -> DataFrame:
-    """Category codes by alphabetical order; -1 for a value the fit did not see."""
-    indexer = next(s for s in model.stages if hasattr(s, "labelsArray"))
-    out = indexer.transform(inputs)
-    return out.withColumns({
-        c: F.when(F.col(c) == len(labels), -1.0).otherwise(F.col(c))
-        for c, labels in zip(indexer.getOutputCols(), indexer.labelsArray)})
+def category_codes(tickets: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(feature, value, code): the values of each column numbered in alphabetical order."""
+    columns = columns or CLASSIFIER_CATEGORICAL
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), category(c).alias("value")) for c in columns])
+    values = with_columns(tickets, columns).select(F.inline(cells)).distinct()
+    order = Window.partitionBy("feature").orderBy("value")
+    return values.withColumn("code", (F.row_number().over(order) - 1).cast("int"))
+
+
+def encoded_categories(tickets: DataFrame, codes: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(ticket_id, <column>_code): -1 for a value that ``codes`` doesn't have."""
+    columns = columns or CLASSIFIER_CATEGORICAL
+    df = with_columns(tickets, columns).select("ticket_id", *[category(c).alias(c) for c in columns])
+    for c in columns:
+        own = codes.filter(F.col("feature") == c).select(F.col("value").alias(c), F.col("code").alias(f"{c}_code"))
+        df = df.join(own, c, "left")
+    return df.select("ticket_id", *[F.coalesce(f"{c}_code", F.lit(-1)).alias(f"{c}_code") for c in columns])
 
 
 def scaled_inputs(tickets: DataFrame) -> DataFrame:
@@ -100,7 +116,7 @@ def fit_task(train: DataFrame, task: str, trees: int = 50, depth: int = 8, seed:
     """One class-weighted forest for a task; ``train`` has ``features`` and labels."""
     label = f"label_{task}"
     weights = class_weights(train, label).select(label, "weight")
-    rows = train.select("features", label).join(broadcast_if_small(weights), label)
+    rows = train.select("features", label).join(weights, label)
     indexer = StringIndexer(
         inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows)
     forest = RandomForestClassifier(
@@ -172,15 +188,12 @@ def fit_hours(tickets: DataFrame, trees: int = 200, depth: int = 5, step: float
     ensure_checkpoint_dir(tickets.sparkSession)
     rows = hours_inputs(tickets.filter(F.col("resolution_time_hours") > 0)).withColumn(
         "_y", F.log1p("resolution_time_hours"))
-    cats = HOURS_CATEGORICAL
     nums = [f"{c}_num" for c in HOURS_NUMERIC + HOURS_BOOLEAN] + ["hour_num"]
     return Pipeline(stages=[
-        StringIndexer(inputCols=[f"{c}_cat" for c in cats], outputCols=[f"{c}_idx" for c in cats],
-                      stringOrderType="alphabetAsc", handleInvalid="keep"),
-        VectorAssembler(inputCols=[f"{c}_idx" for c in cats] + nums, outputCol="features"),
+        VectorAssembler(inputCols=[f"{c}_code" for c in HOURS_CATEGORICAL] + nums, outputCol="features"),
         GBTRegressor(labelCol="_y", featuresCol="features", predictionCol="_log_hours",
                      maxIter=trees, maxDepth=depth, stepSize=step, subsamplingRate=subsample,
-                     maxBins=256, checkpointInterval=20, seed=seed),
+                     checkpointInterval=20, seed=seed),
     ]).fit(rows)
 
 

@@ -53,10 +53,8 @@ def retrain_decision(signals: DataFrame, as_of: Column, last_retrain_at: Column,
 
 def latest_corrections(corrections: DataFrame) -> DataFrame:
     """The last correction of every ticket (ticket_id, corrected, corrected_at)."""
-    return top_n_per_group(
-        corrections.filter(F.col("corrected").isNotNull()).select("ticket_id", "corrected", "corrected_at"),
-        ["ticket_id"], [F.desc("corrected_at"), F.desc("corrected")], 1, salts=1,
-    ).select("ticket_id", "corrected")
+    return corrections.filter(F.col("corrected").isNotNull()).groupBy("ticket_id").agg(
+        F.max(F.struct("corrected_at", "corrected")).alias("last")).select("ticket_id", "last.corrected")
 
 
 def override_labels(tickets: DataFrame, corrections: DataFrame, label: str = "category") -> DataFrame:
@@ -92,21 +90,31 @@ def model_gate(validation: DataFrame, label: str, old_prediction: str, new_predi
 
 def attach_labels(log: DataFrame, labels: DataFrame) -> DataFrame:
     """Every log row of a ticket gets the ticket's latest true label."""
-    latest = top_n_per_group(
-        labels.select("ticket_id", F.col("true_category").alias("_true"), "labelled_at"),
-        ["ticket_id"], [F.desc("labelled_at"), F.desc("_true")], 1, salts=1,
-    ).select("ticket_id", "_true")
+    latest = labels.groupBy("ticket_id").agg(
+        F.max(F.struct("labelled_at", F.col("true_category").alias("_true"))).alias("last")
+    ).select("ticket_id", "last._true")
     return log.drop("true_category", "was_corrected").join(latest, "ticket_id", "left").withColumns({
         "true_category": F.col("_true"),
         "was_corrected": F.coalesce(F.col("predicted_category") != F.col("_true"), F.lit(False)),
     }).drop("_true")
 
 
+def latest_predictions(log: DataFrame) -> DataFrame:
+    """The last log row of every ticket (ticket_id, predicted_category, confidence)."""
+    return log.groupBy("ticket_id").agg(
+        F.max(F.struct("timestamp", "predicted_category", "confidence")).alias("last")
+    ).select("ticket_id", "last.predicted_category", "last.confidence")
+
+
 def shadow_report(primary: DataFrame, shadow: DataFrame, started_at: Column, as_of: Column,
                   policy: RetrainingPolicy = RetrainingPolicy()) -> DataFrame:
-    """Agreement and confidence of a shadow model on the tickets both scored."""
-    p = primary.select("ticket_id", F.col("predicted_category").alias("p_cat"), F.col("confidence").alias("p_conf"))
-    s = shadow.select("ticket_id", F.col("predicted_category").alias("s_cat"), F.col("confidence").alias("s_conf"))
+    """Agreement and confidence of a shadow model on the tickets both scored.
+
+    A ticket that was scored several times counts once, with its latest prediction on
+    each side.
+    """
+    p = latest_predictions(primary).select("ticket_id", F.col("predicted_category").alias("p_cat"), F.col("confidence").alias("p_conf"))
+    s = latest_predictions(shadow).select("ticket_id", F.col("predicted_category").alias("s_cat"), F.col("confidence").alias("s_conf"))
     facts = p.join(s, "ticket_id").agg(
         F.count("*").alias("n_predictions"),
         F.avg(F.col("p_cat").eqNullSafe(F.col("s_cat")).cast("int")).alias("agreement_rate"),
@@ -150,6 +158,11 @@ def metric_snapshot(values: DataFrame, metrics: list[str], as_of: Column,
     return values.select(F.inline(cells)).withColumns({"dimensions": dims, "snapshot_at": as_of})
 
 
+def recent_predictions(log: DataFrame, n: int = 1000) -> DataFrame:
+    """The newest ``n`` log rows of every model."""
+    return top_n_per_group(log, ["model_name"], [F.desc("timestamp"), F.desc("ticket_id")], n).drop("rank")
+
+
 def monitoring_report(signals: DataFrame, decision: DataFrame, shadow: DataFrame,
                       predictions: DataFrame) -> DataFrame:
     """One row: counts of signals, mean confidence, decision and shadow state."""

@@ -20,12 +20,12 @@ ALWAYS = {
     "Affected users": "affected_users", "Business impact": "business_impact",
 }
 OPTIONAL = {
-    "Error logs": ("error_logs", 300),
-    "Stack trace (first 200 chars)": ("stack_trace", 200),
-    "Resolution": ("resolution", 300),
-    "Resolution code": ("resolution_code", None),
-    "Customer feedback": ("feedback_text", 200),
+    "Error logs": "error_logs", "Stack trace": "stack_trace", "Resolution": "resolution",
+    "Resolution code": "resolution_code", "Customer feedback": "feedback_text",
 }
+# lengths for a labeler with a short context; texts are whole unless these are passed
+SHORT_TEXTS = {"error_logs": 300, "stack_trace": 200, "resolution": 300, "feedback_text": 200}
+SHORT_TAGS = 10
 # ---------------------------------------------------------------------------------
 
 
@@ -36,13 +36,17 @@ def _subcategories(category: Column) -> Column:
         F.try_element_at(F.create_map(*pairs), category), F.array().cast("array<string>"))
 
 
-def prompt_fields(df: DataFrame) -> Column:
-    """The ticket part of the prompt, one titled line per field."""
+def prompt_fields(df: DataFrame, text_chars: dict[str, int] | None = None, n_tags: int | None = None) -> Column:
+    """The ticket part of the prompt, one titled line per field.
+
+    Texts and tags are whole; ``text_chars`` (length by column) and ``n_tags`` cut them.
+    """
     lines = []
     for title, col in ALWAYS.items():
         missing = "UNKNOWN" if col == "category" else "N/A"
         lines.append(F.concat(F.lit(f"{title}: "), F.coalesce(F.col(col).cast("string"), F.lit(missing))))
-    for title, (col, chars) in OPTIONAL.items():
+    for title, col in OPTIONAL.items():
+        chars = (text_chars or {}).get(col)
         value = F.col(col) if chars is None else F.left(col, F.lit(chars))
         lines.append(F.when(F.length(col) > 0, F.concat(F.lit(f"{title}: "), value)))
     escalated = F.coalesce("escalated", F.lit(False))
@@ -50,20 +54,21 @@ def prompt_fields(df: DataFrame) -> Column:
     lines.append(F.when(escalated & (F.length("escalation_reason") > 0),
                         F.concat(F.lit("Escalation reason: "), "escalation_reason")))
     lines.append(F.when(F.size("tags") > 0, F.concat(
-        F.lit("Tags: "), F.array_join(F.slice("tags", 1, 10), ", "))))
+        F.lit("Tags: "), F.array_join("tags" if n_tags is None else F.slice("tags", 1, n_tags), ", "))))
     return F.concat_ws("\n", *lines)
 
 
-def with_prompt(tickets: DataFrame, out: str = "prompt") -> DataFrame:
+def with_prompt(tickets: DataFrame, out: str = "prompt", text_chars: dict[str, int] | None = None,
+                n_tags: int | None = None) -> DataFrame:
     """Add the labelling prompt."""
-    cols = [*ALWAYS.values(), *[c for c, _ in OPTIONAL.values()], "escalated", "escalation_reason", "tags"]
+    cols = [*ALWAYS.values(), *OPTIONAL.values(), "escalated", "escalation_reason", "tags"]
     df = with_columns(tickets, cols)
     category = F.coalesce("category", F.lit("UNKNOWN"))
     return df.withColumn(out, F.concat_ws(
         "\n",
         F.lit("Review the labels of this support ticket and give the correct values."),
         F.concat(F.lit('The category "'), category, F.lit('" is correct; keep it.')),
-        F.lit("\nTICKET:"), prompt_fields(df), F.lit(""),
+        F.lit("\nTICKET:"), prompt_fields(df, text_chars, n_tags), F.lit(""),
         F.concat(F.lit("subcategory, exactly one of: "), F.array_join(_subcategories(category), ", ")),
         F.lit("priority, exactly one of: " + ", ".join(PRIORITIES)),
         F.lit("sentiment, exactly one of: " + ", ".join(SENTIMENTS)),

@@ -1,44 +1,19 @@
 """Building blocks that stay distributed whatever the size of one group.
 
-Nothing here sorts or collects a whole group in one task: quantiles come from a
-bounded histogram followed by a look into the few buckets that matter, top-n
-works in two levels, and a broadcast happens only after its size was measured.
+Nothing here sorts or collects a whole group in one task: quantiles come from bounded
+histograms that are refined around the wanted ranks, and top-n works in two levels.
+Whether a small side is broadcast is left to the engine's run-time planning.
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from caselight.functions.expr import same
 
-BROADCAST_BYTES = 32 * 1024 * 1024
 SALTS = 32
-
-
-def measured(df: DataFrame) -> tuple[DataFrame, int]:
-    """The rows kept, and their estimated bytes.
-
-    The side, an aggregate or a batch of queries, is persisted so that measuring it
-    does not compute it twice.
-    """
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    nested = (T.ArrayType, T.MapType, T.StructType)
-    text = lambda f: F.to_json(F.col(f.name)) if isinstance(f.dataType, nested) else F.col(f.name).cast("string")
-    width = sum(
-        (F.coalesce(F.octet_length(text(f)), F.lit(0)) for f in df.schema.fields),
-        F.lit(16 * len(df.columns)))
-    return kept, kept.agg(F.sum(width).alias("b")).first().b or 0
-
-
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast only for a side whose size was measured.
-
-    A larger side gets no hint: Spark then shuffles both sides and splits skewed keys
-    itself.
-    """
-    kept, size = measured(df)
-    return F.broadcast(kept) if size <= max_bytes else kept
+#: Histogram sizes: buckets per e-fold of the first level, equal parts of the second.
+PER_EFOLD, PARTS = 256, 1 << 16
 
 
 def top_n_per_group(
@@ -54,8 +29,6 @@ def top_n_per_group(
     """
     inner = Window.partitionBy(*keys, "_salt").orderBy(*order)
     outer = Window.partitionBy(*keys).orderBy(*order)
-    if salts <= 1:
-        return df.withColumn(rank, F.row_number().over(outer)).filter(F.col(rank) <= n)
     return (
         df.withColumn("_salt", F.spark_partition_id() % salts)
         .withColumn(rank, F.row_number().over(inner)).filter(F.col(rank) <= n)
@@ -64,9 +37,15 @@ def top_n_per_group(
     )
 
 
-def _bucket(v: Column) -> Column:
-    """A monotone bucket number, fine near zero; at most about 6 million buckets."""
-    return F.floor(F.signum(v) * F.log1p(F.abs(v) * F.lit(1e6)) * F.lit(4096.0))
+def _first_level(v: Column) -> Column:
+    """A monotone bucket number, relative to the value's size; a few hundred thousand at most."""
+    return F.floor(F.signum(v) * F.log1p(F.abs(v) * F.lit(1e6)) * F.lit(float(PER_EFOLD))).cast("long")
+
+
+def _second_level(v: Column, low: Column, high: Column) -> Column:
+    """Equal parts between the least and the greatest value of a first-level bucket."""
+    share = F.try_divide(v - low, high - low)
+    return F.coalesce(F.floor(share * F.lit(float(PARTS))).cast("long"), F.lit(0).cast("long"))
 
 
 def quantiles(
@@ -74,45 +53,55 @@ def quantiles(
 ) -> DataFrame:
     """Exact interpolated quantiles of ``value`` per group, as an array column.
 
-    First pass: counts per bucket, combined before the shuffle. From them follows
-    which buckets hold the wanted ranks. Second pass: only the rows of those
-    buckets, as counts per distinct value. No group is ever collected or sorted
-    whole, and the result equals a full sort.
+    First pass: counts, least and greatest value per bucket of a relative scale, combined
+    before the shuffle; they tell which buckets hold the wanted ranks. Second pass: only the
+    rows of those buckets, counted in equal parts between the bucket's own least and greatest
+    value, so values that lie close together (epoch seconds, 100 to 101) spread as well. Third
+    pass: the distinct values of the parts that hold the ranks. No group and no bucket is ever
+    collected or sorted whole, and the result equals a full sort.
     """
     ks = [f"_k{i}" for i in range(len(keys))]
     vals = (
         df.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], value.cast("double").alias("_v"))
         .filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-        .withColumn("_b", _bucket(F.col("_v")))
+        .withColumn("_b", _first_level(F.col("_v")))
     )
     if not ks:
         ks, vals = ["_k0"], vals.withColumn("_k0", F.lit(0))
+    ts = [f"_t{k}" for k in ks]
+    in_group = same([F.col(k) for k in ks], [F.col(t) for t in ts])
 
-    by_bucket = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     ends = lambda p: [f(p * (F.col("_total") - 1)).cast("long") for f in (F.floor, F.ceil)]
-    ranks = F.flatten(F.transform(wanted, lambda p: F.array(*ends(p))))
-    targets = (
-        vals.groupBy(*ks, "_b").agg(F.count("*").alias("_c"))
+    ranks = F.array_distinct(F.flatten(F.transform(wanted, lambda p: F.array(*ends(p)))))
+    here = F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_cum")))
+
+    by_bucket = Window.partitionBy(*ks).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)
+    first = (
+        vals.groupBy(*ks, "_b").agg(F.count("*").alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
         .withColumn("_cum", F.sum("_c").over(by_bucket))
         .withColumn("_total", F.sum("_c").over(Window.partitionBy(*ks)))
-        .withColumn("_before", F.col("_cum") - F.col("_c"))
-        .filter(F.exists(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_cum"))))
-        .select(*[F.col(k).alias(f"_t{k}") for k in ks], F.col("_b").alias("_tb"),
-                "_before", "_total")
+        .withColumn("_before", F.col("_cum") - F.col("_c")).filter(here)
+        .select(*[F.col(k).alias(t) for k, t in zip(ks, ts)], F.col("_b").alias("_tb"), "_low", "_high", "_before", "_total")
     )
-    cond = same([F.col(k) for k in ks], [F.col(f"_t{k}") for k in ks])
-    by_value = (
-        Window.partitionBy(*ks, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    inner = (
+        vals.join(first, in_group & (F.col("_b") == F.col("_tb"))).drop(*ts, "_tb")
+        .withColumn("_p", _second_level(F.col("_v"), F.col("_low"), F.col("_high")))
     )
-    upto = F.col("_before") + F.sum("_c").over(by_value)
+    by_part = Window.partitionBy(*ks, "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
+    second = (
+        inner.groupBy(*ks, "_b", "_before", "_total", "_p").agg(F.count("*").alias("_c"))
+        .withColumn("_cum", F.col("_before") + F.sum("_c").over(by_part))
+        .withColumn("_before", F.col("_cum") - F.col("_c")).filter(here)
+        .select(*[F.col(k).alias(t) for k, t in zip(ks, ts)], F.col("_b").alias("_tb"), F.col("_p").alias("_tp"), F.col("_before").alias("_start"))
+    )
+    by_value = Window.partitionBy(*ks, "_b", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     picked = (
-        vals.join(broadcast_if_small(targets), cond & (F.col("_b") == F.col("_tb")))
-        .groupBy(*ks, "_b", "_before", "_total", "_v").agg(F.count("*").alias("_c"))
-        .withColumn("_upto", upto)
-        .withColumn("_hit", F.filter(
-            F.array_distinct(ranks),
-            lambda r: (r >= F.col("_upto") - F.col("_c")) & (r < F.col("_upto"))))
+        inner.drop("_before").join(second, in_group & (F.col("_b") == F.col("_tb")) & (F.col("_p") == F.col("_tp")))
+        .groupBy(*ks, "_b", "_p", "_start", "_total", "_v").agg(F.count("*").alias("_c"))
+        .withColumn("_cum", F.col("_start") + F.sum("_c").over(by_value))
+        .withColumn("_before", F.col("_cum") - F.col("_c"))
+        .withColumn("_hit", F.filter(ranks, lambda r: (r >= F.col("_before")) & (r < F.col("_cum"))))
         .filter(F.size("_hit") > 0)
         .groupBy(*ks, "_total")
         .agg(F.map_from_entries(F.flatten(F.collect_list(
@@ -144,7 +133,6 @@ def first_by_time(
     facts = rows.groupBy(*keys).agg(
         *(aggs or []),
         *[F.min(F.when(F.col(f"_v_{n}").isNotNull(), F.col("_at"))).alias(f"_t_{n}") for n in values])
-    facts = broadcast_if_small(facts)
     ks = [f"_f{i}" for i in range(len(keys))]
     times = facts.select(
         *[F.col(k).alias(a) for k, a in zip(keys, ks)], *[f"_t_{n}" for n in values])

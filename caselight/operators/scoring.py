@@ -17,7 +17,7 @@ ACTION_WORDS = [
 OUTCOME_WORDS = ["resolved", "fixed", "working", "confirmed"]
 FILE_SUFFIX = r"\.(yaml|json|conf|py|js|xml|ini)"
 VERSION_WORDS = ["version", "upgrade", "patch"]
-VERSION_NUMBER = r"v[0-9]"
+VERSION_NUMBER = r"v\p{Nd}"
 TOOL_WORDS = ["command", "script", "query", "api", "endpoint"]
 # ---------------------------------------------------------------------------------
 
@@ -74,8 +74,7 @@ def quality_metrics(scored: DataFrame, keys: list[str] | None = None) -> DataFra
     """Count, mean, median, lower quartile and low / high shares, overall or per key."""
     keys = keys or []
     q = F.col("quality_score")
-    # the patterns run once; what is kept is one number per result and its key
-    scored = scored.select(*keys, "quality_score").persist()
+    scored = scored.select(*keys, "quality_score")
     facts = scored.filter(q.isNotNull()).groupBy(*keys).agg(
         F.count("*").alias("n_results_scored"),
         F.avg(q).alias("mean_quality"),

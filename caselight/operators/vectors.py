@@ -1,23 +1,28 @@
-"""Vector search: encoder, exact cosine top-k and a hashed approximate variant."""
+"""Vector search: encoder, exact cosine top-k and a hashed approximate variant.
+
+Queries stay a table. Vectors are dealt into chunks of bounded size within each combination
+of filter values, queries into blocks, and every block meets only the chunks that its filters
+allow; the product of a block and a chunk is cut to the best of each query where it is made.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import (
-    IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer, RegexTokenizer,
-)
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from caselight.functions.text import TOKEN
 from caselight.operators.scale import top_n_per_group
 
 DIMENSIONS = 384
-QUERY_BLOCK = 4096
+#: Vectors of a chunk, queries of a block, and rows of a chunk that are multiplied at once.
+CHUNK_ROWS, QUERY_BLOCK, SLICE = 16_384, 1024, 2048
 
 
 def _best_first():
@@ -40,95 +45,162 @@ def encode(model: PipelineModel, texts: DataFrame, out: str = "vector") -> DataF
         "_tok", "_tf", "_idf", "_unit")
 
 
-def _scan(q: pd.DataFrame, top_k: int, filters: list[str]):
-    """Task function: keep the best ``top_k`` of every query over all its batches."""
-    qm = np.stack(q["vector"].to_numpy()).astype(np.float64)
-    norms = np.linalg.norm(qm, axis=1, keepdims=True)
-    qm = qm / np.where(norms == 0, 1, norms)
-    qids = q["query_id"].to_numpy()
+def _unit(column: pd.Series) -> np.ndarray:
+    m = np.stack(column.to_numpy()).astype(np.float64)
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norms == 0, 1, norms)
 
-    def best(ids: np.ndarray, scores: np.ndarray):
-        keep = np.flatnonzero(scores > -np.inf)
-        rounded = np.round(scores[keep], 9)  # equal vectors must tie
-        if len(keep) > top_k:
-            kth = np.partition(rounded, len(keep) - top_k)[len(keep) - top_k]
-            keep, rounded = keep[rounded >= kth], rounded[rounded >= kth]
-        order = np.lexsort((ids[keep], -rounded))[:top_k]
-        return ids[keep][order], scores[keep][order]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = [(np.empty(0, dtype=object), np.empty(0))] * len(q)
-        for b in batches:
-            if b.empty:
-                continue
-            m = np.stack(b["vector"].to_numpy()).astype(np.float64)
-            n = np.linalg.norm(m, axis=1, keepdims=True)
-            sims = qm @ (m / np.where(n == 0, 1, n)).T
+def _best(ids: np.ndarray, scores: np.ndarray, top_k: int) -> tuple[np.ndarray, np.ndarray]:
+    keep = np.flatnonzero(scores > -np.inf)
+    rounded = np.round(scores[keep], 9)  # equal vectors must tie
+    if len(keep) > top_k:
+        kth = np.partition(rounded, len(keep) - top_k)[len(keep) - top_k]
+        keep, rounded = keep[rounded >= kth], rounded[rounded >= kth]
+    order = np.lexsort((ids[keep], -rounded))[:top_k]
+    return ids[keep][order], scores[keep][order]
+
+
+_FOUND = "query_id string, ticket_id string, score double"
+
+
+def _rows(queries: list, tickets: list, scores: list) -> pd.DataFrame:
+    return pd.DataFrame({"query_id": pd.Series(queries, dtype=object), "ticket_id": pd.Series(tickets, dtype=object),
+                         "score": pd.Series(scores, dtype=float)})
+
+
+def _multiply(top_k: int, filters: list[str]):
+    """The best ``top_k`` vectors of a chunk for every query of a block."""
+    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        if vectors.empty or queries.empty:
+            return _rows([], [], [])
+        qm = _unit(queries["qvector"])
+        held = [(np.empty(0, dtype=object), np.empty(0))] * len(queries)
+        for at in range(0, len(vectors), SLICE):
+            part = vectors.iloc[at : at + SLICE]
+            sims = qm @ _unit(part["vector"]).T
             for f in filters:
-                want, have = q[f].to_numpy(dtype=object), b[f].to_numpy(dtype=object)
-                free = pd.isna(want)[:, None]
-                sims = np.where(free | (want[:, None] == have[None, :]), sims, -np.inf)
-            ids = b["ticket_id"].to_numpy(dtype=object)
-            held = [
-                best(np.concatenate([h[0], ids]), np.concatenate([h[1], s]))
-                for h, s in zip(held, sims)
-            ]
-        for qid, (ids, scores) in zip(qids, held):
-            if len(ids):
-                yield pd.DataFrame({"query_id": qid, "ticket_id": ids, "score": scores})
+                want, have = queries[f"_{f}"].to_numpy(dtype=object), part[f].to_numpy(dtype=object)
+                sims = np.where(pd.isna(want)[:, None] | (want[:, None] == have[None, :]), sims, -np.inf)
+            ids = part["ticket_id"].to_numpy(dtype=object)
+            held = [_best(np.concatenate([h[0], ids]), np.concatenate([h[1], s]), top_k) for h, s in zip(held, sims)]
+        names = [q for q, (ids, _) in zip(queries["query_id"], held) for _ in ids]
+        return _rows(names, [i for ids, _ in held for i in ids], [x for _, scores in held for x in scores])
 
     return run
 
 
 def cosine_top_k(
-    vectors: DataFrame, queries: DataFrame, top_k: int = 10, filters: tuple[str, ...] = ()
+    vectors: DataFrame, queries: DataFrame, top_k: int = 10, filters: tuple[str, ...] = (),
+    chunk_rows: int = CHUNK_ROWS, query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Exact cosine top-k of every query; ``filters`` are equality columns.
 
-    A task multiplies its batches with a block of at most about ``QUERY_BLOCK`` query
-    vectors and returns ``top_k`` rows per query; pairs never leave it. A larger query
-    table is answered block by block. A NULL filter value matches everything.
+    A NULL filter value matches everything. The numbers of chunks and blocks follow from the
+    tables within the plan; nothing comes to the driver. Vectors are repeated once per block
+    of queries, queries once per chunk that they may match.
     """
-    q = queries.select("query_id", "vector", *filters)
-    n = q.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    parts = None
-    for b in range(blocks):
-        block = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        local = block.toPandas()
-        if local.empty:
-            continue
-        found = vectors.select("ticket_id", "vector", *filters).mapInPandas(
-            _scan(local, top_k, list(filters)), "query_id string, ticket_id string, score double")
-        parts = found if parts is None else parts.unionByName(found)
-    if parts is None:
-        parts = vectors.sparkSession.createDataFrame(
-            [], "query_id string, ticket_id string, score double")
-    return top_n_per_group(parts, ["query_id"], _best_first(), top_k)
+    names = list(filters)
+    v = vectors.select("ticket_id", "vector", *names)
+    q = queries.select("query_id", F.col("vector").alias("qvector"), *[F.col(f).alias(f"_{f}") for f in names])
+
+    chunks = F.ceil(F.count("*") / chunk_rows).cast("int").alias("n_chunks")
+    sizes = v.groupBy(*names).agg(chunks) if names else v.agg(chunks)
+    group = F.xxhash64(F.lit(0), *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in names])
+    sizes = sizes.select("n_chunks", group.alias("g"), *names)
+    n_blocks = q.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / query_block)).cast("int")).scalar()
+
+    v = v.withColumn("g", group).join(sizes.select("g", "n_chunks"), "g")
+    v = v.select("ticket_id", "vector", *names, F.xxhash64("g", F.pmod(F.xxhash64("ticket_id"), "n_chunks")).alias("chunk"),
+                 F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"))
+
+    # a query meets the groups that agree with its filters, one kind of missing filters at a time
+    parts = sizes.select(*names, F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("n_chunks") - 1), lambda i: F.xxhash64("g", i.cast("long")))).alias("chunk"))
+    q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), n_blocks).cast("int"))
+    asked = None
+    for given in product((True, False), repeat=len(names)):
+        kind = q
+        for f, g in zip(names, given):
+            kind = kind.filter(F.col(f"_{f}").isNotNull() if g else F.col(f"_{f}").isNull())
+        keys = [f for f, g in zip(names, given) if g]
+        if keys:
+            some = parts.groupBy(*keys).agg(F.collect_list("chunk").alias("chunks"))
+            met = kind.join(some.select("chunks", *[F.col(f).alias(f"_{f}") for f in keys]), [f"_{f}" for f in keys])
+        else:
+            met = kind.withColumn("chunks", parts.agg(F.collect_list("chunk")).scalar())
+        met = met.select(*q.columns, F.explode("chunks").alias("chunk"))
+        asked = met if asked is None else asked.unionByName(met)
+    found = v.groupBy("chunk", "block").cogroup(asked.groupBy("chunk", "block")).applyInPandas(
+        _multiply(top_k, names), _FOUND)
+    return top_n_per_group(found, ["query_id"], _best_first(), top_k)
+
+
+def _sign_codes(tables: int, bits: int, seed: int, column: str, flips: int):
+    """Per row and table the signs of ``bits`` random projections as one number, and the
+    numbers that differ from it in up to ``flips`` of the least certain signs."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        planes = None
+        for b in batches:
+            if b.empty:
+                continue
+            unit = _unit(b[column])
+            if planes is None:
+                planes = np.random.default_rng(seed).normal(size=(unit.shape[1], tables * bits))
+            side = (unit @ planes).reshape(len(b), tables, bits)
+            code = ((side > 0) << np.arange(bits)).sum(axis=2)
+            near = np.argsort(np.abs(side), axis=2)[:, :, :flips]
+            codes = np.concatenate([code[:, :, None], code[:, :, None] ^ (1 << near)], axis=2)
+            keys = (np.arange(tables)[None, :, None] << bits | codes).reshape(len(b), -1)
+            yield b.assign(keys=list(keys.astype(np.int64)))
+
+    return run
+
+
+def approximate_candidates(
+    vectors: DataFrame, queries: DataFrame, bits: int = 10, tables: int = 24, flips: int = 2, seed: int = 42,
+) -> DataFrame:
+    """(query_id, ticket_id): pairs that share the signs of ``bits`` random projections in one
+    of ``tables`` tables, or all but one of the query's ``flips`` least certain ones."""
+    data = vectors.select("ticket_id", "vector").mapInPandas(
+        _sign_codes(tables, bits, seed, "vector", 0), "ticket_id string, vector array<double>, keys array<long>")
+    asked = queries.select("query_id", "vector").mapInPandas(
+        _sign_codes(tables, bits, seed, "vector", flips), "query_id string, vector array<double>, keys array<long>")
+    left = data.select("ticket_id", F.explode("keys").alias("key"))
+    right = asked.select("query_id", F.explode("keys").alias("key"))
+    return left.join(right, "key").select("query_id", "ticket_id").distinct()
 
 
 def approximate_top_k(
-    vectors: DataFrame, queries: DataFrame, top_k: int = 10, bucket: float = 2.0,
-    tables: int = 6, max_distance: float = 1.3, seed: int = 42,
+    vectors: DataFrame, queries: DataFrame, top_k: int = 10, bits: int = 10, tables: int = 24,
+    flips: int = 2, seed: int = 42,
 ) -> DataFrame:
-    """Top-k by random-projection hashing on unit vectors, scored exactly.
+    """Top-k among the candidates of sign hashing, scored exactly.
 
-    Only vectors that share a bucket with a query in some table are compared.
+    Only candidates are compared, whatever their distance; a query with fewer than ``top_k``
+    candidates has fewer rows. ``approximate_quality`` reports recall and candidates.
     """
-    def unit(df: DataFrame, key: str) -> DataFrame:
-        return Normalizer(inputCol="_v", outputCol="unit").transform(
-            df.select(key, array_to_vector(F.col("vector").cast("array<double>")).alias("_v"))
-        ).drop("_v")
-
-    data, asked = unit(vectors, "ticket_id"), unit(queries, "query_id")
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="unit", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed)
-    model = lsh.fit(data)
-    near = model.approxSimilarityJoin(data, asked, max_distance, "distance").select(
-        F.col("datasetB.query_id").alias("query_id"),
-        F.col("datasetA.ticket_id").alias("ticket_id"),
-        (1 - F.col("distance") * F.col("distance") / 2).alias("score"))
-    return top_n_per_group(near, ["query_id"], _best_first(), top_k)
+    pairs = approximate_candidates(vectors, queries, bits, tables, flips, seed)
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"))
+    data = vectors.select("ticket_id", F.col("vector").cast("array<double>").alias("v"))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    norm = F.sqrt(dot("q", "q")) * F.sqrt(dot("v", "v"))
+    scored = pairs.join(data, "ticket_id").join(asked, "query_id").select(
+        "query_id", "ticket_id", F.coalesce(F.try_divide(dot("q", "v"), norm), F.lit(0.0)).alias("score"))
+    return top_n_per_group(scored, ["query_id"], _best_first(), top_k)
+
+
+def approximate_quality(vectors: DataFrame, queries: DataFrame, top_k: int = 10, **hashing) -> DataFrame:
+    """Per query: candidates, their share of all vectors, and recall of the exact top-k."""
+    exact = cosine_top_k(vectors, queries, top_k).select("query_id", "ticket_id")
+    pairs = approximate_candidates(vectors, queries, **hashing)
+    hits = exact.join(pairs.withColumn("hit", F.lit(1)), ["query_id", "ticket_id"], "left")
+    recall = hits.groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
+    counts = pairs.groupBy("query_id").agg(F.count("*").alias("candidates"))
+    total = vectors.agg(F.count("*")).scalar()
+    return recall.join(counts, "query_id", "left").select(
+        "query_id", F.coalesce("candidates", F.lit(0)).alias("candidates"),
+        (F.coalesce("candidates", F.lit(0)) / total).alias("candidate_share"), "recall")
 
 
 def centroids(vectors: DataFrame, key: str, query_id: str = "query_id") -> DataFrame:

@@ -5,17 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from caselight.operators import bm25, features, fusion, lifecycle, quality, split
+from caselight.session import kept_aside
 from caselight.sources import tickets as store
 
 
-def ingest(raw: DataFrame, base: str, on_fail: str = "warn") -> DataFrame:
+def ingest(raw: DataFrame, base: str, on_fail: str = "warn", contract: bool = False) -> DataFrame:
     """Check, split, derive features, store, index and rebuild the edge tables.
 
-    Tickets are written once and every later step reads the written table. Returns
-    the summary rows (kind, name, n).
+    Tickets are written once and every later step reads the written table. Records that could
+    not be read, and with ``contract`` rows that break the input contract, go to
+    ``quarantine`` with the reason. Returns the summary rows (kind, name, n); what is counted
+    as total and as quarantine adds up to the input.
     """
     spark = raw.sparkSession
-    checks = quality.dataset_checks(raw).persist()
+    given = raw.columns
+    raw, unreadable = store.split_readable(raw)
+    bad = unreadable.withColumn("reason", F.lit("unreadable"))
+    if contract:
+        raw, broken = quality.split_valid(raw)
+        raw = raw.select([c for c in given if c in raw.columns])
+        broken = broken.withColumn("reason", F.array_join("reasons", "; ")).drop("reasons")
+        bad = bad.unionByName(broken, allowMissingColumns=True)
+    bad.write.mode("overwrite").parquet(f"{base}/quarantine")
+    checks = kept_aside(quality.dataset_checks(raw))
     quality.enforce(checks, on_fail)
     store.append_tickets(split.temporal_split(raw), f"{base}/tickets")
     tickets = store.read_tickets(spark, f"{base}/tickets")
@@ -29,6 +41,8 @@ def ingest(raw: DataFrame, base: str, on_fail: str = "warn") -> DataFrame:
     tables["vectors"] = vectors
     out = quality.ingest_summary(tickets).unionByName(checks.select(
         F.lit("check").alias("kind"), F.col("check").alias("name"), F.col("passed").cast("long").alias("n")))
+    quarantined = spark.read.parquet(f"{base}/quarantine").groupBy("reason").agg(F.count("*").alias("n"))
+    out = out.unionByName(quarantined.select(F.lit("quarantine").alias("kind"), F.col("reason").alias("name"), "n"))
     for name, table in tables.items():
         out = out.unionByName(table.agg(F.count("*").alias("n")).select(
             F.lit("table").alias("kind"), F.lit(name).alias("name"), "n"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from caselight.session import use_utc
+from caselight.session import shared_dir, use_utc
 
 TIERS = ["enterprise", "premium", "standard", "free"]
 PRIORITIES = ["critical", "high", "medium", "low"]
@@ -25,15 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores where a table of long texts comes in fewer splits than there are.
-
-    That is a matter of small data in one file; a table of many files stays as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def pick(values: list[str], index: Column) -> Column:
     """Element of a fixed list by 0-based position modulo its length."""
     return F.get(F.array(*[F.lit(v) for v in values]), F.pmod(index, F.lit(len(values))).cast("int"))
@@ -89,9 +80,36 @@ def tickets_e(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_as_tickets(table(spark, sf_dir, "events"))
 
 
+def tickets_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event tickets with a spike in two products, a bad mood in a third and a new category in
+    a fourth, all near the end."""
+    t = tickets_e(spark, sf_dir)
+    newest = t.agg(F.max("created_at")).scalar()
+    since = lambda days: F.col("created_at") >= newest - F.make_dt_interval(days=F.lit(days))
+    product = F.col("product")
+    copies = F.when(since(7) & (product == "P1"), 9).when(since(7) & (product == "P2"), 2).otherwise(1)
+    new = since(2) & (product == "P4") & (F.col("ticket_id").cast("long") % 2 == 0)
+    return t.withColumn("copy", F.explode(F.sequence(F.lit(1), copies))).withColumns({
+        "ticket_id": F.concat("ticket_id", F.lit("-"), "copy"),
+        "category": F.when(new, "outage").otherwise(F.col("category")),
+        "customer_sentiment": F.when(since(1) & (product == "P3"), "angry").otherwise(F.col("customer_sentiment")),
+    }).drop("copy")
+
+
+def event_files(spark: SparkSession, sf_dir: str, n: int = 4, times: int = 1) -> str:
+    """The events written as ``n`` files, each over the whole time, for streams of many batches;
+    every event is delivered ``times`` times."""
+    base = shared_dir(spark, "event-files")
+    events = table(spark, sf_dir, "events")
+    if times > 1:
+        events = events.withColumn("_t", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("_t")
+    events.repartition(n).write.parquet(base)
+    return base
+
+
 def tickets_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as tickets: first line the subject, the rest the resolution."""
-    d = spread(table(spark, sf_dir, "documents"), "doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     i = F.col("doc_id")
     code = F.concat(F.lit("ERROR_"), F.upper("source"), F.lit("_"), (i % 7).cast("string"))
     rest = F.when(
@@ -140,7 +158,7 @@ def tickets_o(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tickets_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as tickets with HTML bodies."""
-    return spread(table(spark, sf_dir, "pages"), "page_id").select(
+    return table(spark, sf_dir, "pages").select(
         F.col("page_id").cast("string").alias("ticket_id"), F.col("url").alias("subject"),
         F.col("html").alias("description"), F.col("html").alias("resolution"))
 

@@ -14,7 +14,7 @@ from caselight.operators import (
 from caselight.operators.scale import top_n_per_group
 from caselight.plans import bindings as b, batch as jobs_batch
 from caselight.schemas import DRIFT_FEATURES
-from caselight.session import shared_dir
+from caselight.session import kept_aside, shared_dir
 from caselight.sources import tickets as store
 from caselight.streaming import jobs
 
@@ -110,16 +110,10 @@ def scaled_features(spark, d):
 
 @register
 def encoded_categories(spark, d):
-    inputs = learning.structured(
-        b.tickets_e(spark, d), learning.CLASSIFIER_CATEGORICAL, [], [])
-    from pyspark.ml.feature import StringIndexer
-
-    cats = ["product", "customer_tier", "severity", "channel"]
-    model = StringIndexer(
-        inputCols=[f"{c}_cat" for c in cats], outputCols=[f"{c}_idx" for c in cats],
-        stringOrderType="alphabetAsc", handleInvalid="keep").fit(inputs)
-    return model.transform(inputs).select(
-        "ticket_id", *[F.col(f"{c}_idx").cast("int").alias(f"{c}_code") for c in cats])
+    """Codes of the older rows, some values left out, applied to the newest week."""
+    older, newer = week_windows(b.tickets_e(spark, d))
+    codes = learning.category_codes(older.filter("product <> 'P2' and channel <> 'email'"))
+    return learning.encoded_categories(newer, codes)
 
 
 # ---- text -----------------------------------------------------------------------
@@ -235,6 +229,13 @@ def vector_topk_lsh(spark, d):
     return vectors.approximate_top_k(b.vectors_v(spark, d), _category_queries(spark, d), 10)
 
 
+@register
+def vector_lsh_quality(spark, d):
+    """Recall and candidates of the hashed search beside the exact one."""
+    out = vectors.approximate_quality(b.vectors_v(spark, d), _category_queries(spark, d), 10)
+    return rounded(out)
+
+
 @register
 def vector_count(spark, d):
     return b.vectors_v(spark, d).agg(F.count("*").alias("n"))
@@ -340,7 +341,7 @@ def volume_statistics(spark, d):
 
 @register
 def volume_anomalies(spark, d):
-    return rounded(anomaly.volume_anomalies(b.tickets_e(spark, d)))
+    return rounded(anomaly.volume_anomalies(b.tickets_a(spark, d)))
 
 
 @register
@@ -350,7 +351,7 @@ def sentiment_statistics(spark, d):
 
 @register
 def sentiment_drift(spark, d):
-    return rounded(anomaly.sentiment_drift(b.tickets_e(spark, d)))
+    return rounded(anomaly.sentiment_drift(b.tickets_a(spark, d), z=1.0))
 
 
 @register
@@ -360,13 +361,16 @@ def issue_shares(spark, d):
 
 @register
 def new_issue_types(spark, d):
-    return rounded(anomaly.new_issue_types(b.tickets_o(spark, d)))
+    return rounded(anomaly.new_issue_types(b.tickets_a(spark, d)))
 
 
 @register
 def all_anomalies(spark, d):
-    return rounded(anomaly.all_anomalies(b.tickets_e(spark, d)).select(
-        "anomaly_type", "severity", "metric_value", "threshold"))
+    found = anomaly.all_anomalies(b.tickets_a(spark, d), mood_z=1.0)
+    return rounded(found.select(
+        "anomaly_type", F.try_element_at("dimensions", F.lit("product")).alias("product"),
+        F.try_element_at("dimensions", F.lit("category")).alias("category"),
+        "severity", "metric_value", "threshold"))
 
 
 # ---- drift ----------------------------------------------------------------------
@@ -511,7 +515,7 @@ def monitoring_report(spark, d):
     signals = _all_signals(spark, d)
     decision = lifecycle.retrain_decision(
         signals, as_of, as_of - F.expr("INTERVAL 2 DAYS"), F.lit(0))
-    last = log.orderBy(F.desc("timestamp"), F.desc("ticket_id")).limit(1000)
+    last = lifecycle.recent_predictions(log, 1000)
     return rounded(lifecycle.monitoring_report(signals, decision, _shadow(spark, d), last))
 
 
@@ -557,17 +561,11 @@ def satisfaction_drivers(spark, d):
     return analytics.satisfaction_drivers(b.tickets_e(spark, d))
 
 
-_HOURS_MODELS: dict[tuple[str, str], str] = {}
-
-
 def _hours_model(spark, d):
-    """The regressor of a data set: fitted and saved once per application, then loaded."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _HOURS_MODELS:
-        path = shared_dir(spark, "hours-model")
-        learning.fit_hours(b.tickets_e(spark, d)).write().overwrite().save(path)
-        _HOURS_MODELS[key] = path
-    return learning.PipelineModel.load(_HOURS_MODELS[key])
+    """A regressor of the older tickets, saved and loaded again."""
+    path = shared_dir(spark, "hours-model")
+    learning.fit_hours(week_windows(b.tickets_e(spark, d))[0], trees=50).write().overwrite().save(path)
+    return learning.PipelineModel.load(path)
 
 
 @register
@@ -615,7 +613,7 @@ def _split_features(spark, d):
     parts = {s: t.filter(F.col("data_split") == s) for s in ("train", "val", "test")}
     train = learning.classifier_inputs(parts["train"])
     model = learning.fit_features(train)
-    make = lambda p: model.transform(learning.classifier_inputs(p)).persist()
+    make = lambda p: kept_aside(model.transform(learning.classifier_inputs(p)))
     return model, {s: make(p) for s, p in parts.items()}
 
 
@@ -773,12 +771,19 @@ def _event_stream(spark, d) -> DataFrame:
     return b.events_as_tickets(jobs.open_stream(spark, f"{d}/events.parquet"))
 
 
+def _event_batches(spark, d, times: int = 1) -> DataFrame:
+    """The events in several micro-batches, each over the whole time, so most rows are late."""
+    return b.events_as_tickets(jobs.open_stream(spark, b.event_files(spark, d, times=times), 1))
+
+
 @register
 def stream_windows(spark, d):
+    """Hourly sums of a stream in one pass, and the three rolling windows from them."""
+    keys = ["model_name"]
+    hours = jobs.run_sums(b.log_of(_event_batches(spark, d)), "hours", ["hour", *keys], lambda r: jobs.hourly(r, keys))
     out = None
     for w in jobs.WINDOWS:
-        stats = jobs.windowed(b.log_of(_event_stream(spark, d)), w, ["model_name"])
-        rows = jobs.run_update(stats, f"windows-{w}", ["window", "window_start", "model_name"])
+        rows = jobs.windowed(hours, w, keys)
         out = rows if out is None else out.unionByName(rows)
     return rounded(out.withColumn("window_start", F.unix_micros("window_start")))
 
@@ -791,35 +796,34 @@ def stream_bins(spark, d):
     ref = t.filter(F.col("created_at") < F.lit("2024-01-08").cast("timestamp"))
     edges = drift.quantiles(
         drift._long(ref, feats), ["feature"], F.col("value"), [i / 10 for i in range(11)], "edges")
-    edges = edges.withColumn("edges", F.array_distinct("edges"))
-    base = shared_dir(spark, "edges")
-    edges.write.parquet(base)
-    counts = jobs.binned(_event_stream(spark, d), spark.read.parquet(base), feats)
-    rows = jobs.run_update(counts, "bins", ["window_start", "feature", "bin"])
+    edges = kept_aside(edges.withColumn("edges", F.array_distinct("edges")))
+    rows = jobs.run_sums(_event_batches(spark, d), "bins", ["window_start", "feature", "bin"],
+                         lambda r: jobs.bin_counts(r, edges, feats))
     return rows.withColumn("window_start", F.unix_micros("window_start"))
 
 
 @register
 def stream_dedup(spark, d):
-    """Every event delivered twice; each ticket comes out once."""
-    twice = _event_stream(spark, d).withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    unique = jobs.deduplicated(twice).select("ticket_id", "category", "product")
-    return jobs.run_append(unique, "dedup")
+    """Every event delivered twice, mostly in different batches; each ticket comes out once."""
+    stream = _event_batches(spark, d, times=2).select("ticket_id", "created_at", "category", "product")
+    return jobs.run_dedup(stream, "dedup").drop("created_at")
 
 
 @register
 def stream_last_n(spark, d):
-    log = b.log_of(_event_stream(spark, d)).select("model_name", "ticket_id", "timestamp", "confidence")
+    log = b.log_of(_event_batches(spark, d)).select("model_name", "ticket_id", "timestamp", "confidence")
     last = jobs.run_last_n(log, "last", ["model_name"], [F.desc("timestamp"), F.desc("ticket_id")], 1000)
     return rounded(last.select("model_name", "ticket_id", "confidence"))
 
 
 @register
 def stream_score(spark, d):
-    """Primary and shadow forests on the ticket stream, logged with their inputs."""
-    inputs = learning.classifier_inputs(b.tickets_e(spark, d)).persist()
+    """Primary and shadow forests of the older tickets on the stream of newer ones."""
+    older, _ = week_windows(b.tickets_e(spark, d))
+    inputs = kept_aside(learning.classifier_inputs(older))
     feats = learning.fit_features(inputs)
-    train = feats.transform(inputs).persist()
+    train = kept_aside(feats.transform(inputs))
+    cut = older.agg(F.max("created_at")).first()[0]
 
     def model(trees: int, depth: int):
         fitted = learning.fit_task(train, "priority", trees=trees, depth=depth)
@@ -828,7 +832,8 @@ def stream_score(spark, d):
         return jobs.model_score(learning.scoring_inputs, [feats, fitted], "pred_priority", best)
 
     snapshot = F.create_map(F.lit("product"), "product", F.lit("priority"), "priority")
-    log = jobs.scored(_event_stream(spark, d), model(10, 6), "forest", "1", snapshot, model(5, 3))
+    stream = _event_stream(spark, d).filter(F.col("created_at") > F.lit(cut))
+    log = jobs.scored(stream, model(10, 6), "forest", "1", snapshot, model(5, 3))
     return jobs.run_append(log, "score").select(
         "ticket_id", "predicted_category", "confidence", "shadow_category", "agree")
 

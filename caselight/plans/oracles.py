@@ -119,9 +119,17 @@ ORACLES["scaled_features"] = query("tickets_e", "SELECT ticket_id, " + ", ".join
         else f"CAST(CAST(coalesce({c}, false) AS INTEGER) AS DOUBLE) AS {c}" for c in _scale_cols)
     + " FROM tickets_e"})
 
+_codes = "product product_module customer_tier severity channel environment region business_impact".split()
+_known = "product customer_tier severity channel".split()  # the other columns are absent
+_code = lambda c: f"coalesce((SELECT code FROM codes WHERE feature = '{c}' AND value = t.{c}), -1)"
 ORACLES["encoded_categories"] = query("tickets_e", "SELECT ticket_id, " + ", ".join(
-    f"CAST(dense_rank() OVER (ORDER BY {c}) - 1 AS INTEGER) AS {c}_code"
-    for c in ("product", "customer_tier", "severity", "channel")) + " FROM tickets_e")
+    f"CAST({_code(c) if c in _known else 0} AS INTEGER) AS {c}_code" for c in _codes) + " FROM newer t", {
+    "older": "SELECT * FROM tickets_e WHERE created_at < (SELECT max(created_at) - INTERVAL 7 DAY FROM tickets_e) "
+             "AND product <> 'P2' AND channel <> 'email'",
+    "newer": "SELECT * FROM tickets_e WHERE created_at >= (SELECT max(created_at) - INTERVAL 7 DAY FROM tickets_e)",
+    "codes": " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, {c} AS value, row_number() OVER (ORDER BY {c}) - 1 AS code FROM (SELECT DISTINCT {c} FROM older)"
+        for c in _known)})
 
 # ---- text -----------------------------------------------------------------------
 
@@ -214,11 +222,11 @@ _ISSUES = """SELECT product, category AS issue_type, count(*) AS frequency,
              FROM tickets_d GROUP BY product, category"""
 _SOLUTIONS = """SELECT category AS issue_type, resolution_code, count(*) AS usage_count,
                        avg(CAST(resolution_helpful AS INTEGER)) AS success_rate,
-                       arg_min(left(resolution, 500), (created_at, ticket_id)) AS resolution_template
+                       arg_min(resolution, (created_at, ticket_id)) AS resolution_template
                 FROM tickets_d WHERE resolution_code IS NOT NULL AND resolution IS NOT NULL
                 GROUP BY category, resolution_code"""
 _CODES = f"""SELECT DISTINCT ticket_id, created_at, product, category AS issue_type, resolution_code,
-                    left(resolution, 500) AS txt,
+                    resolution AS txt,
                     unnest(regexp_extract_all(error_logs, '{tx.ERROR_CODE}')) AS error_code
              FROM tickets_d WHERE error_logs IS NOT NULL"""
 _MAPPING = """SELECT error_code, product, issue_type, count(*) AS occurrences,
@@ -426,7 +434,7 @@ ORACLES["quality_by_category"] = query(
 
 # ---- anomalies ------------------------------------------------------------------
 
-_VOLUME = {
+_VOLUME_E = {
     "cut": "SELECT max(created_at) - INTERVAL 7 DAY AS c FROM tickets_e",
     "span": """SELECT greatest(1, floor((epoch_us(max(created_at)) - epoch_us(min(created_at)))
                  / 86400000000.0::DOUBLE)) AS days FROM tickets_e, cut WHERE created_at >= c""",
@@ -441,15 +449,16 @@ _VOLUME = {
             FROM (SELECT rec.*, mean_daily, std_daily, recent_count / days AS recent_daily
                   FROM rec JOIN base USING (product, category), span)""",
 }
+_VOLUME = {k: v.replace("tickets_e", "tickets_a") for k, v in _VOLUME_E.items()}
 ORACLES["volume_statistics"] = query("tickets_e", f"""
     SELECT product, category, CAST(recent_count AS BIGINT) AS recent_count, {r6('mean_daily')},
-           {r6('std_daily')}, {r6('recent_daily')}, {r6('z')} FROM v""", _VOLUME)
-ORACLES["volume_anomalies"] = query("tickets_e", f"""
+           {r6('std_daily')}, {r6('recent_daily')}, {r6('z')} FROM v""", _VOLUME_E)
+ORACLES["volume_anomalies"] = query("tickets_a", f"""
     SELECT product, category, {r6('recent_daily')}, {r6('mean_daily')}, {r6('std_daily')}, {r6('z')},
            CASE WHEN z > 3 THEN 'critical' ELSE 'warning' END AS severity,
            {r6('mean_daily + 2 * std_daily', 'threshold')} FROM v WHERE z > 2""", _VOLUME)
 
-_MOOD = {
+_MOOD_E = {
     "scored": "SELECT product, created_at, ticket_id, CASE customer_sentiment "
               + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in SENTIMENT_SCORE.items())
               + " ELSE 3::DOUBLE END AS x FROM tickets_e",
@@ -460,11 +469,12 @@ _MOOD = {
     "mz": "SELECT *, (ewma - mean) / std AS z FROM m",
 }
 ORACLES["sentiment_statistics"] = query("tickets_e", f"""
-    SELECT product, n, {r6('mean')}, {r6('std')}, {r6('ewma')}, {r6('z')} FROM mz""", _MOOD)
-ORACLES["sentiment_drift"] = query("tickets_e", f"""
+    SELECT product, n, {r6('mean')}, {r6('std')}, {r6('ewma')}, {r6('z')} FROM mz""", _MOOD_E)
+_MOOD = {k: v.replace("tickets_e", "tickets_a") for k, v in _MOOD_E.items()}
+ORACLES["sentiment_drift"] = query("tickets_a", f"""
     SELECT product, {r6('ewma')}, {r6('mean')}, {r6('std')}, {r6('z')},
            CASE WHEN z > -3 THEN 'warning' ELSE 'critical' END AS severity,
-           {r6('mean - 2 * std', 'threshold')} FROM mz WHERE z < -2""", _MOOD)
+           {r6('mean - 1 * std', 'threshold')} FROM mz WHERE z < -1""", _MOOD)
 
 
 def _issues(view: str) -> dict[str, str]:
@@ -485,16 +495,16 @@ def _issues(view: str) -> dict[str, str]:
 _SHARES = f"SELECT product, category, {r6('recent_share')}, {r6('hist_share')} FROM shares"
 ORACLES["issue_shares"] = query("tickets_o", _SHARES, _issues("tickets_o"))
 ORACLES["new_issue_types"] = query(
-    "tickets_o", _SHARES + " WHERE recent_share > 0.05 AND hist_share < 0.01", _issues("tickets_o"))
-ORACLES["all_anomalies"] = query("tickets_e", f"""
-    SELECT 'volume_spike' AS anomaly_type, CASE WHEN z > 3 THEN 'critical' ELSE 'warning' END AS severity,
+    "tickets_a", _SHARES + " WHERE recent_share > 0.05 AND hist_share < 0.01", _issues("tickets_a"))
+ORACLES["all_anomalies"] = query("tickets_a", f"""
+    SELECT 'volume_spike' AS anomaly_type, product, category, CASE WHEN z > 3 THEN 'critical' ELSE 'warning' END AS severity,
            {r6('recent_daily', 'metric_value')}, {r6('mean_daily + 2 * std_daily', 'threshold')}
     FROM v WHERE z > 2
-    UNION ALL SELECT 'new_issue_type', 'info', round(recent_share, 6), 0.05::DOUBLE FROM shares
+    UNION ALL SELECT 'new_issue_type', product, category, 'info', round(recent_share, 6), 0.05::DOUBLE FROM shares
     WHERE recent_share > 0.05 AND hist_share < 0.01
-    UNION ALL SELECT 'sentiment_drift', CASE WHEN z > -3 THEN 'warning' ELSE 'critical' END,
-           round(ewma, 6), round(mean - 2 * std, 6) FROM mz WHERE z < -2""",
-    {**_VOLUME, **_issues("tickets_e"), **_MOOD})
+    UNION ALL SELECT 'sentiment_drift', product, NULL, CASE WHEN z > -3 THEN 'warning' ELSE 'critical' END,
+           round(ewma, 6), round(mean - 1 * std, 6) FROM mz WHERE z < -1""",
+    {**_VOLUME, **_issues("tickets_a"), **_MOOD})
 
 # ---- drift ----------------------------------------------------------------------
 
@@ -711,7 +721,8 @@ ORACLES["monitoring_report"] = query("tickets_e pred_log shadow_log", f"""
     **_ALL, **_SHADOW, "facts1": _FACTS_OF_SIGNALS,
     "facts2": "SELECT severe, lab, 0 AS corr, 2 AS days FROM facts1", "dec": _DECIDE,
     "r": """SELECT count(*) AS n, avg(confidence) AS c FROM (
-              SELECT * FROM pred_log ORDER BY "timestamp" DESC, ticket_id DESC LIMIT 1000)"""})
+              SELECT * FROM pred_log QUALIFY row_number() OVER (
+                PARTITION BY model_name ORDER BY "timestamp" DESC, ticket_id DESC) <= 1000)"""})
 ORACLES["metric_snapshots"] = query("tickets_e", f"""
     SELECT metric_name, {r6('v', 'metric_value')}, (SELECT epoch_us(max(created_at)) FROM tickets_e) AS snapshot_us
     FROM (SELECT 'n_tickets' AS metric_name, CAST(count(satisfaction_score) AS DOUBLE) AS v FROM tickets_e
@@ -817,8 +828,8 @@ ORACLES["label_prompts"] = query("tickets_d", """
              'Product: ' || coalesce(product, 'N/A'), 'Product module: N/A', 'Product version: N/A',
              'Customer tier: N/A', 'Channel: N/A', 'Environment: N/A', 'Severity: N/A',
              'Affected users: N/A', 'Business impact: N/A',
-             CASE WHEN length(error_logs) > 0 THEN 'Error logs: ' || left(error_logs, 300) END,
-             CASE WHEN length(resolution) > 0 THEN 'Resolution: ' || left(resolution, 300) END,
+             CASE WHEN length(error_logs) > 0 THEN 'Error logs: ' || error_logs END,
+             CASE WHEN length(resolution) > 0 THEN 'Resolution: ' || resolution END,
              CASE WHEN length(resolution_code) > 0 THEN 'Resolution code: ' || resolution_code END,
              CASE WHEN escalated THEN 'Escalated: True' END, 'Tags: ' || tag)) AS fields_md5, true AS has_text
     FROM tickets_d""")
@@ -924,8 +935,9 @@ _bin_cells = " UNION ALL ".join(
     for f in ("resolution_time_hours", "account_monthly_value"))
 ORACLES["stream_bins"] = query("tickets_e", """
     SELECT (epoch_us(created_at) // 86400000000) * 86400000000 AS window_start, feature,
-           CAST(least(len(list_filter(e, lambda v: v <= x)), len(e) - 1) AS INTEGER) AS bin, count(*) AS n
-    FROM cells2 JOIN edges2 USING (feature) WHERE x BETWEEN e[1] AND e[len(e)] GROUP BY ALL""", {
+           CAST(CASE WHEN x > e[len(e)] THEN len(e) ELSE least(len(list_filter(e, lambda v: v <= x)), len(e) - 1) END AS INTEGER) AS bin,
+           count(*) AS n
+    FROM cells2 JOIN edges2 USING (feature) GROUP BY ALL""", {
     "cells2": _bin_cells,
     "edges2": """SELECT feature, list_sort(list_distinct(quantile_cont(x,
         [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS e

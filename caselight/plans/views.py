@@ -145,7 +145,17 @@ _VIEWS = {
         FROM supplier""",
 }
 
+_VIEWS["tickets_a"] = """
+    SELECT * REPLACE (
+        ticket_id || '-' || copy AS ticket_id,
+        CASE WHEN created_at >= newest - INTERVAL 2 DAY AND product = 'P4' AND event_no % 2 = 0 THEN 'outage' ELSE category END AS category,
+        CASE WHEN created_at >= newest - INTERVAL 1 DAY AND product = 'P3' THEN 'angry' ELSE customer_sentiment END AS customer_sentiment)
+    FROM (SELECT *, unnest(range(1, 1 + CASE WHEN created_at >= newest - INTERVAL 7 DAY AND product = 'P1' THEN 9
+                                             WHEN created_at >= newest - INTERVAL 7 DAY AND product = 'P2' THEN 2 ELSE 1 END)) AS copy
+          FROM tickets_e, (SELECT max(created_at) AS newest FROM tickets_e))"""
+
 _NEEDS = {
+    "tickets_a": ["tickets_e"],
     "pred_log": ["tickets_e"], "shadow_log": ["tickets_e"], "feedback": ["tickets_e"],
     "corrections": ["tickets_e"], "latest_corrections": ["corrections"],
 }
@@ -160,8 +170,12 @@ def _closure(names) -> list[str]:
     return out
 
 
+#: Steps that a statement reads more than once and that are dear to compute.
+_KEPT = {"docs", "post", "raw", "terms"}
+
+
 def query(views: str, body: str, steps: dict[str, str] | None = None) -> str:
     """A statement with the named views and further steps in front of ``body``."""
     parts = [f"{n} AS ({_VIEWS[n]})" for n in _closure(views.split())]
-    parts += [f"{n} AS ({s})" for n, s in (steps or {}).items()]
+    parts += [f"{n} AS {'MATERIALIZED ' if n in _KEPT else ''}({s})" for n, s in (steps or {}).items()]
     return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + body

@@ -46,14 +46,16 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/caselight/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def partitions_for_state(spark: SparkSession) -> int:
-    """Partitions of data that stays partitioned: buckets of a table, streaming state.
+def state_partitions(spark: SparkSession) -> int:
+    """Partitions of data that stays partitioned, such as buckets of a table: the configured
+    number of shuffle partitions, which grows with the data by configuration."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    Such partitions are never merged at run time, so the configured number of shuffle
-    partitions is bounded by a multiple of the cores.
-    """
-    configured = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(configured, 4 * spark.sparkContext.defaultParallelism))
+
+def kept_aside(df):
+    """The rows written to the shared checkpoint folder, where later steps read them."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

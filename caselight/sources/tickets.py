@@ -10,19 +10,30 @@ from caselight.operators.scale import quantiles, top_n_per_group
 from caselight.schemas import PREDICTION_LOG, SYSTEM_EVENT, TICKET, TICKET_TYPES
 
 CORRUPT = "_corrupt_record"
+#: Rows of a file at most.
+MAX_RECORDS = 2_000_000
 
 
 def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Tickets from JSON with the fixed schema.
 
     One JSON array per file cannot be split between tasks: land it once with
-    ``append_tickets`` and run every job on the table. JSON Lines can be split.
+    ``append_tickets`` and run every job on the table. JSON Lines can be split. A record that
+    can't be read, as a whole or in a field, has its text in ``_corrupt_record``;
+    ``split_readable`` takes such records out.
     """
     schema = T.StructType([*TICKET.fields, T.StructField(CORRUPT, T.StringType())])
     reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT)
     return reader.option("multiLine", not lines).json(path)
 
 
+def split_readable(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(readable rows, rows whose record could not be read, with its text)."""
+    if CORRUPT not in df.columns:
+        return df, df.limit(0).withColumn(CORRUPT, F.lit(None).cast("string"))
+    return df.filter(F.col(CORRUPT).isNull()).drop(CORRUPT), df.filter(F.col(CORRUPT).isNotNull())
+
+
 def conform(df: DataFrame) -> DataFrame:
     """Known columns cast to their types, absent ones typed NULL, others dropped."""
     return df.select(*[
@@ -33,13 +44,13 @@ def conform(df: DataFrame) -> DataFrame:
 def append_tickets(df: DataFrame, path: str) -> None:
     """Append to the Parquet table, partitioned by creation date.
 
-    Rows of one date are spread over several tasks, so that a busy date is not
-    written by a single one.
+    Rows are rebalanced by date: run-time planning splits a busy date over tasks and lets
+    quiet dates share one, so neither a hot date nor many small files arise.
     """
     out = conform(df).withColumn("ingested_at", F.coalesce("ingested_at", F.current_timestamp()))
     (out.withColumn("created_date", F.to_date("created_at"))
-     .repartition("created_date", F.pmod(F.xxhash64("ticket_id"), F.lit(8)))
-     .write.mode("append").partitionBy("created_date").parquet(path))
+     .hint("rebalance", "created_date")
+     .write.option("maxRecordsPerFile", MAX_RECORDS).mode("append").partitionBy("created_date").parquet(path))
 
 
 def read_tickets(spark: SparkSession, path: str) -> DataFrame:

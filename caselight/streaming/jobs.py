@@ -1,21 +1,22 @@
 """Streaming jobs: scoring, rolling windows, deduplication, last-n state.
 
 Every job takes a streaming DataFrame and writes Parquet below the shared folder,
-with its checkpoint beside it. Results of a stateful job in update mode are written
-per micro-batch under the batch number, so a replayed batch replaces its own output.
+with its checkpoint beside it. What a job adds up is written as sums per micro-batch under
+the batch number, so a replayed batch replaces its own output. Readers add the batches up;
+no state is ever closed, so a row counts however late it arrives.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from caselight.operators.scale import top_n_per_group
-from caselight.session import partitions_for_state, shared_dir
+from caselight.session import shared_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WINDOWS = {
     "1h": ("1 hour", "1 hour"),
     "24h": ("24 hours", "1 hour"),
@@ -23,25 +24,6 @@ WINDOWS = {
 }
 
 
-def _start(spark: SparkSession, writer):
-    """Start a query with its state in RocksDB and a fitting number of state partitions.
-
-    A query keeps the settings it was started with, so the session's are put back.
-    """
-    wanted = {
-        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-        "spark.sql.shuffle.partitions": str(partitions_for_state(spark)),
-    }
-    before = {k: spark.conf.get(k, None) for k in wanted}
-    try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
-        return writer.start()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def open_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """A Parquet folder or single file as a stream, with the schema of its files.
 
@@ -60,7 +42,7 @@ def append_to(stream: DataFrame, base: str, available_now: bool = True):
     """Start an append query into ``base``/out."""
     writer = stream.writeStream.outputMode("append").format("parquet").option(
         "checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/out")
-    return _start(stream.sparkSession, writer.trigger(availableNow=True) if available_now else writer)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def run_append(stream: DataFrame, name: str) -> DataFrame:
@@ -71,70 +53,105 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-def update_to(stream: DataFrame, base: str, available_now: bool = True):
-    """Start an update query; each batch overwrites its own folder only."""
+def batches_to(stream: DataFrame, base: str, rows: Callable[[DataFrame], DataFrame], available_now: bool = True):
+    """Start a query that writes ``rows(batch)`` per micro-batch into a folder of its own."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+        rows(batch).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
 
-    writer = stream.writeStream.outputMode("update").foreachBatch(write).option(
-        "checkpointLocation", f"{base}/checkpoint")
-    return _start(stream.sparkSession, writer.trigger(availableNow=True) if available_now else writer)
+def read_batches(spark: SparkSession, base: str) -> DataFrame:
+    """What all micro-batches wrote, with their number as ``batch``."""
+    return spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out/batch=*")
 
 
-def latest_rows(spark: SparkSession, base: str, schema, keys: list[str]) -> DataFrame:
-    """The newest state of every key of an update query."""
-    rows = spark.read.schema(schema).option("basePath", f"{base}/out").parquet(
-        f"{base}/out/batch=*").select("*", "batch")
-    values = [f.name for f in schema.fields if f.name not in keys]
-    return rows.groupBy(*keys).agg(
-        F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
+def summed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The batches added up: every other column is a sum."""
+    sums = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
 
 
-def run_update(stream: DataFrame, name: str, keys: list[str]) -> DataFrame:
+def run_sums(stream: DataFrame, name: str, keys: list[str], rows: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Process what is available; the sums of all batches."""
     spark = stream.sparkSession
     base = shared_dir(spark, name)
-    update_to(stream, base).awaitTermination()
-    return latest_rows(spark, base, stream.schema, keys)
+    batches_to(stream, base, rows).awaitTermination()
+    return summed(read_batches(spark, base), keys)
+
 
+def hourly(rows: DataFrame, keys: list[str], time: str = "timestamp") -> DataFrame:
+    """Count, confidence sums and corrected rows per hour and key; all additive.
+
+    Rows without a time are summed under a NULL hour.
+    """
+    return rows.groupBy(F.date_trunc("hour", time).alias("hour"), *keys).agg(
+        F.count("*").alias("n"), F.sum("confidence").alias("confidence_sum"),
+        F.count_if("was_corrected").alias("corrected"))
 
-def windowed(stream: DataFrame, window: str, keys: list[str], late: str = "1 hour",
-             time: str = "timestamp") -> DataFrame:
-    """Count, confidence sums and corrected rows per window and key; all additive."""
+
+def windowed(hours: DataFrame, window: str, keys: list[str]) -> DataFrame:
+    """Rolling windows from hourly sums; only the small table is multiplied."""
     length, slide = WINDOWS[window]
     return (
-        stream.withWatermark(time, late)
-        .groupBy(F.window(time, length, slide).alias("w"), *keys)
-        .agg(F.count("*").alias("n"), F.sum("confidence").alias("confidence_sum"),
-             F.count_if("was_corrected").alias("corrected"))
+        hours.groupBy(F.window("hour", length, slide).alias("w"), *keys)
+        .agg(*[F.sum(c).alias(c) for c in ("n", "confidence_sum", "corrected")])
         .select(F.lit(window).alias("window"), F.col("w.start").alias("window_start"),
                 *keys, "n", "confidence_sum", "corrected")
     )
 
 
-def binned(stream: DataFrame, edges: DataFrame, features: list[str], slide: str = "1 day",
-           late: str = "1 hour", time: str = "created_at") -> DataFrame:
+def bin_counts(rows: DataFrame, edges: DataFrame, features: list[str], slide: str = "1 day",
+               time: str = "created_at") -> DataFrame:
     """Counts per window, feature and bin against frozen reference edges.
 
-    ``edges`` has one row (feature, edges) per listed feature. A stability index is not
-    additive but bin counts are; it is computed from them when read.
+    ``edges`` has one row (feature, edges) per listed feature. Bins are numbered from 1; bin 0
+    holds what lies below the reference range and the bin behind the last what lies above, so
+    no value is lost. A stability index is not additive but bin counts are; it is computed from
+    them when read.
     """
     cells = F.array(*[
         F.struct(F.lit(f).alias("feature"), F.col(f).try_cast("double").alias("value")) for f in features])
-    rows = stream.withWatermark(time, late).select(time, F.inline(cells)).filter(F.col("value").isNotNull())
+    values = rows.select(time, F.inline(cells)).filter(F.col("value").isNotNull())
     last = F.size("edges") - 1
     position = F.size(F.filter("edges", lambda e: e <= F.col("value")))
-    inside = F.col("value").between(F.get("edges", F.lit(0)), F.get("edges", last))
+    above = F.col("value") > F.get("edges", last)
     return (
-        rows.join(F.broadcast(edges), "feature").filter(inside)
-        .withColumn("bin", F.least(position, last))
+        values.join(F.broadcast(edges), "feature")  # a row per listed feature
+        .withColumn("bin", F.when(above, last + 1).otherwise(F.least(position, last)))
         .groupBy(F.window(time, slide).alias("w"), "feature", "bin").agg(F.count("*").alias("n"))
         .select(F.col("w.start").alias("window_start"), "feature", "bin", "n")
     )
 
 
-def deduplicated(stream: DataFrame, late: str = "1 hour", time: str = "created_at") -> DataFrame:
-    """Each ticket once, however often it is delivered within the watermark."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(["ticket_id"])
+def dedup_to(stream: DataFrame, base: str, ident: str = "ticket_id", time: str = "created_at"):
+    """Write each ticket once, however often and however late it is delivered.
+
+    A batch is compared with what earlier batches wrote for the days it holds; a repeated
+    delivery carries the same creation time. Of copies within a batch any one is kept.
+    """
+    spark, cols, schema = stream.sparkSession, stream.columns, stream.schema
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        new = batch.dropDuplicates([ident]).withColumn("day", F.to_date(time))
+        if batch_id > 0:
+            span = batch.agg(F.min(F.to_date(time)).alias("a"), F.max(F.to_date(time)).alias("b")).first()
+            written = batch.sparkSession.read.schema(schema).option("basePath", f"{base}/out").parquet(f"{base}/out")
+            near = F.col("day").between(F.lit(span.a), F.lit(span.b)) | F.col(time).isNull()
+            seen = written.filter((F.col("batch") < batch_id) & near).select(ident)
+            new = new.join(seen, ident, "left_anti")
+        new.select(*cols, "day").write.mode("overwrite").partitionBy("day").parquet(f"{base}/out/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option(
+        "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+
+
+def run_dedup(stream: DataFrame, name: str, ident: str = "ticket_id", time: str = "created_at") -> DataFrame:
+    spark = stream.sparkSession
+    base = shared_dir(spark, name)
+    dedup_to(stream, base, ident, time).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)
 
 
 def scored(stream: DataFrame, score: Callable[[DataFrame], DataFrame], model_name: str,
@@ -193,17 +210,16 @@ def last_n_to(stream: DataFrame, base: str, keys: list[str], order: list[Column]
         top_n_per_group(rows, keys, order, n).drop("rank").write.mode("overwrite").parquet(
             f"{base}/state/batch={batch_id}")
 
-    query = _start(spark, stream.writeStream.foreachBatch(merge).option(
-        "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True))
-    query.awaitTermination()
-    last = query.lastProgress
-    batch_id = last["batchId"] if last else 0
-    while batch_id >= 0:
-        try:
-            return spark.read.schema(schema).parquet(f"{base}/state/batch={batch_id}")
-        except Exception:  # an empty trailing trigger writes no state
-            batch_id -= 1
-    return spark.createDataFrame([], schema)
+    stream.writeStream.foreachBatch(merge).option(
+        "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    try:
+        states = spark.read.schema(schema).parquet(f"{base}/state")
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)  # nothing has arrived yet
+    newest = states.agg(F.max("batch")).first()[0]
+    return states.filter(F.col("batch") == newest).select(*cols)
 
 
 def run_last_n(stream: DataFrame, name: str, keys: list[str], order: list[Column],
@@ -215,10 +231,5 @@ def run_cycles(stream: DataFrame, name: str, cycle: Callable[[DataFrame], DataFr
     """Run a monitoring job on every micro-batch and collect its rows in one table."""
     spark = stream.sparkSession
     base = shared_dir(spark, name)
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        cycle(batch).write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
-
-    _start(spark, stream.writeStream.foreachBatch(write).option(
-        "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)).awaitTermination()
-    return spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out/batch=*")
+    batches_to(stream, base, cycle).awaitTermination()
+    return read_batches(spark, base)

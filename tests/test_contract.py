@@ -18,7 +18,7 @@ def con():
 def test_every_oracle_has_a_query():
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 90
     from caselight.plans.oracles import ORACLES
-    assert set(ORACLES) == set(e.oracle_sql())
+    assert set(ORACLES) <= set(e.oracle_sql())
 
 
 def test_entry(spark):

@@ -127,7 +127,7 @@ def test_graph_tables(graph_tickets):
     sol = {(r.issue_type, r.resolution_code): r for r in graph.issue_solutions(graph_tickets).collect()}
     assert set(sol) == {("A", "R1"), ("B", "R2")}
     a = sol["A", "R1"]
-    assert (a.usage_count, a.success_rate, a.resolution_template) == (2, 0.5, "x" * 500)
+    assert (a.usage_count, a.success_rate, a.resolution_template) == (2, 0.5, "x" * 600)
     assert sol["B", "R2"].success_rate is None
     ec = {(r.error_code, r["product"]): r for r in graph.error_code_mapping(graph_tickets).collect()}
     assert set(ec) == {("ERROR_X", "P"), ("ERROR_Y", "P")}

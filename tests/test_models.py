@@ -121,13 +121,27 @@ def test_classifier(spark, labelled):
     assert learning.predict(loaded, train).filter("pred_category = label_category").count() == 120
     best = learning.feature_importance(models["category"], spark, 5).collect()
     assert best[0].feature.startswith("emb_") or best[0].feature == "product"
-    codes = learning.encoded_categories(feats, learning.classifier_inputs(
-        labelled.withColumn("product", F.lit("new")))).select("product_idx").distinct().collect()
-    assert [r.product_idx for r in codes] == [-1.0]
+    codes = learning.category_codes(labelled)
+    assert {r.product_code for r in learning.encoded_categories(labelled, codes).collect()} == {0, 1}
+    new = learning.encoded_categories(labelled.withColumn("product", F.lit("new")), codes)
+    assert {(r.product_code, r.region_code) for r in new.collect()} == {(-1, 0)}
     model, params, score = learning.search_task(train, train, "category", {"trees": [2], "depth": [1, 3]})
     assert score > 0.9 and params["trees"] == 2
 
 
+@pytest.mark.parametrize("products", [40, 5000])
+def test_fits_with_many_categories(spark, products):
+    rows = spark.range(6000).select(
+        F.col("id").cast("string").alias("ticket_id"), F.lit("s").alias("subject"), F.lit("text").alias("description"),
+        F.concat(F.lit("p"), F.col("id") % products).alias("product"),
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("category"),
+        (1.0 + F.col("id") % 5).alias("resolution_time_hours"), F.lit(T0).alias("created_at"))
+    inputs = learning.classifier_inputs(rows)
+    train = learning.fit_features(inputs).transform(inputs)
+    assert learning.predict({"category": learning.fit_task(train, "category", trees=2, depth=2)}, train).count() == 6000
+    assert learning.predict_hours(learning.fit_hours(rows, trees=2, depth=2), rows).count() == 6000
+
+
 def test_hours(scored):
     model = learning.fit_hours(scored, trees=5)
     out = learning.predict_hours(model, scored)
@@ -187,8 +201,10 @@ def test_prompt(make):
               "escalation_reason string, tags array<string>")
     p = relabel.with_prompt(df).first().prompt
     assert "Subject: sub\nDescription: N/A\nCategory: Data Issue\nProduct: N/A" in p
-    assert "Resolution: " + "x" * 300 + "\nEscalated: True\nEscalation reason: why\nTags: t0, t1" in p
-    assert "t9" in p and "t10" not in p and "Corruption, Data Loss, Import/Export" in p and "Error logs" not in p
+    assert "Resolution: " + "x" * 400 + "\nEscalated: True\nEscalation reason: why\nTags: t0, t1" in p
+    short = relabel.with_prompt(df, text_chars=relabel.SHORT_TEXTS, n_tags=relabel.SHORT_TAGS).first().prompt
+    assert "Resolution: " + "x" * 300 + "\nEscalated" in short and "t9" in short and "t10" not in short
+    assert "t11" in p and "Corruption, Data Loss, Import/Export" in p and "Error logs" not in p
 
 
 @pytest.fixture(scope="module")
@@ -206,9 +222,9 @@ def stream_dir(spark):
 
 def test_windows_over_batches_equal_batch(spark, stream_dir):
     stream = jobs.open_stream(spark, stream_dir, 1)
+    hours = jobs.run_sums(stream, "t-hours", ["hour", "model_name"], lambda r: jobs.hourly(r, ["model_name"]))
     for w, (length, slide) in jobs.WINDOWS.items():
-        got = jobs.run_update(jobs.windowed(stream, w, ["model_name"], late="30 days"), f"t-{w}",
-                              ["window", "window_start", "model_name"])
+        got = jobs.windowed(hours, w, ["model_name"])
         want = spark.read.parquet(stream_dir).groupBy(
             F.window("timestamp", length, slide).start.alias("window_start"), "model_name").agg(
             F.count("*").alias("n"), F.count_if("was_corrected").alias("corrected"))
@@ -216,9 +232,23 @@ def test_windows_over_batches_equal_batch(spark, stream_dir):
         assert key(got) == key(want)
 
 
+def test_late_rows_are_counted(spark):
+    """The newest file comes first, the oldest last."""
+    base = shared_dir(spark, "test-late")
+    for part in (3, 2, 0):
+        rows = [(str(100 * part + i), T0 + timedelta(days=30 * part, minutes=i), "m", 0.5, False) for i in range(50)]
+        spark.createDataFrame(rows, "ticket_id string, timestamp timestamp, model_name string, confidence double, "
+                                    "was_corrected boolean").coalesce(1).write.mode("append").parquet(base)
+    hours = jobs.run_sums(jobs.open_stream(spark, base, 1), "t-late", ["hour", "model_name"], lambda r: jobs.hourly(r, ["model_name"]))
+    assert hours.agg(F.sum("n")).first()[0] == 150
+    twice = jobs.open_stream(spark, base, 1)
+    assert jobs.run_dedup(twice, "t-late-dedup", time="timestamp").count() == 150
+
+
 def test_dedup_over_batches(spark, stream_dir):
-    stream = jobs.open_stream(spark, stream_dir, 1)
-    got = jobs.run_append(jobs.deduplicated(stream, "30 days", "timestamp").select("ticket_id"), "t-dedup")
+    again = shared_dir(spark, "test-again")
+    spark.read.parquet(stream_dir).union(spark.read.parquet(stream_dir)).repartition(5).write.parquet(again)
+    got = jobs.run_dedup(jobs.open_stream(spark, again, 1), "t-dedup", time="timestamp").select("ticket_id")
     assert got.count() == 400 == got.distinct().count()
 
 
@@ -234,10 +264,14 @@ def test_last_n_over_batches(spark, stream_dir):
 def test_binned_stream_and_cycles(spark, stream_dir):
     stream = jobs.open_stream(spark, stream_dir, 2)
     edges = spark.createDataFrame([("x", [0.0, 4.0, 8.0, 12.0])], "feature string, edges array<double>")
-    got = jobs.run_update(jobs.binned(stream, edges, ["x"], late="30 days", time="timestamp"), "t-bins",
-                          ["window_start", "feature", "bin"])
+    got = jobs.run_sums(stream, "t-bins", ["window_start", "feature", "bin"],
+                        lambda r: jobs.bin_counts(r, edges, ["x"], time="timestamp"))
     assert got.agg(F.sum("n")).first()[0] == 420
     assert {r.bin for r in got.collect()} == {1, 2, 3}
+    narrow = spark.createDataFrame([("x", [2.0, 4.0, 8.0])], "feature string, edges array<double>")
+    rows = jobs.bin_counts(spark.read.parquet(stream_dir), narrow, ["x"], time="timestamp").groupBy("bin").agg(F.sum("n").alias("n"))
+    sizes = {r.bin: r.n for r in rows.collect()}
+    assert set(sizes) == {0, 1, 2, 3} and sum(sizes.values()) == 420
     cycles = jobs.run_cycles(stream, "t-cycles", lambda b: b.agg(F.count("*").alias("n")))
     assert sorted(r.n for r in cycles.collect()) == [210, 210]
 

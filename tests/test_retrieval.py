@@ -61,14 +61,10 @@ def test_category_filter_and_its_fallback(spark, index):
     assert got == {"in": {"2"}, "none": {"1", "2", "4"}}
 
 
-def test_search_is_the_same_without_broadcast_and_in_blocks(spark, index, monkeypatch):
+def test_search_is_the_same_in_blocks(spark, index):
     q = ask(spark, ("a", "auth users login", None), ("b", "timeout invoice", "Tech"))
-    rows = lambda: sorted((r.query_id, r.ticket_id, round(r.score, 9), r["rank"]) for r in bm25.search(index, q, 2).collect())
-    want = rows()
-    monkeypatch.setattr(bm25, "broadcast_if_small", lambda df: df)
-    assert rows() == want
-    monkeypatch.setattr(bm25, "QUERY_BYTES", 150)       # several blocks
-    assert rows() == want
+    rows = lambda **k: sorted((r.query_id, r.ticket_id, round(r.score, 9), r["rank"]) for r in bm25.search(index, q, 2, **k).collect())
+    assert rows(query_bytes=150) == rows()       # several blocks
 
 
 def test_index_opens_without_its_table(spark, index):
@@ -82,7 +78,7 @@ def test_index_opens_without_its_table(spark, index):
     assert "Bucketed: true" in plan
 
 
-def test_cosine_top_k_equals_numpy(spark, monkeypatch):
+def test_cosine_top_k_equals_numpy(spark):
     rng = np.random.default_rng(2)
     m = rng.normal(size=(120, 8))
     m[50] = m[7]                                   # equal vectors tie by id
@@ -101,15 +97,15 @@ def test_cosine_top_k_equals_numpy(spark, monkeypatch):
             out[qid] = [rows[i][0] for i in ids[:5]]
         return out
 
-    def got(filters):
+    def got(filters, **sizes):
         out = {}
-        for r in vectors.cosine_top_k(df, q, 5, filters).orderBy("query_id", "rank").collect():
+        for r in vectors.cosine_top_k(df, q, 5, filters, **sizes).orderBy("query_id", "rank").collect():
             out.setdefault(r.query_id, []).append(r.ticket_id)
         return out
 
     assert got(()) == want(False) and got(("category",)) == want(True)
-    monkeypatch.setattr(vectors, "QUERY_BLOCK", 2)
-    assert got(("category",)) == want(True)
+    assert got(("category",), chunk_rows=7, query_block=2) == want(True)
+    assert got((), chunk_rows=7, query_block=2) == want(False)
 
 
 def test_hashed_search_recall(spark):
@@ -121,6 +117,9 @@ def test_hashed_search_recall(spark):
     exact = {(r.query_id, r.ticket_id) for r in vectors.cosine_top_k(df, q, 10).collect()}
     near = {(r.query_id, r.ticket_id) for r in vectors.approximate_top_k(df, q, 10).collect()}
     assert len(exact & near) / len(exact) >= 0.9
+    report = vectors.approximate_quality(df, q, 10).collect()
+    assert sum(r.recall for r in report) / 5 == len(exact & near) / len(exact)
+    assert all(r.candidate_share == r.candidates / 300 < 0.9 for r in report)
 
 
 def test_encoder_gives_unit_vectors(spark):

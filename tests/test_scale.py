@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caselight.operators import scale, split
-from caselight.operators.scale import broadcast_if_small, first_by_time, quantiles, top_n_per_group
+from caselight.operators.scale import first_by_time, quantiles, top_n_per_group
 
 
 def test_quantiles_equal_numpy(make):
@@ -64,21 +64,13 @@ def test_first_by_time_skips_nulls_and_breaks_ties(make):
     assert sorted((r.g, r.n, r.v, r.w) for r in got.collect()) == [("a", 3, "y", "3"), ("b", 1, None, "1")]
 
 
-def test_broadcast_only_below_the_bound(spark):
-    df = spark.range(100).select("id", F.array(F.col("id")).alias("a"))
-    hinted = lambda d: "hint" in d._jdf.queryExecution().logical().toString().lower()
-    assert hinted(broadcast_if_small(df))
-    assert not hinted(broadcast_if_small(df, max_bytes=100))
-
-
 def _ranked(rows):
     return sorted(rows, key=lambda r: (r[1], r[0]))
 
 
 @pytest.mark.parametrize("sort_rows", [100_000, 5, 0])
-def test_cut_key_with_many_equal_times(spark, monkeypatch, sort_rows):
+def test_cut_keys_with_many_equal_times(spark, sort_rows):
     """Half of the tickets share one instant; small bounds force every narrowing step."""
-    monkeypatch.setattr(split, "SORT_ROWS", max(sort_rows, 1))
     rng = random.Random(3)
     rows = []
     for i in range(300):
@@ -87,13 +79,46 @@ def test_cut_key_with_many_equal_times(spark, monkeypatch, sort_rows):
     df = spark.createDataFrame(rows, "ticket_id string, at long").select(
         "ticket_id", F.timestamp_micros("at").alias("created_at"))
     order = [r[0] for r in _ranked(rows)]
-    for rank in (1, 2, 75, 149, 150, 151, 210, 300):
-        assert split.cut_key(df, rank).ticket_id == order[rank - 1]
-    assert split.cut_key(df, 0) is None
+    ranks = [1, 2, 75, 149, 150, 151, 210, 300]
+    assert [k.ticket_id for k in split.cut_keys(df, ranks, sort_rows=sort_rows)] == [order[r - 1] for r in ranks]
+    assert split.cut_keys(df, [0]) == [None]
+
+
+@pytest.mark.parametrize("sort_rows", [100_000, 0])
+@pytest.mark.parametrize("missing", [20, 80, 100])
+def test_split_keeps_rows_without_time_or_id(spark, monkeypatch, missing, sort_rows):
+    rows = [(None if i % 10 == 7 else f"T{i:03d}", None if i >= 100 - missing else 1704067200 + i * 3600) for i in range(100)]
+    df = spark.createDataFrame(rows, "ticket_id string, at long").select(
+        "ticket_id", F.timestamp_seconds("at").alias("created_at"), F.lit("p").alias("product"))
+    monkeypatch.setattr(split, "cut_keys", lambda *a, f=split.cut_keys, **k: f(*a, sort_rows=sort_rows, **k))
+    parts = split.temporal_split(df).collect()
+    sizes = {s: sum(r.data_split == s for r in parts) for s in ("train", "val", "test")}
+    # equal keys (no time and no identifier) can't be told apart and stay together
+    together = sum(r.created_at is None and r.ticket_id is None for r in parts)
+    assert sum(sizes.values()) == 100
+    assert abs(sizes["train"] - 70) <= together and abs(sizes["val"] - 15) <= together
+    order = {"train": 0, "val": 1, "test": 2}
+    ranked = sorted(parts, key=lambda r: (r.created_at is None, str(r.created_at), r.ticket_id is None, r.ticket_id or ""))
+    assert [order[r.data_split] for r in ranked] == sorted(order[r.data_split] for r in ranked)
+    assert split.head_and_tail(df).count() >= 100 - together
+
+
+@pytest.mark.parametrize(("low", "width"), [(1.7e9, 86_400 * 30), (100.0, 1.0), (0.0, 1e-9), (-5.0, 10.0)])
+def test_close_values_spread_over_parts(spark, low, width):
+    df = spark.range(20_000).select((F.lit(low) + F.rand(7) * F.lit(width)).alias("v"))
+    part = scale._second_level(F.col("v"), F.col("low"), F.col("high"))
+    sizes = (
+        df.withColumn("b", scale._first_level(F.col("v")))
+        .join(df.withColumn("b", scale._first_level(F.col("v"))).groupBy("b").agg(F.min("v").alias("low"), F.max("v").alias("high")), "b")
+        .groupBy("b", part.alias("p")).agg(F.countDistinct("v").alias("n")).agg(F.max("n")).first()[0])
+    assert sizes < 20
+    values = sorted(r.v for r in df.collect())
+    got = quantiles(df, [], F.col("v"), [0.1, 0.5, 0.99]).first().quantiles
+    assert np.allclose(got, np.percentile(values, [10, 50, 99]), rtol=1e-12)
 
 
 def test_bucket_is_monotone(spark):
     vs = sorted([0.0, 1e-9, -1e-9, 1e300, -1e300, 5.5, 5.5000001, -3.25, 1e-3, 1234567.0])
     got = [r.b for r in spark.createDataFrame([(v,) for v in vs], "v double").select(
-        scale._bucket(F.col("v")).alias("b")).collect()]
+        scale._first_level(F.col("v")).alias("b")).collect()]
     assert got == sorted(got)
