@@ -100,9 +100,11 @@ def attach_labels(log: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def latest_predictions(log: DataFrame) -> DataFrame:
-    """The last log row of every ticket (ticket_id, predicted_category, confidence)."""
+    """The last log row of every ticket (ticket_id, predicted_category, confidence); without a
+    ``timestamp`` the greatest row."""
+    order = [c for c in ("timestamp", "predicted_category", "confidence") if c in log.columns]
     return log.groupBy("ticket_id").agg(
-        F.max(F.struct("timestamp", "predicted_category", "confidence")).alias("last")
+        F.max(F.struct(*order)).alias("last")
     ).select("ticket_id", "last.predicted_category", "last.confidence")
 
 
