@@ -12,11 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import n_words
+from .shared import kept_aside, n_words, words
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 KEY_BITS, RANGE_BITS = 48, 16
+#: Sources up to which their plan, one narrow row each, is given to every task; and into how
+#: many parts a source's rows are dealt beyond that.
+MAX_SOURCES, SALTS = 20_000, 64
 
 
 def random_key(seed: int = 0, column: str = "doc_id") -> Column:
@@ -95,8 +98,16 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, se
     cut = cut.select(F.col("source").alias("_c"), F.col("_at").alias("_cut"), F.expr("(rest - until + same * size) div same").alias("_part"))
     plan = targets.drop("rest").join(cut, F.col("source").eqNullSafe(F.col("_c")), "left").drop("_c").withColumnRenamed("source", "_s")
 
+    # one row per source: every task gets the plan, unless there are very many sources
+    plan = kept_aside(plan)
+    if plan.count() <= MAX_SOURCES:
+        joined = rows.join(F.broadcast(plan), own)
+    else:  # a hot source's rows meet copies of its row in several tasks
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+        salt = F.pmod(F.col("_at.key"), F.lit(SALTS)).cast("int")
+        joined = rows.join(plan.select("*", salts), own & (salt == F.col("_salt")))
     first = F.coalesce(F.col("_at") < F.col("_cut"), F.lit(False))
-    out = rows.join(plan, own).select(
+    out = joined.select(
         *docs.columns, "size", "source_size", "target",
         (F.col("whole") + first.cast("int")).cast("long").alias("copies"),
         F.when(F.col("_at") == F.col("_cut"), F.least("size", "_part")).otherwise(F.lit(0)).cast("long").alias("part_words"),
@@ -107,8 +118,6 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, se
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 0) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row per copy taken; the row that ends a
     budget has its leading words, joined by one space, as text (and their length as n_chars)."""
-    from .shared import words
-
     plan = mixed(docs, weights, most, seed)
     part = F.array_join(F.slice(words(F.col("text")), 1, F.col("part_words").cast("int")), " ")
     copies = F.sequence(F.lit(0), F.col("copies").cast("int"))

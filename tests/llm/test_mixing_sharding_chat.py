@@ -24,7 +24,9 @@ def targets(sizes, weights=(5, 2, 1)):
         capped |= over
 
 
-def test_mixing(documents, corpus):
+@pytest.mark.parametrize("most_sources", [20_000, 1])
+def test_mixing(documents, corpus, monkeypatch, most_sources):
+    monkeypatch.setattr(mixing, "MAX_SOURCES", most_sources)
     docs = documents(corpus + [(300, "a b"), (300, "a b"), (None, "c d e"), (None, None)])
     rows = mixing.mixed(docs).collect()
     assert len(rows) == docs.count() and set(rows[0].asDict()) >= set(docs.columns) - {"size"}
