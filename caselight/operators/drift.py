@@ -57,7 +57,7 @@ def psi_bins(reference: DataFrame, current: DataFrame, features: list[str],
     """
     ref, cur = _long(reference, features), _long(current, features)
     probs = [i / n_bins for i in range(n_bins + 1)]
-    edges = quantiles(ref, ["feature"], F.col("value"), probs, "edges").withColumn(
+    edges = quantiles(ref, ["feature"], F.col("value"), probs, "edges", few_groups=True).withColumn(
         "edges", F.array_distinct("edges"))
     if open_ended:
         inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))

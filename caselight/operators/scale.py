@@ -50,6 +50,7 @@ def _second_level(v: Column, low: Column, high: Column) -> Column:
 
 def quantiles(
     df: DataFrame, keys: list[str], value: Column, probs: list[float], name: str = "quantiles",
+    few_groups: bool = False,
 ) -> DataFrame:
     """Exact interpolated quantiles of ``value`` per group, as an array column.
 
@@ -59,7 +60,11 @@ def quantiles(
     value, so values that lie close together (epoch seconds, 100 to 101) spread as well. Third
     pass: the distinct values of the parts that hold the ranks. No group and no bucket is ever
     collected or sorted whole, and the result equals a full sort.
+
+    ``few_groups`` tells that the caller bounds the number of groups, such as a list of
+    features; then, as without keys, the few buckets wanted are given to every task.
     """
+    given = F.broadcast if few_groups or not keys else lambda side: side
     ks = [f"_k{i}" for i in range(len(keys))]
     vals = (
         df.select(*[F.col(k).alias(a) for k, a in zip(keys, ks)], value.cast("double").alias("_v"))
@@ -85,7 +90,7 @@ def quantiles(
         .select(*[F.col(k).alias(t) for k, t in zip(ks, ts)], F.col("_b").alias("_tb"), "_low", "_high", "_before", "_total")
     )
     inner = (
-        vals.join(first, in_group & (F.col("_b") == F.col("_tb"))).drop(*ts, "_tb")
+        vals.join(given(first), in_group & (F.col("_b") == F.col("_tb"))).drop(*ts, "_tb")
         .withColumn("_p", _second_level(F.col("_v"), F.col("_low"), F.col("_high")))
     )
     by_part = Window.partitionBy(*ks, "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)
@@ -97,7 +102,7 @@ def quantiles(
     )
     by_value = Window.partitionBy(*ks, "_b", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     picked = (
-        inner.drop("_before").join(second, in_group & (F.col("_b") == F.col("_tb")) & (F.col("_p") == F.col("_tp")))
+        inner.drop("_before").join(given(second), in_group & (F.col("_b") == F.col("_tb")) & (F.col("_p") == F.col("_tp")))
         .groupBy(*ks, "_b", "_p", "_start", "_total", "_v").agg(F.count("*").alias("_c"))
         .withColumn("_cum", F.col("_start") + F.sum("_c").over(by_value))
         .withColumn("_before", F.col("_cum") - F.col("_c"))

@@ -109,7 +109,8 @@ def event_files(spark: SparkSession, sf_dir: str, n: int = 4, times: int = 1) ->
 
 def tickets_d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as tickets: first line the subject, the rest the resolution."""
-    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    # the given text tables are single row groups, which a scan can't split between tasks
+    d = table(spark, sf_dir, "documents").repartition("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     i = F.col("doc_id")
     code = F.concat(F.lit("ERROR_"), F.upper("source"), F.lit("_"), (i % 7).cast("string"))
     rest = F.when(
@@ -158,7 +159,7 @@ def tickets_o(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tickets_p(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Web pages as tickets with HTML bodies."""
-    return table(spark, sf_dir, "pages").select(
+    return table(spark, sf_dir, "pages").repartition("page_id").select(
         F.col("page_id").cast("string").alias("ticket_id"), F.col("url").alias("subject"),
         F.col("html").alias("description"), F.col("html").alias("resolution"))
 
