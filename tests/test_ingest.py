@@ -198,3 +198,14 @@ def test_ingest_answer_and_monitor(spark, graph_tickets):
     rep = batch.monitor(signals, log, shadow, base, now, now, F.lit(0)).first()
     assert (rep.n_severe, rep.trigger, rep.n_recent_predictions, rep.shadow_status) == (2, "drift", 1, "running")
     assert spark.read.parquet(f"{base}/metrics").count() == 3
+
+
+def test_unreadable_records_are_quarantined(spark, tmp_path):
+    good = [f'{{"ticket_id": "{i}", "created_at": "2024-01-0{i}T00:00:00", "subject": "s", "description": "d"}}' for i in range(1, 6)]
+    bad = ['{"ticket_id": "broken', '{"ticket_id": "7", "created_at": "no date"}', '{"ticket_id": "8", "satisfaction_score": "high"}']
+    (tmp_path / "t.json").write_text("\n".join(good + bad))
+    readable, unreadable = store.split_readable(store.read_json(spark, str(tmp_path / "t.json"), lines=True))
+    assert sorted(r.ticket_id for r in readable.collect()) == ["1", "2", "3", "4", "5"]
+    assert sorted(r["_corrupt_record"] for r in unreadable.collect()) == sorted(bad)
+    whole, none = store.split_readable(daily(spark, 3))
+    assert (whole.count(), none.count()) == (3, 0)
