@@ -7,6 +7,8 @@ part of a longer one only counts where the longer one doesn't match.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +90,10 @@ RULES = [
 ANCHORS = ("licen", "permi", "warrant", "copyright", "reserved", "public domain", "cc by", "cc0", "redistribut", "liable", "use this file")
 
 
+#: Where a text is split: behind . ! ? ; or : and white space, and at empty lines.
+BREAKS = r"([.!?;:])\s+|\n\s*\n"
+
+
 def normal(text: str) -> str:
     """Normal form of a sentence: a-z and 0-9 in runs, lower-cased, joined by one space."""
     return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in text.lower()).split())
@@ -101,21 +107,37 @@ def _lookup(known: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
 
 
+def parts_of(sentence: str) -> list[str]:
+    """Normal forms of the parts that ``sentence_ids`` splits a sentence into."""
+    parts = re.sub(BREAKS, lambda m: f"{m[1] or ''}\u0001", sentence, flags=re.ASCII).split("\u0001")
+    return [x for x in map(normal, parts) if x]
+
+
 def sentence_ids(text: Column, sentences: dict[str, str] = SENTENCES) -> Column:
     """Identifiers of the known sentences of a text, in order.
 
     Sentences end behind . ! ? ; or : and white space, or at an empty line. One that isn't known
-    as a whole is looked at line by line, since a statement may follow on unfinished text.
+    as a whole is looked at line by line, since a statement may follow on unfinished text. A known
+    sentence with such an end inside is the run of its parts, with no other words between them.
     """
-    table = _lookup({normal(s): name for name, s in sentences.items()})
-    parts = F.split(F.regexp_replace(text, r"([.!?;:])\s+|\n\s*\n", "$1\u0001"), "\u0001")
+    numbers: dict[str, str] = {}
+    runs: dict[str, str] = {}
+    for name, s in sentences.items():
+        for own in ([normal(s)], parts_of(s)):
+            runs["".join(numbers.setdefault(x, f" {len(numbers)};") for x in own)] = name
+    table = _lookup({**numbers, "": ""})
+    unknown = F.lit(" -;")
+    parts = F.split(F.regexp_replace(text, BREAKS, "$1\u0001"), "\u0001")
 
     def found(part: Column) -> Column:
         whole = F.get(F.array(F.element_at(table, normal_form(part))), F.lit(0))
-        lines = F.array_compact(F.transform(F.split(part, "\n"), lambda x: F.element_at(table, normal_form(x))))
+        lines = F.transform(F.split(part, "\n"), lambda x: F.coalesce(F.element_at(table, normal_form(x)), unknown))
         return F.when(whole.isNotNull(), F.array(whole)).otherwise(lines)
 
-    return F.flatten(F.transform(parts, found))
+    sequence = F.concat_ws("", F.flatten(F.transform(parts, found)))
+    longest = "|".join(sorted(runs, key=lambda r: -r.count(";")))
+    names = _lookup(runs)
+    return F.transform(F.regexp_extract_all(sequence, F.lit(longest), F.lit(0)), lambda m: F.element_at(names, m))
 
 
 def scanned(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules: list[tuple[str, list[str]]] = RULES) -> DataFrame:

@@ -121,3 +121,50 @@ def test_normal_forms_agree(documents):
     out = documents(rows).select("text", licenses.normal_form(F.col("text")).alias("n")).collect()
     assert all(r["n"] == licenses.normal(r["text"]) for r in out)
     assert licenses.scanned(documents(rows).limit(0)).collect() == []
+
+
+def test_every_known_sentence_and_rule_is_found(documents):
+    """Also those with the end of a sentence inside, as GPL and MPL headers have."""
+    names = list(licenses.SENTENCES)
+    rows = [(k, licenses.SENTENCES[x]) for k, x in enumerate(names)]
+    rows += [(100 + k, f"Some text\n# {licenses.SENTENCES[x]}\nMore text.") for k, x in enumerate(names)]
+    rows += [(200 + k, "\n\n".join(licenses.SENTENCES[x] for x in run)) for k, (_, run) in enumerate(licenses.RULES)]
+    out = {r["doc_id"]: r for r in licenses.scanned(documents(rows)).collect()}
+    for k, x in enumerate(names):
+        assert out[k]["sentence_ids"] == [x]
+        if licenses.SENTENCES[x][-1] in ".;:":
+            assert out[100 + k]["sentence_ids"] == [x]
+    for k, (name, run) in enumerate(licenses.RULES):
+        r = out[200 + k]
+        assert (r["sentence_ids"], r["licenses"], len(r["matches"])) == (run, [name], 1)
+
+
+GPL3 = """# Copyright (C) 2020 Somebody
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+"""
+MPL2 = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+FREE = licenses.SENTENCES["gpl-free"]
+
+
+@pytest.mark.parametrize(("text", "found", "expected"), [
+    (GPL3, ["gpl-free", "gpl-hope", "gpl-merchant", "gpl-see"], ["GPL-3.0-or-later"]), (MPL2, ["mpl-head"], ["MPL-2.0"]),
+    (FREE.replace(": ", "; "), ["gpl-free"], ["GPL-3.0-or-later"]), (FREE.replace(":", ","), ["gpl-free"], ["GPL-3.0-or-later"]),
+    (FREE.replace(": ", ":\n# --\n\n "), ["gpl-free"], ["GPL-3.0-or-later"]), (FREE + " " + MPL2, ["gpl-free", "mpl-head"], ["GPL-3.0-or-later", "MPL-2.0"]),
+    (FREE.replace(": ", ": or so they say. "), [], []), (FREE.split(": ")[1], [], []), (FREE.split(": ")[0] + ".", [], []),
+    ("This license is at version v. 2.0. All rights reserved.", ["reserved"], ["proprietary"]),
+])
+def test_sentences_of_several_parts(documents, text, found, expected):
+    (r,) = licenses.scanned(documents([(1, text)])).collect()
+    assert (r["sentence_ids"], r["licenses"]) == (found, expected)
