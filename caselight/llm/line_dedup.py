@@ -1,14 +1,15 @@
 """Removal of repeated multi-line passages with content-defined boundaries.
 
-A rolling hash over the hashes of consecutive lines decides where a passage ends, so that the
-same lines are cut alike wherever they stand: an insertion shifts no boundary beyond its own
-surroundings. Passages of two lines or more are looked up across the whole corpus by a 128-bit
+A rolling hash over the hashes of consecutive lines with words decides where a passage ends, so
+that the same lines are cut alike wherever they stand: an insertion shifts no boundary beyond its
+own surroundings, and blank lines shift none. Passages of two lines or more are looked up across the whole corpus by a 128-bit
 hash; those found repeated are then compared byte by byte in blocks of the hash space, and every
 occurrence but the earliest goes.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 
 import numpy as np
@@ -23,14 +24,21 @@ PASSAGES_PER_BLOCK = 2**18
 BYTES_PER_BLOCK = 16 << 20
 
 
+def _worded(lines: list[bytes]) -> list[int]:
+    """Numbers of the lines with words."""
+    return [i for i, x in enumerate(lines) if x.strip()]
+
+
 def boundaries(lines: list[bytes], divisor: int, window: int, least: int, most: int) -> list[int]:
     """Ends of the passages of a text's lines.
 
-    A passage ends behind a line if the hash of the last ``window`` lines is 0 modulo
-    ``divisor`` and the passage has ``least`` lines, at ``most`` lines, or at the text's end.
+    Only lines with words count: a passage ends behind one if the hash of the last ``window`` of
+    them is 0 modulo ``divisor`` and the passage has ``least``, at ``most`` of them, or at the
+    text's end. Blank lines belong to the passage behind them, at the text's end to the last.
     """
-    n = len(lines)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), U64, n)
+    at = _worded(lines)
+    n = len(at)
+    h = np.fromiter((xxhash.xxh3_64_intdigest(lines[i]) for i in at), U64, n)
     if n >= window:
         cut = np.flatnonzero(combine([h[i : n - window + 1 + i] for i in range(window)]) % U64(divisor) == 0) + window
     else:
@@ -43,16 +51,26 @@ def boundaries(lines: list[bytes], divisor: int, window: int, least: int, most:
         if end - start >= least or (end == n and end > start):
             ends.append(end)
             start = end
-    return ends
+    return [len(lines) if end == n else at[end - 1] + 1 for end in ends]
 
 
 def passages(text: bytes | None, divisor: int = 3, window: int = 2, least: int = 2, most: int = 64) -> list[tuple[int, int, bytes]]:
-    """(first line, lines, bytes) of the passages with words on two lines at least."""
+    """(first line, lines, bytes) of the passages with words on two lines at least.
+
+    Blank lines around a passage are among its lines, but not its bytes. A last line with words
+    that is left alone forms a further passage with the one before it, so every text with words
+    on two lines or more is covered wholly.
+    """
     lines = text.split(b"\n") if text else []
-    out, start = [], 0
-    for end in boundaries(lines, divisor, window, least, most) if lines else []:
-        if sum(bool(x.strip()) for x in lines[start:end]) > 1:
-            out.append((start, end - start, b"\n".join(lines[start:end])))
+    at = _worded(lines)
+    out, start, done = [], 0, 0
+    for end in boundaries(lines, divisor, window, least, most):
+        first, done = done, bisect.bisect_left(at, end)
+        if done - first == 1 and done == len(at) > 1:
+            first -= 1
+            start = at[first]
+        if done - first > 1:
+            out.append((start, end - start, b"\n".join(lines[at[first] : at[done - 1] + 1])))
         start = end
     return out
 
@@ -84,7 +102,7 @@ def remove_repeated_passages(
 
     Lines are what ``\\n`` separates; n_passages counts the multi-line passages (words on two
     lines at least), and of each one only the occurrence with the smallest (doc_id, first line)
-    stays. Kept lines are joined by ``\\n``. A null text has no lines and kept_text null; an
+    stays. Blank lines before a passage, and those that end a text, go with it. Kept lines are joined by ``\\n``. A null text has no lines and kept_text null; an
     empty text has one empty line. A null doc_id comes before all others; rows with the same
     doc_id are one document, so equal places don't remove each other. An empty table gives no
     rows; other columns of ``docs`` are ignored.

@@ -53,6 +53,49 @@ def test_passages_match_brute_force(documents, corpus, chunk):
     assert {r["doc_id"]: (r["n_lines"], r["n_passages"], r["n_removed_lines"], r["kept_text"]) for r in out} == lines_brute(lined)
 
 
+@pytest.mark.parametrize("between", ["\n", "\n\n", "\n \t\n\r\n"])
+def test_copies_go_wholly(documents, between):
+    """Texts of two lines with words or more, blank lines between them or not."""
+    texts = [between.join(f"line {k} of text {i}" for k in range(2 + i % 9)) for i in range(120)]
+    texts += [between + texts[7] + between, "\n" * 200 + "alpha" + "\n" * 200 + "beta", between.join(f"long {k}" for k in range(500))]
+    rows = [(i + 1000 * copy, t) for copy in range(2) for i, t in enumerate(texts)]
+    out = {r["doc_id"]: r for r in line_dedup.remove_repeated_passages(documents(rows), chunk_bytes=3000).collect()}
+    for i, t in enumerate(texts):
+        n = t.count("\n") + 1
+        assert i == 120 or (out[i]["n_removed_lines"], out[i]["kept_text"]) == (0, t)
+        assert (out[1000 + i]["n_lines"], out[1000 + i]["n_removed_lines"], out[1000 + i]["kept_text"]) == (n, n, "")
+
+
+@pytest.mark.parametrize("shape", [{}, {"least": 3, "most": 5}, {"window": 4, "most": 2}, {"divisor": 1}, {"divisor": 10**9}])
+def test_passages_cover_every_line(shape):
+    for n in range(2, 150):
+        lines = [f"{n} {k}" if k * n % 7 % 3 else " " * (k % 2) for k in range(n)]
+        text = "\n".join(lines).encode()
+        found = line_dedup.passages(text, **shape)
+        if sum(bool(x.strip()) for x in lines) > 1:
+            assert {k for start, many, _ in found for k in range(start, start + many)} == set(range(n))
+        for start, many, data in found:
+            assert b"\n".join(text.split(b"\n")[start : start + many]).strip() == data.strip()
+
+
+def test_blank_lines_shift_no_passage(documents):
+    lines = [f"line {k}" for k in range(300)]
+    other = "\n".join(["first", *lines, "last"])
+    rows = [(1, "\n".join(lines[:150]) + "\n\n\n" + "\n".join(lines[150:])), (2, other), (3, "\n\n" + other)]
+    out = {r["doc_id"]: r for r in line_dedup.remove_repeated_passages(documents(rows)).collect()}
+    assert out[1]["n_removed_lines"] == 0 and out[2]["n_removed_lines"] > 280
+    assert out[3]["kept_text"] == ""
+
+
+def test_a_last_line_alone_costs_its_predecessor_nothing(documents):
+    """A passage at a text's end is still found inside another, whatever single line follows it."""
+    lines = [f"line {k}" for k in range(40)]
+    rows = [(0, "\n".join(lines))] + [(k, "\n".join(lines[:k]) + "\nnew") for k in range(2, 39)]
+    out = {r["doc_id"]: r["kept_text"] for r in line_dedup.remove_repeated_passages(documents(rows)).collect()}
+    ends = line_dedup.boundaries([x.encode() for x in lines], 3, 2, 2, 64)
+    assert all(out[k] == "new" for k in ends if k in out)
+
+
 def test_boundaries_resist_shifts():
     lines = [f"line {i}".encode() for i in range(200)]
     plain = {p[2] for p in line_dedup.passages(b"\n".join(lines))}
