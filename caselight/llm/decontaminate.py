@@ -121,6 +121,14 @@ class _Chunk:
         at = np.searchsorted(self.keys, low | terms << 32)
         return (at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] <= (high | terms << 32))
 
+    def between(self, terms: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the term in ``terms``, place) for the places of each term from low to high."""
+        first = np.searchsorted(self.keys, low | terms << 32)
+        n = np.searchsorted(self.keys, high | terms << 32, side="right") - first
+        which = np.repeat(np.arange(len(terms)), n)
+        at = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + first[which]
+        return which, self.keys[at] & 0xFFFFFFFF
+
     def doc(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, places, side="right")
 
@@ -198,19 +206,44 @@ def _exact(phrases: _Phrases, c: _Chunk, most: int = 1_000_000):
 
 
 def _near(phrases: _Phrases, c: _Chunk, within: int, most: int = 1_000_000):
+    """Places of the items' words around which the whole item occurs.
+
+    They lie at most ``within`` words from an occurrence of the item's rarest word, and all its
+    words at most twice as far: the rarest word only says where to look.
+    """
     there, order, rarest = phrases.by_rarity(c)
     slabs = np.split(np.arange(len(there)), np.flatnonzero(np.diff(np.cumsum(rarest) // most)) + 1) if len(there) else []
+    bounds = c.ends - c.lengths, c.ends - 1
+
+    def around(place: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+        doc = c.doc(place)
+        return np.maximum(place - distance, bounds[0][doc]), np.minimum(place + distance, bounds[1][doc])
+
+    def whole(phrase: np.ndarray, place: np.ndarray, distance: int) -> np.ndarray:
+        low, high = around(place, distance)
+        ok = np.ones(len(phrase), bool)
+        for k in range(phrases.terms.shape[1]):
+            more = np.flatnonzero(ok & (phrases.length[phrase] > k))
+            ok[more] = c.near(phrases.terms[phrase[more], k], low[more], high[more])
+        return ok
+
     for slab in slabs:
         own, offsets = there[slab], order[slab]
         which, place = c.places(phrases.terms[own, offsets[:, 0]])
-        doc = c.doc(place)
-        low = np.maximum(place - within, (c.ends - c.lengths)[doc])
-        high = np.minimum(place + within, c.ends[doc] - 1)
-        ok = np.ones(len(which), bool)
-        for k in range(1, phrases.terms.shape[1]):
-            more = ok & (phrases.length[own[which]] > k)
-            ok[more] = c.near(phrases.terms[own[which[more]], offsets[which[more], k]], low[more], high[more])
-        yield own[which[ok]], place[ok], place[ok] + 1
+        phrase = own[which]
+        ok = whole(phrase, place, 2 * within)
+        phrase, place = phrase[ok], place[ok]
+        step = max(1, most // (2 * within + 1))  # distinct words have 2 * within + 1 places around one
+        for a in range(0, len(phrase), step):
+            part, low, high = phrase[a : a + step], *around(place[a : a + step], within)
+            found = []
+            for k in range(phrases.terms.shape[1]):
+                at = np.flatnonzero(phrases.length[part] > k)
+                which, near = c.between(phrases.terms[part[at], k], low[at], high[at])
+                found.append(np.stack([part[at][which], near]))
+            of, near = np.unique(np.concatenate(found, axis=1), axis=1)
+            ok = whole(of, near, within)
+            yield of[ok], near[ok], near[ok] + 1
 
 
 def _matcher(phrases: _Phrases, size: int | None, within: int):
@@ -279,7 +312,7 @@ def phrase_matches(index: DataFrame, items: DataFrame, size: int = 10, block_byt
 
 
 def proximity_matches(index: DataFrame, items: DataFrame, within: int = 30, block_bytes: int = 1 << 20) -> DataFrame:
-    """As ``phrase_matches``, but an item matches around an occurrence of its rarest word (in the
-    chunk) if every word of it occurs there, at most ``within`` words away, in any order;
-    hit_words are those occurrences of the rarest word."""
+    """As ``phrase_matches``, but an item matches around an occurrence of any of its words if
+    every word of it occurs in that document at most ``within`` words away, in any order;
+    hit_words are those occurrences. Only the document and the item decide."""
     return _per_document(index, _search(index, items, None, within, block_bytes))

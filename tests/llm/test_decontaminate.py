@@ -1,3 +1,5 @@
+import random
+
 import brute
 import pytest
 
@@ -41,6 +43,50 @@ def test_proximity(spark, documents):
     assert {r["doc_id"] for r in out if r["items"]} == {1, 5}
 
 
+def near_brute(rows, items, within):
+    """doc_id: (items, hit_words)."""
+    out = {}
+    for i, text in rows:
+        own, hits, names = [x.lower() for x in (text or "").split()], set(), set()
+        for name, item in items:
+            wanted = set((item or "").lower().split())
+            for p, x in enumerate(own):
+                if x in wanted and wanted <= set(own[max(0, p - within) : p + within + 1]):
+                    hits.add(p)
+                    names.add(str(name))
+        out[i] = (sorted(names), sorted(hits))
+    return out
+
+
+@pytest.mark.parametrize("crowd", ["a", "b", "c"])
+@pytest.mark.parametrize("chunk", [1, 4 << 20])
+def test_proximity_doesnt_depend_on_the_chunk(spark, documents, chunk, crowd):
+    words = [f"x{k}" for k in range(60)]
+    words[0], words[25], words[50] = "a", "b", "c"
+    others = sorted({"a", "b", "c"} - {crowd})
+    rows = [(1, " ".join(words)), (2, " ".join(others * 20)), (3, f"{crowd} {others[0]}"), (4, "c y b"), (5, "y y a")]
+    items = [(1, "a b c", None)]
+    index = decontaminate.build_index(documents(rows).coalesce(1), chunk_bytes=chunk)
+    out = decontaminate.proximity_matches(index, spark.createDataFrame(items, ITEMS), within=30).collect()
+    assert {r["doc_id"]: (r["items"], r["hit_words"]) for r in out} == {1: (["1"], [25]), 2: ([], []), 3: ([], []), 4: ([], []), 5: ([], [])}
+
+
+@pytest.mark.parametrize(("chunk", "block"), [(4 << 20, 1 << 20), (700, 1 << 20), (1, 30)])
+def test_proximity_matches_brute_force(spark, documents, chunk, block, monkeypatch):
+    rnd = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(40)]
+    text = lambda n: " ".join(rnd.choices(vocabulary, [1 / (k + 1) for k in range(40)], k=n))
+    rows = [(i, text(rnd.choice([0, 1, 5, 60]))) for i in range(60)] + [(60, None), (61, text(400))]
+    items = [(k, text(rnd.choice([1, 2, 3, 4, 5]))) for k in range(40)] + [(40, None), (41, "w0 none")]
+    monkeypatch.setattr(decontaminate._near, "__defaults__", (200,))  # several slabs and steps
+    index = decontaminate.build_index(documents(rows), chunk_bytes=chunk)
+    for within in (0, 2, 6):
+        out = decontaminate.proximity_matches(index, spark.createDataFrame([(*x, None) for x in items], ITEMS), within=within, block_bytes=block)
+        got = {r["doc_id"]: (r["items"], r["hit_words"]) for r in out.collect()}
+        want = near_brute(rows, items, within)
+        assert {i: (sorted(a), b) for i, (a, b) in got.items()} == want
+
+
 def test_empty_tables(spark, documents):
     items = spark.createDataFrame([], ITEMS)
     index = decontaminate.build_index(documents([(1, "a b")]))
