@@ -19,8 +19,6 @@ BUCKETS = 2**16
 THRESHOLD = -0.1
 #: Pseudo-counts of each bucket: few occurrences are no evidence.
 PRIOR = 50
-#: At most this many trusted documents (those with the smallest hash of their id).
-TRUSTED = 20_000
 #: Runs of letters and digits, and runs of other characters that aren't white space.
 TOKENS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 WINDOW = 8
@@ -81,15 +79,15 @@ def ngram_buckets(text: Column, buckets: int = BUCKETS) -> Column:
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, weight): the log ratio of each of the ``buckets``.
 
-    Counts cover every text of ``docs``; the target's are those of the documents in ``trusted``
-    (doc_id, a bounded table). Each bucket has ``PRIOR`` further raw occurrences of which the
-    target has its share, so a rare n-gram that happens to be in no trusted document weighs
-    little, and a frequent one that none has weighs much. All weights are 0 without a target.
+    Counts cover every text of ``docs``; the target's are those of all documents in ``trusted``
+    (doc_id). Each bucket has ``PRIOR`` further raw occurrences of which the target has its share,
+    so a rare n-gram that happens to be in no trusted document weighs little, and a frequent one
+    that none has weighs much. All weights are 0 without a target.
     """
-    own = F.broadcast(trusted.select("doc_id", F.lit(True).alias("target")).distinct())
-    rows = docs.select("doc_id", "text").join(own, "doc_id", "left")
-    grams = rows.select(F.coalesce("target", F.lit(False)).cast("long").alias("target"), F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"))
-    found = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("target").alias("target"))
+    rows = docs.select("doc_id", "text")
+    of = lambda rows, target: rows.select(F.lit(target).alias("target"), F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"))
+    grams = of(rows, 0).union(of(rows.join(trusted.select("doc_id").distinct(), "doc_id", "left_semi"), 1))
+    found = grams.groupBy("bucket").agg(F.sum(1 - F.col("target")).alias("raw"), F.sum("target").alias("target"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     filled = every.join(found, "bucket", "left").na.fill(0)
     whole = Window.partitionBy()
@@ -98,14 +96,13 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> D
     return filled.select("bucket", F.when(share > 0, F.log(ratio)).otherwise(F.lit(0.0)).alias("weight"))
 
 
-def trusted_ids(labels: DataFrame, learn_from: Column | None = None, trusted: int = TRUSTED) -> DataFrame:
-    """Ids of documents whose labels (doc_id, quality) are all 1, at most ``trusted`` of them,
-    chosen by a hash; null ids and null labels don't count."""
+def trusted_ids(labels: DataFrame, learn_from: Column | None = None) -> DataFrame:
+    """Ids of all documents whose labels (doc_id, quality) are all 1; null ids and null labels
+    don't count."""
     usable = labels.select("doc_id", "quality").where("doc_id is not null and quality is not null")
     if learn_from is not None:
         usable = usable.where(learn_from)
-    good = usable.groupBy("doc_id").agg(F.min("quality").alias("worst")).where("worst >= 1").select("doc_id")
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted)
+    return usable.groupBy("doc_id").agg(F.min("quality").alias("worst")).where("worst >= 1").select("doc_id")
 
 
 def judged(

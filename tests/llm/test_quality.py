@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import brute
@@ -98,6 +99,25 @@ def test_likelihood_weights_match_brute_force(spark, documents):
     assert {r["bucket"]: r["weight"] for r in out} == pytest.approx({b: math.log((target[b] + k * f) / (f * (raw[b] + k))) for b in range(n)})
 
 
+def test_every_trusted_document_counts(spark):
+    """However many there are, and without a broadcast of their ids."""
+    n = 20_500
+    docs = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "a b").otherwise("c").alias("text"))
+    trusted = quality_rules.trusted_ids(docs.select("doc_id", (1 - F.col("doc_id") % 2).alias("quality")))
+    assert trusted.count() == n
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        weights = quality_rules.log_ratios(docs, trusted, 64)
+        assert "BroadcastHashJoin" not in weights._jdf.queryExecution().executedPlan().toString()
+        got = {r["bucket"]: r["weight"] for r in weights.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    (a,) = spark.createDataFrame([("a",)], "t string").select(quality_rules.ngram_buckets(F.col("t"), 64)[0]).first()
+    share, k = 3 / 4, quality_rules.PRIOR
+    raw = n * sum(x == a for x in spark.createDataFrame([("a b",)], "t string").select(quality_rules.ngram_buckets(F.col("t"), 64)).first()[0])
+    assert got[a] == pytest.approx(math.log((raw + k * share) / (share * (raw + k))))
+
+
 MIT = "\n\n".join(licenses.SENTENCES[x] for x in ("mit-title", "mit-grant", "mit-notice", "mit-asis", "mit-liable"))
 BSD3 = " ".join(licenses.SENTENCES[x] for x in ("bsd-head", "bsd-source", "bsd-binary", "bsd-name"))
 BSD2 = " ".join(licenses.SENTENCES[x] for x in ("bsd-head", "bsd-source", "bsd-binary"))
