@@ -8,7 +8,7 @@ the columns of documents. Learnt labels, benchmark and corpus statistics come fr
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caselight.llm import decontaminate, mixing, near_dedup, quality_classifier, sharding
@@ -36,6 +36,15 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return _named(docs).join(gone, "_id", "left_anti").select(docs.columns)
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """One row of ``docs`` per document and text: the first by the other columns, nulls first.
+    Only one row per task and group is moved."""
+    others = [F.col(c).asc_nulls_first() for c in docs.columns if c != "text"]
+    rank = F.row_number().over(Window.partitionBy("_id", "_digest").orderBy(*others))
+    rows = _named(docs).withColumn("_digest", F.sha2("text", 256))
+    return rows.withColumn("_rank", rank).where("_rank = 1").select(docs.columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts to be good."""
     held = quality_classifier.held_out(F.col("doc_id"))
@@ -44,9 +53,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8)."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8).
+
+    Of rows of one document (the same doc_id, or none and the same text) with equal texts one
+    stays; those of a kept document that differ in text all stay, null and empty text included.
+    """
     groups = near_dedup.near_duplicates(_named(docs).select(F.col("_id").alias("doc_id"), "text"))
-    return _without(docs, groups.where(~F.col("kept")))
+    return _without(_once(docs), groups.where(~F.col("kept")))
 
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
