@@ -191,6 +191,46 @@ SELECT doc_id, CAST(strlen(text) + 8 AS BIGINT) AS size, text_crc32, 'key' AS la
 FROM d JOIN placed USING (doc_id) JOIN sums USING (doc_id)
 """
 
+OP12 = rf"""
+WITH RECURSIVE bits(b, r, c) AS (
+  SELECT CAST(i AS BIGINT), 0, CAST(i AS BIGINT) FROM range(256) x(i)
+  UNION ALL
+  SELECT b, r + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END FROM bits WHERE r < 8
+), crc AS (
+  SELECT list(c ORDER BY b) AS t FROM bits WHERE r = 8
+), w AS (
+  SELECT 'd' AS side, doc_id AS id, {_TERMS} AS ws FROM documents
+  UNION ALL
+  SELECT 'b', item_id, {_TERMS} FROM benchmark
+), f AS (
+  SELECT side, id, array_to_string(ws[i : i + k - 1], ' ') AS f
+  FROM (SELECT side, id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM w, range(1, 4) r(k))
+), terms AS (
+  SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)
+), hashed(f, h, k, c) AS (
+  SELECT f, h, 1, CAST(4294967295 AS BIGINT) FROM terms
+  UNION ALL
+  SELECT f, h, k + 2, xor(c >> 8, t[(xor(c, CAST('0x' || substr(h, k, 2) AS BIGINT)) & 255) + 1]) FROM hashed, crc WHERE k < length(h)
+), buckets AS (
+  SELECT f, xor(4294967295, c) % 10000 AS bucket FROM hashed WHERE k > length(h)
+), n AS (
+  SELECT side, id, bucket, count(*) AS n FROM f JOIN buckets USING (f) GROUP BY 1, 2, 3
+), sums AS (
+  SELECT bucket, CAST(coalesce(sum(n) FILTER (side = 'd'), 0) AS DOUBLE) AS s, CAST(coalesce(sum(n) FILTER (side = 'b'), 0) AS DOUBLE) AS t FROM n GROUP BY 1
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM sums) + 10000) / ((s + 1) * ((SELECT sum(t) FROM sums) + 10000)))) AS BIGINT) AS gain FROM sums
+), weights AS (
+  SELECT id, CAST(sum(n * gain) AS BIGINT) AS weight, CAST(sum(n) AS BIGINT) AS n_features FROM n JOIN gains USING (bucket) WHERE side = 'd' GROUP BY 1
+), scores AS (
+  SELECT w.id AS doc_id, len(ws) >= 20 AS fit, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || w.id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM w LEFT JOIN weights USING (id) WHERE side = 'd'
+), places AS (
+  SELECT *, row_number() OVER (PARTITION BY fit ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY fit) AS fits FROM scores
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 5 * fits // 100 THEN place END AS rank FROM places
+"""
+
 ORACLES = {
     "op1_near_dedup": OP1,
     "op2_substring_dedup": OP2,
@@ -199,4 +239,5 @@ ORACLES = {
     "op7_mixing": OP7,
     "op8_chat_format": OP8,
     "op9_sharding": OP9,
+    "op12_importance_resampling": OP12,
 }

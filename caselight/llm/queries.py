@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    chat_format, decontaminate, licenses, line_dedup, mixing, near_dedup, oracles, quality_classifier, quality_rules, sharding, substring_dedup,
+    chat_format, decontaminate, importance_resampling, licenses, line_dedup, mixing, near_dedup, oracles, quality_classifier, quality_rules, sharding, substring_dedup,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.concat_ws(",", "sentence_ids").alias("sentence_ids"),
         F.size("matches").cast("long").alias("n_matches"), F.concat_ws(",", "licenses").alias("licenses"),
     )
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents towards the benchmark, and the ranks of the drawn twentieth."""
+    out = importance_resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
