@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    chat_format, decontaminate, importance_resampling, licenses, line_dedup, mixing, near_dedup, oracles, quality_classifier, quality_rules, sharding, substring_dedup,
+    chat_format, decontaminate, embedding_whitening, importance_resampling, licenses, line_dedup, mixing, near_dedup, oracles, quality_classifier, quality_rules, sharding, substring_dedup,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -114,3 +114,10 @@ def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of all documents towards the benchmark, and the ranks of the drawn twentieth."""
     out = importance_resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their 32 whitened principal components."""
+    out = embedding_whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
