@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    chat_format, decontaminate, embedding_whitening, importance_resampling, licenses, line_dedup, mixing, near_dedup, oracles, quality_classifier, quality_rules, sharding, substring_dedup,
+    chat_format, decontaminate, embedding_whitening, graph_search, importance_resampling, licenses, line_dedup, mixing, near_dedup, oracles, quality_classifier, quality_rules, sharding, substring_dedup,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,10 @@ def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings on their 32 whitened principal components."""
     out = embedding_whitening.whitened(table(spark, sf_dir, "embeddings"))
     return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+@query
+def op11_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth embedding among all others."""
+    vectors = graph_search.vectors_of(table(spark, sf_dir, "embeddings"))
+    return graph_search.search(graph_search.build_index(vectors), vectors.where("id % 20 = 0"), k=20)
