@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import kept_aside, n_words, words
+from .shared import all_columns, comparable, kept_aside, n_words, unused, without, words
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
@@ -70,11 +70,12 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, se
     Columns of ``docs`` named like the new ones are replaced.
     """
     new = ("size", "source_size", "target", "copies", "part_words", "taken")
-    docs = docs.drop(*new)
-    ties = F.xxhash64(*[c for c in docs.columns if c != "source"])
+    docs = without(docs, new)
+    at, s, c, cut_at, cut_part, copies_of, salted = unused(docs, "_at", "_s", "_c", "_cut", "_part", "_whole", "_salt")
+    ties = F.xxhash64(*[comparable(docs, name) for name in docs.columns if name != "source"])
     place = F.struct(random_key(seed).alias("key"), "doc_id", ties.alias("tie"))
-    rows = docs.select("*", n_words(F.col("text")).alias("size"), place.alias("_at"))
-    narrow = rows.select("source", "size", "_at", F.shiftright("_at.key", KEY_BITS - RANGE_BITS).alias("range"))
+    rows = docs.select(*all_columns(docs), n_words(F.col("text")).alias("size"), place.alias(at))
+    narrow = rows.select("source", "size", F.col(at).alias("_at"), F.shiftright(F.col(at)["key"], KEY_BITS - RANGE_BITS).alias("range"))
 
     ranges = narrow.groupBy("source", "range").agg(F.sum("size").alias("words"))
     sizes = ranges.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -85,32 +86,32 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, se
 
     by_range = Window.partitionBy("source").orderBy("range")
     ends = ranges.select("*", F.sum("words").over(by_range).alias("until"))
-    t = targets.select(F.col("source").alias("_s"), "rest")
-    own = F.col("source").eqNullSafe(F.col("_s"))
+    t = targets.select(F.col("source").alias(s), "rest")
+    own = F.col("source").eqNullSafe(F.col(s))
     ending = ends.join(t, own).where("until - words <= rest and rest < until")
-    ending = ending.select("_s", F.col("range").alias("_r"), (F.col("rest") - F.col("until") + F.col("words")).alias("rest"))
+    ending = ending.select(s, F.col("range").alias("_r"), (F.col("rest") - F.col("until") + F.col("words")).alias("rest"))
 
     last = narrow.join(ending, own & (F.col("range") == F.col("_r"))).groupBy("source", "rest", "_at", "size").agg(F.count(F.lit(1)).alias("same"))
     inside = Window.partitionBy("source").orderBy("_at", "size")
     last = last.select("*", F.sum(F.col("same") * F.col("size")).over(inside).alias("until"))
     before = F.col("until") - F.col("same") * F.col("size")
     cut = last.where((before <= F.col("rest")) & (F.col("rest") < F.col("until")))
-    cut = cut.select(F.col("source").alias("_c"), F.col("_at").alias("_cut"), F.expr("(rest - until + same * size) div same").alias("_part"))
-    plan = targets.drop("rest").join(cut, F.col("source").eqNullSafe(F.col("_c")), "left").drop("_c").withColumnRenamed("source", "_s")
+    cut = cut.select(F.col("source").alias(c), F.col("_at").alias(cut_at), F.expr("(rest - until + same * size) div same").alias(cut_part))
+    plan = targets.withColumnRenamed("whole", copies_of).drop("rest").join(cut, F.col("source").eqNullSafe(F.col(c)), "left").drop(c).withColumnRenamed("source", s)
 
     # one row per source: every task gets the plan, unless there are very many sources
     plan = kept_aside(plan)
     if plan.count() <= MAX_SOURCES:
         joined = rows.join(F.broadcast(plan), own)
     else:  # a hot source's rows meet copies of its row in several tasks
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
-        salt = F.pmod(F.col("_at.key"), F.lit(SALTS)).cast("int")
-        joined = rows.join(plan.select("*", salts), own & (salt == F.col("_salt")))
-    first = F.coalesce(F.col("_at") < F.col("_cut"), F.lit(False))
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salted)
+        salt = F.pmod(F.col(at)["key"], F.lit(SALTS)).cast("int")
+        joined = rows.join(plan.select("*", salts), own & (salt == F.col(salted)))
+    first = F.coalesce(F.col(at) < F.col(cut_at), F.lit(False))
     out = joined.select(
-        *docs.columns, "size", "source_size", "target",
-        (F.col("whole") + first.cast("int")).cast("long").alias("copies"),
-        F.when(F.col("_at") == F.col("_cut"), F.least("size", "_part")).otherwise(F.lit(0)).cast("long").alias("part_words"),
+        *all_columns(docs), "size", "source_size", "target",
+        (F.col(copies_of) + first.cast("int")).cast("long").alias("copies"),
+        F.when(F.col(at) == F.col(cut_at), F.least("size", cut_part)).otherwise(F.lit(0)).cast("long").alias("part_words"),
     )
     return out.withColumn("taken", F.col("copies") * F.col("size") + F.col("part_words"))
 
@@ -118,13 +119,15 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, se
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 0) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row per copy taken; the row that ends a
     budget has its leading words, joined by one space, as text (and their length as n_chars)."""
-    plan = mixed(docs, weights, most, seed)
+    # the helpers' names are kept apart from those of the documents, which mixed() would replace
+    inner = docs.select(F.col("doc_id"), F.col("text"), F.col("source"), F.struct(all_columns(docs)).alias("row"))
+    plan = mixed(inner, weights, most, seed)
     part = F.array_join(F.slice(words(F.col("text")), 1, F.col("part_words").cast("int")), " ")
     copies = F.sequence(F.lit(0), F.col("copies").cast("int"))
     wanted = F.filter(copies, lambda i: (i < F.col("copies")) | (F.col("part_words") > 0))
-    rows = plan.select("*", F.explode(wanted).alias("_copy"))
-    cut = (F.col("_copy") == F.col("copies")) & (F.col("part_words") > 0)
+    rows = plan.select("*", F.explode(wanted).alias("copy"))
+    cut = (F.col("copy") == F.col("copies")) & (F.col("part_words") > 0)
     changed = {"text": F.when(cut, part).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(cut, F.length(part).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return rows.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
+        changed["n_chars"] = F.when(cut, F.length(part).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row")["n_chars"])
+    return rows.select(*[(changed[c] if c in changed else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .quality_features import N_FEATURES, features
+from .shared import all_columns, without
 
 #: At most this many trusted documents (those with the smallest hash of their id).
 TRUSTED = 20_000
@@ -112,21 +113,26 @@ def fit(
     return Model(weights, float(share))
 
 
+def _scores(weights: np.ndarray):
+    def run(text: pa.Array) -> pa.Array:
+        parts = []
+        for at in range(0, len(text), 2000):
+            parts.append(np.clip((features(text.slice(at, 2000).to_pylist()) @ weights + 1) / 2, 0, 1))
+        return pa.array(np.concatenate(parts) if parts else [], pa.float64())
+
+    return F.arrow_udf(run, "double")
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with score (0 to 1, higher: good likelier) and predicted (score >=
     0.5). Null, empty and blank texts get the score of a text without properties. Columns of
-    ``docs`` of these names are replaced; an empty table gives no rows."""
-    docs = docs.drop("score", "predicted")
-    weights = model.weights
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch["_bytes"].to_pylist()
-            score = [np.clip((features(texts[at : at + 2000]) @ weights + 1) / 2, 0, 1) for at in range(0, len(texts), 2000)]
-            columns = [batch[c] for c in batch.schema.names if c != "_bytes"]
-            names = [c for c in batch.schema.names if c != "_bytes"]
-            yield pa.record_batch([*columns, pa.array(np.concatenate(score) if score else [], pa.float64())], names=[*names, "score"])
-
-    rows = docs.withColumn("_bytes", F.col("text").cast("binary"))
-    kept = docs.schema.add("score", "double")
-    return rows.mapInArrow(run, kept).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    ``docs`` of these names are replaced, all others stay in the JVM; an empty table gives no
+    rows."""
+    docs = without(docs, ("score", "predicted"))
+    rows = docs.select(*all_columns(docs), _scores(model.weights)(F.col("text").cast("binary")).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def kept(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that are predicted to be good, with their own columns only."""
+    return docs.where(_scores(model.weights)(F.col("text").cast("binary")) >= 0.5)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import all_columns, comparable, unused, without
+
 #: Multiplier of the published algorithm's generator, and the steps taken before the rare rest.
 MULTIPLIER, STEPS = 2862933555777941757, 40
 RANGE_DIGITS = 3
@@ -63,22 +65,23 @@ def sharded(docs: DataFrame, shards: int) -> DataFrame:
     empty table gives no rows. Columns of ``docs`` named like the new ones are replaced.
     """
     new = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    docs = docs.drop(*new)
+    docs = without(docs, new)
+    jump, order, range_, offset, n = unused(docs, "_jump", "_order", "_range", "_offset", "_n")
     text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), F.md5(text))
     rows = docs.select(
-        "*", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        jump_hash(hash_key(F.col("doc_id")), shards, shards + 1).alias("_jump"), F.md5(name.cast("binary")).alias("_order"),
+        *all_columns(docs), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
+        jump_hash(hash_key(F.col("doc_id")), shards, shards + 1).alias(jump), F.md5(name.cast("binary")).alias(order),
     )
-    rows = rows.select("*", F.col("_jump.shard").alias("shard"), F.substring("_order", 1, RANGE_DIGITS).alias("_range"))
-    counts = rows.groupBy("shard", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    until = F.sum("_n").over(Window.partitionBy("shard").orderBy("_range"))
-    offsets = counts.select("shard", "_range", (until - F.col("_n")).alias("_offset"))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    inside = Window.partitionBy("shard", "_range").orderBy("_order", *[F.col(c).cast("string") for c in others])
-    rows = rows.join(offsets, ["shard", "_range"])
-    slot = (F.col("_offset") + F.row_number().over(inside) - 1).cast("long")
-    return rows.select(*docs.columns, "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.alias("slot"), F.col("_jump.grown").alias("grown_shard"))
+    rows = rows.select("*", F.col(jump)["shard"].alias("shard"), F.substring(order, 1, RANGE_DIGITS).alias(range_))
+    counts = rows.groupBy("shard", range_).agg(F.count(F.lit(1)).alias(n))
+    until = F.sum(n).over(Window.partitionBy("shard").orderBy(range_))
+    offsets = counts.select("shard", range_, (until - F.col(n)).alias(offset))
+    others = [comparable(docs, c).cast("string") for c in docs.columns if c not in ("doc_id", "text")]
+    inside = Window.partitionBy("shard", range_).orderBy(order, *others)
+    rows = rows.join(offsets, ["shard", range_])
+    slot = (F.col(offset) + F.row_number().over(inside) - 1).cast("long")
+    return rows.select(*all_columns(docs), "size", "text_crc32", F.lit("key").alias("law"), "shard", slot.alias("slot"), F.col(jump)["grown"].alias("grown_shard"))
 
 
 def write_shards(rows: DataFrame, path: str) -> None:

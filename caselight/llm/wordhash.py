@@ -31,7 +31,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Hash of a word on first sight, remembered while the memory is small."""
 
-    def __init__(self, seed: int = 0, most: int = 400_000):
+    def __init__(self, seed: int = 0, most: int = 50_000):
         super().__init__()
         self.seed, self.most = seed, most
 
