@@ -121,7 +121,7 @@ def remove_repeated_passages(
     def ask(chunk: int, table: pa.Table) -> pa.Table:
         _, keys, _, own = read(table)
         out = []
-        for block, a, b in split_parts(own.block, blocks):
+        for block, a, b in split_parts(own.block):
             digests = b"".join(e[1] for e in own.entries[a:b])
             own_twice = np.packbits([several(keys, e[3]) for e in own.entries[a:b]]).tobytes()
             out.append((block, chunk, block, b - a, digests + own_twice))
@@ -143,7 +143,7 @@ def remove_repeated_passages(
         repeated = answers(replies)
         out = [(-1 - chunk, chunk, -1, len(repeated), np.packbits(repeated).tobytes())]
         at = np.flatnonzero(repeated)
-        for block, a, b in split_parts(own.block[at], blocks):
+        for block, a, b in split_parts(own.block[at]):
             part = [own.entries[i] for i in at[a:b].tolist()]
             firsts = np.array([e[4] for e in part], np.int64).tobytes()
             lengths = np.array([len(e[2]) for e in part], np.int64).tobytes()

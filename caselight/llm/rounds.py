@@ -50,7 +50,7 @@ def messages(rows: list[tuple[int, int, int, int, bytes]]) -> pa.Table:
 
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of equal length as compressed byte planes."""
-    planes = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), -1).T.tobytes() for a in arrays)
+    planes = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes() for a in arrays)
     return pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
 
 
@@ -71,10 +71,10 @@ def answers(table: pa.Table) -> np.ndarray:
     return np.concatenate(bits).astype(bool) if bits else np.empty(0, bool)
 
 
-def split_parts(part: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+def split_parts(part: np.ndarray) -> list[tuple[int, int, int]]:
     """(part, start, end) of the runs of a sorted array of part numbers."""
-    ends = np.searchsorted(part, np.arange(parts), side="right").tolist()
-    return [(p, a, b) for p, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
+    heads = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist()] if len(part) else []
+    return [(int(part[a]), a, b) for a, b in zip(heads, [*heads[1:], len(part)])]
 
 
 def two_rounds(

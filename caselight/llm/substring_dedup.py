@@ -110,7 +110,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, chunk_bytes: int
             heads = np.flatnonzero(new)
             twice = np.diff(np.append(heads, len(cells))) > 1
             cells = cells[heads]
-            for block, a, b in split_parts(cells >> U64(CELL_BITS), blocks):
+            for block, a, b in split_parts(cells >> U64(CELL_BITS)):
                 own = (cells[a:b] & cell_mask).astype(np.uint32)
                 steps = pack(np.diff(own, prepend=np.uint32(0)))
                 dest = row * blocks + block
@@ -147,7 +147,7 @@ def remove_repeated_windows(docs: DataFrame, window: int = 20, chunk_bytes: int
         out = [(-1 - chunk, chunk, -1, len(maybe), pack(np.packbits(maybe)))]
         if len(chosen):
             _, _, block, h1, h2, key, start = w.identities(chosen, group_blocks)
-            for b, x, y in split_parts(block, group_blocks):
+            for b, x, y in split_parts(block):
                 steps = np.diff(key[x:y], prepend=np.int64(0))
                 out.append((b, chunk, b, y - x, h1[x:y].tobytes() + h2[x:y].tobytes() + pack(steps, start[x:y])))
         return messages(out)
