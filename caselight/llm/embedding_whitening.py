@@ -27,11 +27,11 @@ from .shared import kept_aside
 
 #: An entry c becomes floor(SCALE * c) + OFFSET.
 SCALE, OFFSET = 64, 1_000_000
-COMPONENTS, BLOCK_ROWS = 32, 8192
+COMPONENTS, BLOCK_ROWS = 32, 2048
 #: Entries from here on have no place on the grid.
 LARGEST = 2.0**30
 #: Blocks per partition; both factors' blocks of a partition are in memory together.
-BLOCKS_TOGETHER = 4
+BLOCKS_TOGETHER = 8
 #: Directions with a smaller share of the largest variance have none that could be told apart
 #: from rounding.
 LEAST_VARIANCE = 1e-11
