@@ -1,4 +1,4 @@
-"""Vector search: encoder, exact cosine top-k and a hashed approximate variant.
+"""Vector search: encoder and exact cosine top-k; ``vector_index`` has the approximate one.
 
 Queries stay a table. Vectors are dealt into chunks of bounded size within each combination
 of filter values, queries into blocks, and every block meets only the chunks that its filters
@@ -7,7 +7,6 @@ allow; the product of a block and a chunk is cut to the best of each query where
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import product
 
 import numpy as np
@@ -15,7 +14,7 @@ import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from caselight.functions.text import TOKEN
 from caselight.operators.scale import top_n_per_group
@@ -104,105 +103,43 @@ def cosine_top_k(
     v = vectors.select("ticket_id", "vector", *names)
     q = queries.select("query_id", F.col("vector").alias("qvector"), *[F.col(f).alias(f"_{f}") for f in names])
 
-    chunks = F.ceil(F.count("*") / chunk_rows).cast("int").alias("n_chunks")
-    sizes = v.groupBy(*names).agg(chunks) if names else v.agg(chunks)
+    # chunks are numbered group by group; the window runs over a row per combination of filters
+    chunks = F.ceil(F.count("*") / chunk_rows).cast("long").alias("n_chunks")
+    sizes = v.groupBy(*names).agg(chunks) if names else v.agg(chunks).where("n_chunks > 0")
     group = F.xxhash64(F.lit(0), *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in names])
-    sizes = sizes.select("n_chunks", group.alias("g"), *names)
+    before = F.sum("n_chunks").over(Window.orderBy("g", *names)) - F.col("n_chunks")
+    sizes = sizes.withColumn("g", group).withColumn("first", before)
     n_blocks = q.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / query_block)).cast("int")).scalar()
+    n_parts = sizes.agg(F.coalesce(F.sum("n_chunks"), F.lit(0))).scalar()
 
-    v = v.withColumn("g", group).join(sizes.select("g", "n_chunks"), "g")
-    v = v.select("ticket_id", "vector", *names, F.xxhash64("g", F.pmod(F.xxhash64("ticket_id"), "n_chunks")).alias("chunk"),
-                 F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"))
+    own = F.col("first") + F.pmod(F.xxhash64("ticket_id"), "n_chunks")
+    held = sizes.select("first", "n_chunks", *[F.col(f).alias(f"_{f}") for f in names])
+    cond = F.lit(True)
+    for f in names:
+        cond = cond & F.col(f).eqNullSafe(F.col(f"_{f}"))
+    v = v.join(held, cond) if names else v.withColumns({"first": F.lit(0), "n_chunks": n_parts})
+    v = v.select("ticket_id", "vector", *names, own.alias("chunk"), F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block"))
 
     # a query meets the groups that agree with its filters, one kind of missing filters at a time
-    parts = sizes.select(*names, F.explode(F.transform(
-        F.sequence(F.lit(0), F.col("n_chunks") - 1), lambda i: F.xxhash64("g", i.cast("long")))).alias("chunk"))
     q = q.withColumn("block", F.pmod(F.xxhash64("query_id"), n_blocks).cast("int"))
     asked = None
     for given in product((True, False), repeat=len(names)):
         kind = q
         for f, g in zip(names, given):
             kind = kind.filter(F.col(f"_{f}").isNotNull() if g else F.col(f"_{f}").isNull())
-        keys = [f for f, g in zip(names, given) if g]
+        keys = [f"_{f}" for f, g in zip(names, given) if g]
         if keys:
-            some = parts.groupBy(*keys).agg(F.collect_list("chunk").alias("chunks"))
-            met = kind.join(some.select("chunks", *[F.col(f).alias(f"_{f}") for f in keys]), [f"_{f}" for f in keys])
+            met = kind.join(held.select(*keys, "first", "n_chunks"), keys)
+            span = F.sequence(F.col("first"), F.col("first") + F.col("n_chunks") - 1)
         else:
-            met = kind.withColumn("chunks", parts.agg(F.collect_list("chunk")).scalar())
-        met = met.select(*q.columns, F.explode("chunks").alias("chunk"))
+            met, span = kind, F.when(n_parts > 0, F.sequence(F.lit(0).cast("long"), n_parts - 1))
+        met = met.select(*q.columns, F.explode(span).alias("chunk"))
         asked = met if asked is None else asked.unionByName(met)
     found = v.groupBy("chunk", "block").cogroup(asked.groupBy("chunk", "block")).applyInPandas(
         _multiply(top_k, names), _FOUND)
     return top_n_per_group(found, ["query_id"], _best_first(), top_k)
 
 
-def _sign_codes(tables: int, bits: int, seed: int, column: str, flips: int):
-    """Per row and table the signs of ``bits`` random projections as one number, and the
-    numbers that differ from it in up to ``flips`` of the least certain signs."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        planes = None
-        for b in batches:
-            if b.empty:
-                continue
-            unit = _unit(b[column])
-            if planes is None:
-                planes = np.random.default_rng(seed).normal(size=(unit.shape[1], tables * bits))
-            side = (unit @ planes).reshape(len(b), tables, bits)
-            code = ((side > 0) << np.arange(bits)).sum(axis=2)
-            near = np.argsort(np.abs(side), axis=2)[:, :, :flips]
-            codes = np.concatenate([code[:, :, None], code[:, :, None] ^ (1 << near)], axis=2)
-            keys = (np.arange(tables)[None, :, None] << bits | codes).reshape(len(b), -1)
-            yield b.assign(keys=list(keys.astype(np.int64)))
-
-    return run
-
-
-def approximate_candidates(
-    vectors: DataFrame, queries: DataFrame, bits: int = 10, tables: int = 24, flips: int = 2, seed: int = 42,
-) -> DataFrame:
-    """(query_id, ticket_id): pairs that share the signs of ``bits`` random projections in one
-    of ``tables`` tables, or all but one of the query's ``flips`` least certain ones."""
-    data = vectors.select("ticket_id", "vector").mapInPandas(
-        _sign_codes(tables, bits, seed, "vector", 0), "ticket_id string, vector array<double>, keys array<long>")
-    asked = queries.select("query_id", "vector").mapInPandas(
-        _sign_codes(tables, bits, seed, "vector", flips), "query_id string, vector array<double>, keys array<long>")
-    left = data.select("ticket_id", F.explode("keys").alias("key"))
-    right = asked.select("query_id", F.explode("keys").alias("key"))
-    return left.join(right, "key").select("query_id", "ticket_id").distinct()
-
-
-def approximate_top_k(
-    vectors: DataFrame, queries: DataFrame, top_k: int = 10, bits: int = 10, tables: int = 24,
-    flips: int = 2, seed: int = 42,
-) -> DataFrame:
-    """Top-k among the candidates of sign hashing, scored exactly.
-
-    Only candidates are compared, whatever their distance; a query with fewer than ``top_k``
-    candidates has fewer rows. ``approximate_quality`` reports recall and candidates.
-    """
-    pairs = approximate_candidates(vectors, queries, bits, tables, flips, seed)
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("q"))
-    data = vectors.select("ticket_id", F.col("vector").cast("array<double>").alias("v"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(dot("q", "q")) * F.sqrt(dot("v", "v"))
-    scored = pairs.join(data, "ticket_id").join(asked, "query_id").select(
-        "query_id", "ticket_id", F.coalesce(F.try_divide(dot("q", "v"), norm), F.lit(0.0)).alias("score"))
-    return top_n_per_group(scored, ["query_id"], _best_first(), top_k)
-
-
-def approximate_quality(vectors: DataFrame, queries: DataFrame, top_k: int = 10, **hashing) -> DataFrame:
-    """Per query: candidates, their share of all vectors, and recall of the exact top-k."""
-    exact = cosine_top_k(vectors, queries, top_k).select("query_id", "ticket_id")
-    pairs = approximate_candidates(vectors, queries, **hashing)
-    hits = exact.join(pairs.withColumn("hit", F.lit(1)), ["query_id", "ticket_id"], "left")
-    recall = hits.groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("recall"))
-    counts = pairs.groupBy("query_id").agg(F.count("*").alias("candidates"))
-    total = vectors.agg(F.count("*")).scalar()
-    return recall.join(counts, "query_id", "left").select(
-        "query_id", F.coalesce("candidates", F.lit(0)).alias("candidates"),
-        (F.coalesce("candidates", F.lit(0)) / total).alias("candidate_share"), "recall")
-
-
 def centroids(vectors: DataFrame, key: str, query_id: str = "query_id") -> DataFrame:
     """One mean vector per value of ``key``, built from narrow partial sums."""
     cells = vectors.select(F.col(key).alias(query_id), F.posexplode("vector").alias("pos", "x"))

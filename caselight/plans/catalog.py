@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from caselight.functions import text as tx
 from caselight.operators import (
     analytics, anomaly, bm25, drift, evaluation, features, fusion, graph, learning, lifecycle,
-    quality, relabel, scoring, split, vectors,
+    quality, relabel, scoring, split, vector_index, vectors,
 )
 from caselight.operators.scale import top_n_per_group
 from caselight.plans import bindings as b, batch as jobs_batch
@@ -226,14 +226,24 @@ def vector_topk_filtered(spark, d):
 
 @register
 def vector_topk_lsh(spark, d):
-    return vectors.approximate_top_k(b.vectors_v(spark, d), _category_queries(spark, d), 10)
+    """The index with the certain bound: nothing that a cell may hold is left out."""
+    path = vector_index.build(b.vectors_v(spark, d))
+    return rounded(vector_index.search(spark, path, _category_queries(spark, d), 10, bound=None))
 
 
 @register
 def vector_lsh_quality(spark, d):
-    """Recall and candidates of the hashed search beside the exact one."""
-    out = vectors.approximate_quality(b.vectors_v(spark, d), _category_queries(spark, d), 10)
-    return rounded(out)
+    """Recall and compared vectors of the index beside the exact search."""
+    v = b.vectors_v(spark, d)
+    return rounded(vector_index.quality(v, vector_index.build(v), _category_queries(spark, d), 10))
+
+
+@register
+def vector_index_checks(spark, d):
+    """What the index promises: nine of ten neighbours, at most a fifth of the vectors compared."""
+    return vector_lsh_quality(spark, d).select(
+        "query_id", (F.col("recall") >= 0.9).alias("found"), (F.col("candidate_share") <= 0.2).alias("few"),
+        (F.col("candidates") >= 10).alias("enough"))
 
 
 @register

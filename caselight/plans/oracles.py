@@ -327,6 +327,9 @@ def _vector(where: str) -> str:
 
 
 ORACLES["vector_topk"] = _vector("true")
+ORACLES["vector_topk_lsh"] = _vector("true")
+ORACLES["vector_index_checks"] = query(
+    "vectors_v", "SELECT query_id, true AS found, true AS few, true AS enough FROM cq", _CENTROIDS)
 ORACLES["vector_topk_filtered"] = _vector("v.category = cq.category AND v.product = cq.product")
 ORACLES["vector_count"] = "SELECT count(*) AS n FROM embeddings"
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from caselight.operators import bm25, fusion, scoring, vectors
+from caselight.operators import bm25, fusion, scoring, vector_index, vectors
 
 DOCS = [
     ("1", "database timeout error", "ERROR_TIMEOUT_429 on large sync", "increased timeout", ["database", "timeout"], "Tech"),
@@ -108,18 +108,45 @@ def test_cosine_top_k_equals_numpy(spark):
     assert got((), chunk_rows=7, query_block=2) == want(False)
 
 
-def test_hashed_search_recall(spark):
-    rng = np.random.default_rng(4)
+def clustered(spark, n, seed=4):
+    rng = np.random.default_rng(seed)
     centre = rng.normal(size=(5, 16))
-    rows = [(f"t{i}", (centre[i % 5] + 0.2 * rng.normal(size=16)).tolist()) for i in range(300)]
-    df = spark.createDataFrame(rows, "ticket_id string, vector array<double>")
-    q = spark.createDataFrame([(f"q{j}", centre[j].tolist()) for j in range(5)], "query_id string, vector array<double>")
-    exact = {(r.query_id, r.ticket_id) for r in vectors.cosine_top_k(df, q, 10).collect()}
-    near = {(r.query_id, r.ticket_id) for r in vectors.approximate_top_k(df, q, 10).collect()}
-    assert len(exact & near) / len(exact) >= 0.9
-    report = vectors.approximate_quality(df, q, 10).collect()
-    assert sum(r.recall for r in report) / 5 == len(exact & near) / len(exact)
-    assert all(r.candidate_share == r.candidates / 300 < 0.9 for r in report)
+    rows = [(f"t{i}", (centre[i % 5] + 0.4 * rng.normal(size=16)).tolist()) for i in range(n)]
+    return spark.createDataFrame(rows, "ticket_id string, vector array<double>"), centre
+
+
+def found(df):
+    return sorted((r.query_id, r["rank"], r.ticket_id) for r in df.collect())
+
+
+@pytest.mark.parametrize("bound", [None, 3.0])
+def test_index_finds_the_nearest_and_compares_few(spark, monkeypatch, bound):
+    df, centre = clustered(spark, 300)
+    q = spark.createDataFrame([(f"q{j}", (centre[j] * (j + 1)).tolist()) for j in range(5)] + [("zero", [0.0] * 16), ("none", None)], "query_id string, vector array<double>")
+    monkeypatch.setattr(vector_index, "PART_ROWS", 7)  # lists of several parts
+    path = vector_index.build(df, cells=9)
+    exact = vectors.cosine_top_k(df, q.where("vector is not null"), 10)
+    got = vector_index.search(spark, path, q, 10, bound=bound)
+    if bound is None:
+        assert found(got) == found(exact)
+    report = {r.query_id: r for r in vector_index.quality(df, path, q.where("query_id like 'q%'"), 10, bound=bound).collect()}
+    assert min(r.recall for r in report.values()) >= 0.9
+    assert all(10 <= r.candidates < 60 and r.candidate_share == r.candidates / 300 for r in report.values())
+
+
+def test_index_of_copies_few_and_no_vectors(spark):
+    schema = "ticket_id string, vector array<float>"
+    q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vector array<float>")
+    for rows in ([], [("a", None)], [("a", [0.0, 1.0])], [(f"t{i:02}", [1.0, 1.0]) for i in range(40)] + [("x", [1.0, 0.0]), ("z", [0.0, 0.0])]):
+        df = spark.createDataFrame(rows, schema)
+        got = vector_index.search(spark, vector_index.build(df, cells=None if rows else 1), q, 5, bound=None)
+        assert found(got) == found(vectors.cosine_top_k(df.where("vector is not null"), q, 5))
+
+
+def test_missing_filter_values_of_vectors(make):
+    df = make([("a", "C", [1.0, 0.0]), ("b", None, [1.0, 0.1]), ("c", "D", [1.0, 0.2])], "ticket_id string, category string, vector array<double>")
+    q = make([("q", "C", [1.0, 0.0]), ("all", None, [1.0, 0.0])], "query_id string, category string, vector array<double>")
+    assert found(vectors.cosine_top_k(df, q, 5, ("category",), chunk_rows=1)) == [("all", 1, "a"), ("all", 2, "b"), ("all", 3, "c"), ("q", 1, "a")]
 
 
 def test_encoder_gives_unit_vectors(spark):
