@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import words
+from .shared import kept_aside, words
 
 BUCKETS = 2**16
 #: Mean log ratio per n-gram below which a document goes.
@@ -83,14 +83,17 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> D
     (doc_id). Each bucket has ``PRIOR`` further raw occurrences of which the target has its share,
     so a rare n-gram that happens to be in no trusted document weighs little, and a frequent one
     that none has weighs much. All weights are 0 without a target.
+
+    Both counts come from one pass over the n-grams. The join by id is a merge join at every
+    size, so what is shuffled grows in proportion to the texts.
     """
-    rows = docs.select("doc_id", "text")
-    of = lambda rows, target: rows.select(F.lit(target).alias("target"), F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"))
-    grams = of(rows, 0).union(of(rows.join(trusted.select("doc_id").distinct(), "doc_id", "left_semi"), 1))
-    found = grams.groupBy("bucket").agg(F.sum(1 - F.col("target")).alias("raw"), F.sum("target").alias("target"))
+    ids = trusted.select("doc_id", F.lit(1).alias("target")).distinct().hint("merge")
+    flagged = docs.select("doc_id", "text").join(ids, "doc_id", "left")
+    grams = flagged.select(F.coalesce("target", F.lit(0)).alias("target"), F.explode(ngram_buckets(F.col("text"), buckets)).alias("bucket"))
+    found = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("target").alias("target"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     filled = every.join(found, "bucket", "left").na.fill(0)
-    whole = Window.partitionBy()
+    whole = Window.partitionBy()  # one row per bucket
     share = F.sum("target").over(whole) / F.greatest(F.lit(1), F.sum("raw").over(whole))
     ratio = (F.col("target") + PRIOR * share) / F.when(share > 0, share * (F.col("raw") + PRIOR))
     return filled.select("bucket", F.when(share > 0, F.log(ratio)).otherwise(F.lit(0.0)).alias("weight"))
@@ -119,14 +122,13 @@ def judged(
     repeated doc_ids are fine; an empty table gives no rows. Without trusted documents all scores
     are 0. Other columns of ``docs`` are ignored.
     """
-    weights = F.broadcast(log_ratios(docs, trusted, buckets))  # one row per bucket
-    rows = docs.select(
-        "doc_id", F.monotonically_increasing_id().alias("row"), counts(F.col("text")).alias("c"),
-        ngram_buckets(F.col("text"), buckets).alias("grams"),
-    )
-    grams = rows.select("doc_id", "row", "c.*", F.explode_outer("grams").alias("bucket"))
-    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    mean = F.coalesce(F.avg("weight"), F.lit(0.0))
-    rows = grams.join(weights, "bucket", "left").groupBy("row", "doc_id", *base).agg(mean.alias("score")).drop("row")
+    table = kept_aside(log_ratios(docs, trusted, buckets)).agg(F.sort_array(F.collect_list(F.struct("bucket", "weight"))).alias("rows"))
+    weights = table.select(F.transform("rows", lambda x: x["weight"]).alias("w")).scalar()  # one number per bucket
+    grams = ngram_buckets(F.col("text"), buckets)
+    total = lambda g: F.aggregate(g, F.lit(0.0), lambda sum_, b: sum_ + F.get("weights", b))
+    score = let(grams, lambda g: F.when(F.size(g) > 0, total(g) / F.size(g)).otherwise(F.lit(0.0)))
+    rows = docs.select("doc_id", "text", weights.alias("weights"))
+    rows = rows.select("doc_id", counts(F.col("text")).alias("c"), score.alias("score"))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+    rows = rows.select("doc_id", "c.*", "score").withColumn("base_failed", failed)
+    return rows.withColumn("kept", ~failed & (F.col("score") >= threshold))
