@@ -96,14 +96,20 @@ def tickets_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     }).drop("copy")
 
 
-def event_files(spark: SparkSession, sf_dir: str, n: int = 4, times: int = 1) -> str:
+def event_files(spark: SparkSession, sf_dir: str, n: int = 4, times: int = 1, shift_days: int = 0) -> str:
     """The events written as ``n`` files, each over the whole time, for streams of many batches;
-    every event is delivered ``times`` times."""
+    every event is delivered ``times`` times, each time dated ``shift_days`` later. Events of
+    the first week that have been delivered before come once more in a last file."""
     base = shared_dir(spark, "event-files")
     events = table(spark, sf_dir, "events")
     if times > 1:
-        events = events.withColumn("_t", F.explode(F.sequence(F.lit(1), F.lit(times)))).drop("_t")
+        events = events.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
+        later = F.make_dt_interval(days=F.col("_t") * shift_days)
+        events = events.withColumn("ts", (F.col("ts").cast("timestamp") + later).cast(events.schema["ts"].dataType)).drop("_t")
     events.repartition(n).write.parquet(base)
+    if times > 1:
+        first = F.col("ts").cast("timestamp") < F.lit("2024-01-08").cast("timestamp")
+        events.filter(first & (F.col("event_id") % 50 != 0)).coalesce(1).write.mode("append").parquet(base)
     return base
 
 

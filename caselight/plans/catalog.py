@@ -781,9 +781,10 @@ def _event_stream(spark, d) -> DataFrame:
     return b.events_as_tickets(jobs.open_stream(spark, f"{d}/events.parquet"))
 
 
-def _event_batches(spark, d, times: int = 1) -> DataFrame:
+def _event_batches(spark, d, times: int = 1, shift_days: int = 0) -> DataFrame:
     """The events in several micro-batches, each over the whole time, so most rows are late."""
-    return b.events_as_tickets(jobs.open_stream(spark, b.event_files(spark, d, times=times), 1))
+    files = b.event_files(spark, d, times=times, shift_days=shift_days)
+    return b.events_as_tickets(jobs.open_stream(spark, files, 1))
 
 
 @register
@@ -814,15 +815,29 @@ def stream_bins(spark, d):
 
 @register
 def stream_dedup(spark, d):
-    """Every event delivered twice, mostly in different batches; each ticket comes out once."""
-    stream = _event_batches(spark, d, times=2).select("ticket_id", "created_at", "category", "product")
-    return jobs.run_dedup(stream, "dedup").drop("created_at")
+    """Every event delivered twice, the second time with another date, some in a late file once
+    more; each ticket comes out once, and every row without an identifier."""
+    stream = _event_batches(spark, d, times=2, shift_days=40)
+    unnamed = F.col("ticket_id").cast("long") % 50 == 0
+    rows = stream.select(F.when(~unnamed, F.col("ticket_id")).alias("ticket_id"), "created_at", "category", "product")
+    return jobs.run_dedup(rows, "dedup").drop("created_at")
+
+
+@register
+def stream_hours(spark, d):
+    """Hours closed by a watermark of a day, with the late rows of the later files recounted."""
+    log = b.log_of(_event_batches(spark, d))
+    closed = jobs.run_append(jobs.closed_hours(log, ["model_name"], "1 day"), "closed-hours")
+    out = jobs.recounted(closed, b.pred_log(spark, d), ["model_name"])
+    last_day = b.pred_log(spark, d).agg(F.max("timestamp")).scalar() - F.expr("INTERVAL 2 DAYS")
+    return rounded(out.filter(F.col("hour") < last_day).select(
+        F.unix_micros("hour").alias("hour_us"), "model_name", "n", "confidence_sum", "corrected"))
 
 
 @register
 def stream_last_n(spark, d):
     log = b.log_of(_event_batches(spark, d)).select("model_name", "ticket_id", "timestamp", "confidence")
-    last = jobs.run_last_n(log, "last", ["model_name"], [F.desc("timestamp"), F.desc("ticket_id")], 1000)
+    last = jobs.run_last_n(log, "last", ["model_name"], [F.unix_micros("timestamp"), F.col("ticket_id")], 1000)
     return rounded(last.select("model_name", "ticket_id", "confidence"))
 
 

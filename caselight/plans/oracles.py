@@ -927,7 +927,15 @@ ORACLES["stream_windows"] = query("pred_log", f"""
     FROM (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3)""", {
     "hours": """SELECT *, epoch_us("timestamp") // 3600000000 AS h FROM pred_log""",
     "w1": _window("1h", 1, 1), "w2": _window("24h", 24, 1), "w3": _window("7d", 168, 24)})
-ORACLES["stream_dedup"] = query("tickets_e", "SELECT ticket_id, category, product FROM tickets_e")
+ORACLES["stream_dedup"] = query("tickets_e", """
+    SELECT ticket_id, category, product FROM tickets_e WHERE CAST(ticket_id AS BIGINT) % 50 <> 0
+    UNION ALL
+    SELECT NULL, category, product FROM tickets_e, range(2) WHERE CAST(ticket_id AS BIGINT) % 50 = 0""")
+ORACLES["stream_hours"] = query("pred_log", f"""
+    SELECT epoch_us(date_trunc('hour', "timestamp")) AS hour_us, model_name, count(*) AS n,
+           round(CAST(sum(confidence) AS DOUBLE), 6) AS confidence_sum, CAST(count_if(was_corrected) AS BIGINT) AS corrected
+    FROM pred_log GROUP BY date_trunc('hour', "timestamp"), model_name
+    HAVING date_trunc('hour', "timestamp") < (SELECT max("timestamp") FROM pred_log) - INTERVAL 2 DAYS""")
 ORACLES["stream_last_n"] = query("pred_log", f"""
     SELECT model_name, ticket_id, {r6('confidence')} FROM (SELECT *, row_number() OVER (
       PARTITION BY model_name ORDER BY "timestamp" DESC, ticket_id DESC) AS rn FROM pred_log) WHERE rn <= 1000""")

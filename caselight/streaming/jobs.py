@@ -2,21 +2,26 @@
 
 Every job takes a streaming DataFrame and writes Parquet below the shared folder,
 with its checkpoint beside it. What a job adds up is written as sums per micro-batch under
-the batch number, so a replayed batch replaces its own output. Readers add the batches up;
-no state is ever closed, so a row counts however late it arrives.
+the batch number, so a replayed batch replaces its own output; readers add the batches up, and
+a row counts however late it arrives. Deduplication and last-n keep keyed state in RocksDB, so
+a batch costs what it holds, not what came before. Hours can also be closed by a watermark:
+late rows, which Spark then leaves out, are found and recounted from the log.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from caselight.operators.scale import top_n_per_group
 from caselight.session import shared_dir
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 WINDOWS = {
     "1h": ("1 hour", "1 hour"),
     "24h": ("24 hours", "1 hour"),
@@ -50,7 +55,17 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
     spark = stream.sparkSession
     base = shared_dir(spark, name)
     append_to(stream, base).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return read_out(spark, base, stream.schema)
+
+
+def read_out(spark: SparkSession, base: str, schema) -> DataFrame:
+    """What an append query has written; no rows if nothing has arrived yet."""
+    try:
+        return spark.read.schema(schema).parquet(f"{base}/out")
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def batches_to(stream: DataFrame, base: str, rows: Callable[[DataFrame], DataFrame], available_now: bool = True):
@@ -81,14 +96,16 @@ def run_sums(stream: DataFrame, name: str, keys: list[str], rows: Callable[[Data
     return summed(read_batches(spark, base), keys)
 
 
+def _hour_sums() -> list[Column]:
+    return [F.count("*").alias("n"), F.sum("confidence").alias("confidence_sum"), F.count_if("was_corrected").alias("corrected")]
+
+
 def hourly(rows: DataFrame, keys: list[str], time: str = "timestamp") -> DataFrame:
     """Count, confidence sums and corrected rows per hour and key; all additive.
 
     Rows without a time are summed under a NULL hour.
     """
-    return rows.groupBy(F.date_trunc("hour", time).alias("hour"), *keys).agg(
-        F.count("*").alias("n"), F.sum("confidence").alias("confidence_sum"),
-        F.count_if("was_corrected").alias("corrected"))
+    return rows.groupBy(F.date_trunc("hour", time).alias("hour"), *keys).agg(*_hour_sums())
 
 
 def windowed(hours: DataFrame, window: str, keys: list[str]) -> DataFrame:
@@ -125,33 +142,50 @@ def bin_counts(rows: DataFrame, edges: DataFrame, features: list[str], slide: st
     )
 
 
-def dedup_to(stream: DataFrame, base: str, ident: str = "ticket_id", time: str = "created_at"):
-    """Write each ticket once, however often and however late it is delivered.
+def keep_state_on_disk(spark: SparkSession) -> None:
+    """Keyed state of streams started from now on lies in RocksDB, beside the checkpoint."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
-    A batch is compared with what earlier batches wrote for the days it holds; a repeated
-    delivery carries the same creation time. Of copies within a batch any one is kept.
+
+def deduplicated(stream: DataFrame, ident: str = "ticket_id", time: str = "created_at", delay: str | None = None) -> DataFrame:
+    """Each identifier once, whatever its other columns say; of copies in a batch any one.
+
+    Rows without an identifier are tickets of their own and all pass. Without ``delay`` an
+    identifier is remembered for good. With it, it is remembered at least until the event time of
+    the stream is so much later, and rows that arrive later than that are left out.
     """
-    spark, cols, schema = stream.sparkSession, stream.columns, stream.schema
+    known = stream.filter(F.col(ident).isNotNull())
+    if delay is None:
+        once = known.dropDuplicates([ident])
+    else:
+        once = known.withWatermark(time, delay).dropDuplicatesWithinWatermark([ident])
+    return once.union(stream.filter(F.col(ident).isNull()))
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        new = batch.dropDuplicates([ident]).withColumn("day", F.to_date(time))
-        if batch_id > 0:
-            span = batch.agg(F.min(F.to_date(time)).alias("a"), F.max(F.to_date(time)).alias("b")).first()
-            written = batch.sparkSession.read.schema(schema).option("basePath", f"{base}/out").parquet(f"{base}/out")
-            near = F.col("day").between(F.lit(span.a), F.lit(span.b)) | F.col(time).isNull()
-            seen = written.filter((F.col("batch") < batch_id) & near).select(ident)
-            new = new.join(seen, ident, "left_anti")
-        new.select(*cols, "day").write.mode("overwrite").partitionBy("day").parquet(f"{base}/out/batch={batch_id}")
 
-    return stream.writeStream.foreachBatch(write).option(
-        "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+def run_dedup(stream: DataFrame, name: str, ident: str = "ticket_id", time: str = "created_at", delay: str | None = None) -> DataFrame:
+    keep_state_on_disk(stream.sparkSession)
+    return run_append(deduplicated(stream, ident, time, delay), name)
 
 
-def run_dedup(stream: DataFrame, name: str, ident: str = "ticket_id", time: str = "created_at") -> DataFrame:
-    spark = stream.sparkSession
-    base = shared_dir(spark, name)
-    dedup_to(stream, base, ident, time).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out").select(*stream.columns)
+def closed_hours(log: DataFrame, keys: list[str], delay: str, time: str = "timestamp") -> DataFrame:
+    """The sums of ``hourly`` per hour and key, once each, when the stream's event time is
+    ``delay`` past the hour. Rows that come later are left out; ``recounted`` adds them."""
+    rows = log.filter(F.col(time).isNotNull()).withWatermark(time, delay)
+    sums = rows.groupBy(F.window(time, "1 hour").alias("w"), *keys).agg(*_hour_sums())
+    return sums.select(F.col("w.start").alias("hour"), *keys, "n", "confidence_sum", "corrected")
+
+
+def recounted(closed: DataFrame, log: DataFrame, keys: list[str], time: str = "timestamp") -> DataFrame:
+    """Closed hours with what came late: the sums of the whole log for every hour and key up to
+    the last closed hour whose count differs, and ``late``, the rows that were missing."""
+    last = closed.agg(F.max("hour")).scalar()
+    whole = hourly(log.filter(F.col(time).isNotNull()), keys, time).filter(F.col("hour") <= last)
+    names = {c: f"_{c}" for c in ("hour", *keys)}
+    had = closed.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("n").alias("_n"))
+    same_cell = F.lit(True)
+    for c, n in names.items():
+        same_cell = same_cell & F.col(c).eqNullSafe(F.col(n))
+    return whole.join(had, same_cell, "left").select(*whole.columns, (F.col("n") - F.coalesce("_n", F.lit(0))).alias("late"))
 
 
 def scored(stream: DataFrame, score: Callable[[DataFrame], DataFrame], model_name: str,
@@ -191,40 +225,63 @@ def model_score(prepare: Callable[[DataFrame], DataFrame], models: list[Pipeline
     return score
 
 
-def last_n_to(stream: DataFrame, base: str, keys: list[str], order: list[Column], n: int):
-    """Keep the newest n rows per key: state of the batch before, merged with the batch.
+class _Newest(StatefulProcessor):
+    """The greatest n sort keys of a group as list state; passes on rows that are among them.
 
-    The state is a table of at most n rows per key and batch number; merging is the
-    two-level top-n, so a hot key is never held by one task. A replayed batch starts
-    from the same earlier state and overwrites its own.
+    No timer forgets them: with one, a stream over what is available would never end.
     """
-    spark = stream.sparkSession
-    cols, schema = stream.columns, stream.schema
-
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        rows = batch.select(*cols)
-        if batch_id > 0:
-            rows = rows.unionByName(
-                session.read.schema(schema).parquet(f"{base}/state/batch={batch_id - 1}"))
-        top_n_per_group(rows, keys, order, n).drop("rank").write.mode("overwrite").parquet(
-            f"{base}/state/batch={batch_id}")
-
-    stream.writeStream.foreachBatch(merge).option(
-        "checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    try:
-        states = spark.read.schema(schema).parquet(f"{base}/state")
-    except AnalysisException as err:
-        if err.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)  # nothing has arrived yet
-    newest = states.agg(F.max("batch")).first()[0]
-    return states.filter(F.col("batch") == newest).select(*cols)
+
+    def __init__(self, n: int, by: list[str], kinds: str):
+        self.n, self.by, self.kinds = n, by, kinds
+
+    def init(self, handle) -> None:
+        self.greatest = handle.getListState("greatest", self.kinds)
+
+    def handleInputRows(self, key, rows, timerValues):
+        new = pd.concat(list(rows), ignore_index=True)
+        order = lambda t: tuple((x is not None and x == x, x if x is not None and x == x else 0) for x in t)
+        own = [tuple(r) for r in new[self.by].astype(object).itertuples(index=False)]
+        both = [(tuple(t), -1) for t in self.greatest.get()] + [(t, i) for i, t in enumerate(own)]
+        both = sorted(both, key=lambda x: order(x[0]), reverse=True)[: self.n]
+        self.greatest.put([t for t, _ in both])
+        yield new.iloc[sorted(i for _, i in both if i >= 0)].drop(columns=self.by + ["newest_salt"])
+
+    def close(self) -> None:
+        pass
+
+
+def newest_candidates(
+    stream: DataFrame, keys: list[str], newest: list[Column], n: int, ident: str = "ticket_id", salts: int = 8,
+) -> DataFrame:
+    """Rows of a stream that were among the newest ``n`` of their key when they arrived.
+
+    ``newest`` are long or text columns, greatest first, nulls last, which order rows wholly. A
+    key is dealt to ``salts`` groups, so a hot one isn't held by one task; the newest n of a
+    key are among those of its groups.
+    """
+    names = [f"newest_by_{i}" for i in range(len(newest))]
+    rows = stream.withColumns({a: c for a, c in zip(names, newest)}).withColumn("newest_salt", F.pmod(F.xxhash64(ident), F.lit(salts)).cast("int"))
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in names)
+    return rows.groupBy(*keys, "newest_salt").transformWithStateInPandas(
+        _Newest(n, names, kinds), stream.schema, outputMode="Append", timeMode="None")
+
+
+def last_n_to(stream: DataFrame, base: str, keys: list[str], newest: list[Column], n: int, ident: str = "ticket_id") -> None:
+    """Process what is available of a stream; continues behind the checkpoint below ``base``."""
+    keep_state_on_disk(stream.sparkSession)
+    append_to(newest_candidates(stream, keys, newest, n, ident), base).awaitTermination()
+
+
+def read_last_n(spark: SparkSession, base: str, schema, keys: list[str], newest: list[Column], n: int) -> DataFrame:
+    """The newest ``n`` rows per key of all that was passed on."""
+    rows = read_out(spark, base, schema)
+    return top_n_per_group(rows, keys, [F.desc(c) for c in newest], n).drop("rank")
 
 
-def run_last_n(stream: DataFrame, name: str, keys: list[str], order: list[Column],
-               n: int = 1000) -> DataFrame:
-    return last_n_to(stream, shared_dir(stream.sparkSession, name), keys, order, n)
+def run_last_n(stream: DataFrame, name: str, keys: list[str], newest: list[Column], n: int = 1000) -> DataFrame:
+    base = shared_dir(stream.sparkSession, name)
+    last_n_to(stream, base, keys, newest, n)
+    return read_last_n(stream.sparkSession, base, stream.schema, keys, newest, n)
 
 
 def run_cycles(stream: DataFrame, name: str, cycle: Callable[[DataFrame], DataFrame]) -> DataFrame:
