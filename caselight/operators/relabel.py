@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from caselight.functions.text import strip
 from caselight.schemas import PRIORITIES, SENTIMENTS, SUBCATEGORIES, with_columns
+from caselight.session import kept_aside
 
 FIELDS = {"subcategory": "subcategory", "priority": "priority", "sentiment": "customer_sentiment"}
 
@@ -128,6 +131,76 @@ def label_tickets(tickets: DataFrame, done: DataFrame, labeler: Callable[[DataFr
         "ticket_id", "new_subcategory", "new_priority", "new_sentiment", "status")
 
 
+_PLAN, _COMMIT = "chunks int", "chunk int, n long, failed long, finished_at timestamp"
+
+
+def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def plan_labelling(tickets: DataFrame, base: str, chunk_tickets: int = 10_000) -> int:
+    """Write the prompts below ``base``, dealt into chunks by a hash of the ticket; their number.
+
+    What an earlier run planned stays, so a chunk holds the same tickets in every run.
+    """
+    spark = tickets.sparkSession
+    plan = _stored(spark, f"{base}/plan", _PLAN).first()  # written last
+    if plan:
+        return plan["chunks"]
+    chunks = max(1, -(-tickets.count() // chunk_tickets))
+    asked = with_prompt(tickets).select("ticket_id", "category", "prompt", F.pmod(F.xxhash64("ticket_id"), F.lit(chunks)).cast("int").alias("chunk"))
+    asked.repartition("chunk").write.mode("overwrite").partitionBy("chunk").parquet(f"{base}/asked")
+    spark.createDataFrame([(chunks,)], _PLAN).write.mode("overwrite").parquet(f"{base}/plan")
+    return chunks
+
+
+def label_in_chunks(
+    tickets: DataFrame, base: str, labeler: Callable[[DataFrame], DataFrame], chunk_tickets: int = 10_000,
+    retries: int = 2, most_chunks: int | None = None,
+) -> DataFrame:
+    """Label what earlier runs below ``base`` have not; all labels so far (``read_labels``).
+
+    One job per chunk writes its labels and then a commit row: what a cut-off run had begun is
+    done again, what it had finished is not. Answers that are missing (api_fail) are asked again
+    up to ``retries`` times. ``most_chunks`` ends a run early.
+    """
+    spark = tickets.sparkSession
+    chunks = plan_labelling(tickets, base, chunk_tickets)
+    done = {r["chunk"] for r in _stored(spark, f"{base}/commits", _COMMIT).select("chunk").collect()}  # a row per chunk
+    here = spark.read.parquet(f"{base}/asked")
+    for chunk in [c for c in range(chunks) if c not in done][:most_chunks]:
+        asked = here.filter(F.col("chunk") == chunk).drop("chunk")
+        parts, failed = [], asked
+        for attempt in range(retries + 1):
+            answers = kept_aside(parse_answers(labeler(failed)).select(
+                "ticket_id", "new_subcategory", "new_priority", "new_sentiment", "status", F.lit(attempt + 1).alias("attempts")))
+            again = (F.col("status") == "api_fail") & F.lit(attempt < retries)
+            parts.append(answers.filter(~again))
+            missing = kept_aside(answers.filter(again).select("ticket_id"))
+            if missing.isEmpty():
+                break
+            failed = asked.join(missing, "ticket_id", "left_semi")
+        out = reduce(DataFrame.unionByName, parts)
+        path = f"{base}/done/chunk={chunk}"
+        out.write.mode("overwrite").parquet(path)
+        facts = spark.read.parquet(path).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "api_fail").alias("failed"))
+        facts.select(F.lit(chunk).alias("chunk"), "n", "failed", F.current_timestamp().alias("finished_at")).write.mode("append").parquet(f"{base}/commits")
+    return read_labels(spark, base)
+
+
+def read_labels(spark: SparkSession, base: str) -> DataFrame:
+    """The labels of all finished chunks, with the number of times each ticket was asked."""
+    schema = "ticket_id string, new_subcategory string, new_priority string, new_sentiment string, status string, attempts int, chunk int"
+    rows = _stored(spark, f"{base}/done", schema)
+    finished = _stored(spark, f"{base}/commits", _COMMIT).select("chunk").distinct()
+    return rows.join(finished, "chunk", "left_semi").drop("chunk")
+
+
 def status_counts(results: DataFrame) -> DataFrame:
     return results.groupBy("status").agg(F.count("*").alias("n"))
 

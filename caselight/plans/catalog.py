@@ -15,7 +15,7 @@ from caselight.operators.scale import top_n_per_group
 from caselight.plans import bindings as b, batch as jobs_batch
 from caselight.schemas import DRIFT_FEATURES
 from caselight.session import kept_aside, shared_dir
-from caselight.sources import tickets as store
+from caselight.sources import tickets as store, versions
 from caselight.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -693,6 +693,17 @@ def label_status(spark, d):
         a.drop("raw"), done, lambda asked: asked.join(raw, "ticket_id")))
 
 
+@register
+def label_resumed(spark, d):
+    """Labelling in chunks, ended after two, then continued to the end."""
+    a, base = b.answers(spark, d), shared_dir(spark, "labelling")
+    raw = a.select("ticket_id", "raw")
+    labeler = lambda asked: asked.join(raw, "ticket_id")
+    size = -(-a.count() // 5)
+    relabel.label_in_chunks(a.drop("raw"), base, labeler, size, retries=1, most_chunks=2)
+    return relabel.label_in_chunks(a.drop("raw"), base, labeler, size, retries=1)
+
+
 @register
 def apply_corrections(spark, d):
     a = b.answers(spark, d)
@@ -739,7 +750,12 @@ def event_rollup(spark, d):
 
 @register
 def active_models(spark, d):
-    return store.active_models(b.model_versions(spark, d)).select("model_name", "version")
+    """Every version recorded as a candidate, the newest of each model activated, read back."""
+    path = shared_dir(spark, "models")
+    given = b.model_versions(spark, d)
+    versions.record_models(given, path, activate=False)
+    versions.record_models(store.active_models(given), path)
+    return versions.model_versions(spark, path).filter("is_active").select("model_name", "version")
 
 
 @register
@@ -758,6 +774,7 @@ def ticket_store(spark, d):
 def graph_store(spark, d):
     """Replace the edge tables and read the first one back."""
     base = shared_dir(spark, "graph")
+    store.replace_graph_tables(b.tickets_d(spark, d).limit(0), base)
     store.replace_graph_tables(b.tickets_d(spark, d), base)
     issues, solutions, mapping = store.read_graph_tables(spark, base)
     return issues.agg(F.count("*").alias("issues"), F.sum("frequency").alias("tickets")).withColumns({

@@ -856,6 +856,9 @@ _PARSED = {
 }
 ORACLES["parse_labels"] = query(
     "answers", "SELECT ticket_id, new_subcategory, new_priority, new_sentiment, status FROM st", _PARSED)
+ORACLES["label_resumed"] = query("answers", """
+    SELECT ticket_id, new_subcategory, new_priority, new_sentiment, status,
+           CASE WHEN status = 'api_fail' THEN 2 ELSE 1 END AS attempts FROM st""", _PARSED)
 ORACLES["label_status"] = query("answers", """
     SELECT status, count(*) AS n FROM st WHERE category NOT IN ('Data Issue', 'Other') GROUP BY status""", _PARSED)
 ORACLES["apply_corrections"] = query("answers", """

@@ -8,6 +8,7 @@ from caselight.functions.expr import same
 from caselight.operators import graph
 from caselight.operators.scale import quantiles, top_n_per_group
 from caselight.schemas import PREDICTION_LOG, SYSTEM_EVENT, TICKET, TICKET_TYPES
+from caselight.sources import versions
 
 CORRUPT = "_corrupt_record"
 #: Rows of a file at most.
@@ -66,20 +67,21 @@ def append_features(features: DataFrame, path: str) -> None:
     features.withColumn("computed_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
+_GRAPH = {
+    "product_issues": graph.product_issues,
+    "issue_solutions": graph.issue_solutions,
+    "error_code_mapping": graph.error_code_mapping,
+}
+
+
 def replace_graph_tables(tickets: DataFrame, base: str) -> None:
-    """Overwrite the three edge tables; their keys are unique by construction."""
-    for name, build in (
-        ("product_issues", graph.product_issues),
-        ("issue_solutions", graph.issue_solutions),
-        ("error_code_mapping", graph.error_code_mapping),
-    ):
-        build(tickets).write.mode("overwrite").parquet(f"{base}/{name}")
+    """A new version of the three edge tables; their keys are unique by construction. Readers
+    see the version before until all three are written."""
+    versions.replace_tables(tickets.sparkSession, f"{base}/graph", {name: build(tickets) for name, build in _GRAPH.items()})
 
 
 def read_graph_tables(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(
-        spark.read.parquet(f"{base}/{n}")
-        for n in ("product_issues", "issue_solutions", "error_code_mapping"))
+    return tuple(versions.read_tables(spark, f"{base}/graph", list(_GRAPH)))
 
 
 def _typed(df: DataFrame, schema) -> DataFrame:
