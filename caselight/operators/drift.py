@@ -47,8 +47,9 @@ def _long(df: DataFrame, features: list[str]) -> DataFrame:
 
 
 def psi_bins(reference: DataFrame, current: DataFrame, features: list[str],
-             n_bins: int = 10, open_ended: bool = False) -> DataFrame:
-    """(feature, n_ref, n_cur, bins array<struct<ref, cur>>) over the reference deciles.
+             n_bins: int = 10, open_ended: bool = False, edges: DataFrame | None = None) -> DataFrame:
+    """(feature, n_ref, n_cur, bins array<struct<ref, cur>>) over the reference deciles, or over
+    ``edges`` (feature, edges) frozen before, such as those of stored sketches.
 
     All features of both sides are counted in one aggregate against a table of edges
     with one row per feature; a feature's bins then fit in one row. Bins are [a, b), the
@@ -57,8 +58,9 @@ def psi_bins(reference: DataFrame, current: DataFrame, features: list[str],
     """
     ref, cur = _long(reference, features), _long(current, features)
     probs = [i / n_bins for i in range(n_bins + 1)]
-    edges = quantiles(ref, ["feature"], F.col("value"), probs, "edges", few_groups=True).withColumn(
-        "edges", F.array_distinct("edges"))
+    if edges is None:
+        edges = quantiles(ref, ["feature"], F.col("value"), probs, "edges", few_groups=True)
+    edges = edges.withColumn("edges", F.array_distinct("edges"))
     if open_ended:
         inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
         edges = edges.withColumn("edges", F.concat(
@@ -91,11 +93,11 @@ def psi_bins(reference: DataFrame, current: DataFrame, features: list[str],
 
 
 def psi_table(reference: DataFrame, current: DataFrame, features: list[str] | None = None,
-              n_bins: int = 10, open_ended: bool = False) -> DataFrame:
+              n_bins: int = 10, open_ended: bool = False, edges: DataFrame | None = None) -> DataFrame:
     """(feature, psi, n_ref, n_cur); a constant reference has no bins and psi 0."""
     features = features or [
         f for f in DRIFT_FEATURES if f in reference.columns and f in current.columns]
-    rows = psi_bins(reference, current, features, n_bins, open_ended)
+    rows = psi_bins(reference, current, features, n_bins, open_ended, edges)
     total = lambda side: F.aggregate(
         "bins", F.lit(0).cast("long"), lambda acc, b: acc + b[side]) + PSI_EPS * F.size("bins")
     rows = rows.withColumns({"ref_all": total("ref"), "cur_all": total("cur")})

@@ -105,6 +105,42 @@ def encoded_categories(tickets: DataFrame, codes: DataFrame, columns: list[str]
     return df.select("ticket_id", *[F.coalesce(f"{c}_code", F.lit(-1)).alias(f"{c}_code") for c in columns])
 
 
+def _labelled_cells(tickets: DataFrame, columns: list[str], label: Column) -> DataFrame:
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), category(c).alias("value")) for c in columns])
+    rows = with_columns(tickets, columns).select("ticket_id", "created_at", label.cast("double").alias("label"), F.inline(cells))
+    # rows without a time come last
+    return rows.withColumn("_h", F.coalesce(F.floor(F.unix_micros("created_at") / 3_600_000_000), F.lit(2**62)).cast("long"))
+
+
+def ordered_encoding(
+    tickets: DataFrame, label: Column, columns: list[str] | None = None, prior: float = 0.5, weight: float = 1.0,
+) -> DataFrame:
+    """(ticket_id, feature, value, n_before, encoded): each category value as the mean label of
+    the tickets before, in the order of (created_at, ticket_id).
+
+    A row never sees its own or a later label: encoded is (labels before + weight * prior) /
+    (n_before + weight), null labels left out. Labels are summed per hour, running totals over
+    the hours tell what came before, and rows are put in order within an hour only, so a value
+    that a third of all tickets have is no single task's group.
+    """
+    rows = _labelled_cells(tickets, columns or CLASSIFIER_CATEGORICAL, label)
+    known = F.col("label").isNotNull().cast("long")
+    earlier = Window.partitionBy("feature", "value").orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)
+    hours = rows.groupBy("feature", "value", "_h").agg(F.sum(known).alias("_n"), F.sum(F.coalesce("label", F.lit(0.0))).alias("_s"))
+    hours = hours.select("feature", "value", "_h", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(earlier), F.lit(0.0)).alias("_s0"))
+    inside = Window.partitionBy("feature", "value", "_h").orderBy(F.asc_nulls_last("created_at"), "ticket_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_n": F.coalesce(F.sum(known).over(inside), F.lit(0)), "_s": F.coalesce(F.sum("label").over(inside), F.lit(0.0))})
+    n = (F.col("_n0") + F.col("_n")).cast("long")
+    return rows.join(hours, ["feature", "value", "_h"]).select(
+        "ticket_id", "feature", "value", n.alias("n_before"), ((F.col("_s0") + F.col("_s") + weight * prior) / (n + weight)).alias("encoded"))
+
+
+def target_encoding(tickets: DataFrame, label: Column, columns: list[str] | None = None, prior: float = 0.5, weight: float = 1.0) -> DataFrame:
+    """(feature, value, encoded) over all ``tickets``: what tickets that come later are encoded by."""
+    rows = _labelled_cells(tickets, columns or CLASSIFIER_CATEGORICAL, label).filter(F.col("label").isNotNull())
+    return rows.groupBy("feature", "value").agg(((F.sum("label") + weight * prior) / (F.count("*") + weight)).alias("encoded"))
+
+
 def scaled_inputs(tickets: DataFrame) -> DataFrame:
     """The 13 numeric columns with mean 0 and population deviation 1."""
     cols = [f"{c}_num" for c in CLASSIFIER_NUMERIC + CLASSIFIER_BOOLEAN]

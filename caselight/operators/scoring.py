@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from caselight.functions.text import ERROR_CODE
 from caselight.operators.scale import quantiles, top_n_per_group
+from caselight.session import kept_aside
 
 # ---- fixed values: weights and patterns -----------------------------------------
 WEIGHTS = {
@@ -74,7 +75,7 @@ def quality_metrics(scored: DataFrame, keys: list[str] | None = None) -> DataFra
     """Count, mean, median, lower quartile and low / high shares, overall or per key."""
     keys = keys or []
     q = F.col("quality_score")
-    scored = scored.select(*keys, "quality_score")
+    scored = kept_aside(scored.select(*keys, "quality_score"))  # texts are scored once
     facts = scored.filter(q.isNotNull()).groupBy(*keys).agg(
         F.count("*").alias("n_results_scored"),
         F.avg(q).alias("mean_quality"),

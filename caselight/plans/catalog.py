@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from caselight.functions import text as tx
 from caselight.operators import (
     analytics, anomaly, bm25, drift, evaluation, features, fusion, graph, learning, lifecycle,
-    quality, relabel, scoring, split, vector_index, vectors,
+    quality, relabel, scoring, sketches, split, vector_index, vectors,
 )
 from caselight.operators.scale import top_n_per_group
 from caselight.plans import bindings as b, batch as jobs_batch
@@ -116,6 +116,13 @@ def encoded_categories(spark, d):
     return learning.encoded_categories(newer, codes)
 
 
+@register
+def ordered_encoding(spark, d):
+    """Categories as the share of critical tickets before each ticket."""
+    critical = (F.col("priority") == "critical").cast("int")
+    return rounded(learning.ordered_encoding(b.tickets_e(spark, d), critical, ["product", "channel", "customer_tier"], weight=0.7))
+
+
 # ---- text -----------------------------------------------------------------------
 
 @register
@@ -391,6 +398,24 @@ def psi_features(spark, d):
                                    [*DRIFT_FEATURES, "resolution_time_hours"]))
 
 
+@register
+def sketch_bounds(spark, d):
+    """Daily sketches written, read and merged over the older tickets: quantiles and distinct
+    counts within their bounds, and edges from them that give about the exact index."""
+    feats = [*DRIFT_FEATURES, "resolution_time_hours"]
+    old, new = week_windows(b.tickets_e(spark, d))
+    path = shared_dir(spark, "sketches")
+    sketches.daily_sketches(old, feats).write.parquet(path)
+    reference = kept_aside(sketches.merged(spark.read.parquet(path)))
+    errors = sketches.sketch_errors(old, reference, feats, [i / 20 for i in range(21)])
+    exact = drift.psi_table(old, new, feats).select("feature", F.col("psi").alias("exact_psi"))
+    frozen = drift.psi_table(old, new, feats, edges=sketches.sketched_edges(reference))
+    return errors.join(frozen, "feature").join(exact, "feature").select(
+        "feature", (F.col("rank_error") <= sketches.RANK_ERROR).alias("quantiles_hold"),
+        (F.col("distinct_error") <= sketches.DISTINCT_ERROR).alias("distinct_holds"),
+        (F.abs(F.col("psi") - F.col("exact_psi")) <= 0.05).alias("index_holds"))
+
+
 def signal_columns(df: DataFrame) -> DataFrame:
     return rounded(df.select(
         "signal_type", "severity", "metric_name", "current_value", "reference_value", "threshold"))
@@ -574,7 +599,7 @@ def satisfaction_drivers(spark, d):
 def _hours_model(spark, d):
     """A regressor of the older tickets, saved and loaded again."""
     path = shared_dir(spark, "hours-model")
-    learning.fit_hours(week_windows(b.tickets_e(spark, d))[0], trees=50).write().overwrite().save(path)
+    learning.fit_hours(week_windows(b.tickets_e(spark, d))[0]).write().overwrite().save(path)
     return learning.PipelineModel.load(path)
 
 

@@ -550,6 +550,16 @@ _FEATURE_SIGNALS = f"""
     SELECT 'feature_drift' AS signal_type, {_PSI_SEVERITY} AS severity, 'psi_' || feature AS metric_name,
            {r6('psi', 'current_value')}, 0.0::DOUBLE AS reference_value, 0.2::DOUBLE AS threshold
     FROM psi WHERE psi >= 0.1 AND n_ref >= 50 AND n_cur >= 10"""
+_SKETCHED = ", ".join(f"('{f}')" for f in [*DRIFT_FEATURES, "resolution_time_hours"])
+ORACLES["sketch_bounds"] = f"""
+    SELECT feature, true AS quantiles_hold, true AS distinct_holds, true AS index_holds FROM (VALUES {_SKETCHED}) t(feature)"""
+ORACLES["ordered_encoding"] = query("tickets_e", f"""
+    SELECT ticket_id, feature, value, count(*) OVER w AS n_before,
+           round((coalesce(sum(label) OVER w, 0) + 0.7::DOUBLE * 0.5) / (count(*) OVER w + 0.7::DOUBLE), 6) AS encoded
+    FROM cells WINDOW w AS (PARTITION BY feature, value ORDER BY created_at, ticket_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""", {
+    "cells": " UNION ALL ".join(
+        f"SELECT ticket_id, created_at, '{c}' AS feature, {c} AS value, CAST(priority = 'critical' AS DOUBLE) AS label FROM tickets_e"
+        for c in ("product", "channel", "customer_tier"))})
 ORACLES["feature_drift"] = query("tickets_e", _FEATURE_SIGNALS, _psi(DRIFT_FEATURES))
 
 
