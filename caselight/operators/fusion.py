@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -84,19 +86,24 @@ def resolved(tickets: DataFrame) -> DataFrame:
     return tickets.filter(F.length("resolution") > 0)
 
 
-def build_vectors(tickets: DataFrame, path: str | None = None) -> tuple[PipelineModel, DataFrame]:
+def build_vectors(
+    tickets: DataFrame, path: str | None = None, encoder: Callable[[DataFrame], DataFrame] | None = None,
+) -> tuple[vectors.Encoder, DataFrame]:
     """Encoder and vectors of the cleaned resolutions, with the filter columns.
 
-    Both are written, so that a batch of queries reads vectors instead of cleaning and
-    encoding the whole corpus again.
+    The vectors are written, so that a batch of queries reads them instead of cleaning and
+    encoding the whole corpus again, and so is the default encoder, which is fitted to the
+    texts. ``encoder``, a function that adds ``vector`` to rows with ``text``, takes its place.
     """
     spark = tickets.sparkSession
     path = path or shared_dir(spark, "vectors")
     texts = index_text(resolved(tickets), "text").select("ticket_id", "category", "product", "text")
-    model = vectors.fit_encoder(texts)
-    model.write().overwrite().save(f"{path}/encoder")
+    model = encoder
+    if model is None:
+        model = vectors.fit_encoder(texts)
+        model.write().overwrite().save(f"{path}/encoder")
     vectors.encode(model, texts).drop("text").write.mode("overwrite").parquet(f"{path}/vectors")
-    return read_vectors(spark, path)
+    return model, spark.read.parquet(f"{path}/vectors")
 
 
 def read_vectors(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFrame]:
@@ -105,7 +112,7 @@ def read_vectors(spark: SparkSession, path: str) -> tuple[PipelineModel, DataFra
 
 def hybrid_retrieve(
     queries: DataFrame, tickets: DataFrame, index: bm25.Bm25Index | None,
-    encoder: PipelineModel | None, vector_table: DataFrame | None, top_k: int = 5,
+    encoder: vectors.Encoder | None, vector_table: DataFrame | None, top_k: int = 5,
 ) -> DataFrame:
     """Answer a table of tickets.
 
@@ -149,3 +156,38 @@ def query_context(queries: DataFrame, tickets: DataFrame, top_k: int = 5) -> Dat
     return stored_context(
         queries, graph.product_issues(tickets), graph.issue_solutions(tickets),
         graph.error_code_mapping(tickets), top_k)
+
+
+def hybrid_answers(
+    queries: DataFrame, tickets: DataFrame, index: bm25.Bm25Index | None, encoder: vectors.Encoder | None,
+    vector_table: DataFrame | None, graph_tables: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+    top_k: int = 5, use_graph: bool = True,
+) -> DataFrame:
+    """One row per query with everything an answer holds: query_id, results, graph_context and
+    metadata.
+
+    ``results`` are the best ``top_k`` of ``hybrid_retrieve`` with their payload, best first.
+    ``graph_context`` has templates and error-code rows of the edge tables (``graph_tables``,
+    or edges of the tickets); it is empty without ``use_graph``, and for a query without
+    product or predicted category. ``metadata`` repeats the predicted labels and the product and
+    lists the error codes of description and logs. A query that nothing answers has empty arrays.
+    """
+    found = hybrid_retrieve(queries, tickets, index, encoder, vector_table, top_k)
+    kept = ["rank", "ticket_id", "rrf_score", "final_score", *PAYLOAD]
+    results = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(*kept))).alias("results"))
+    q = with_columns(queries, ["error_logs"])
+    labels = ["predicted_category", "predicted_subcategory", "predicted_priority", "predicted_sentiment", "product"]
+    codes = distinct_error_codes(F.concat_ws(" ", "description", "error_logs"))
+    out = q.select("query_id", F.struct(*labels, codes.alias("error_codes")).alias("metadata")).join(results, "query_id", "left")
+    context_type = "array<struct<kind:string,rank:int,code:string,text:string,score:double>>"
+    if use_graph:
+        asked = queries.filter((F.length("product") > 0) & (F.length("predicted_category") > 0))
+        edges = graph_tables or (graph.product_issues(tickets), graph.issue_solutions(tickets), graph.error_code_mapping(tickets))
+        rows = stored_context(asked, *edges, top_k=top_k)
+        packed = F.array_sort(F.collect_list(F.struct("kind", "rank", "code", "text", "score"))).cast(context_type)
+        out = out.join(rows.groupBy("query_id").agg(packed.alias("graph_context")), "query_id", "left")
+    else:
+        out = out.withColumn("graph_context", F.lit(None).cast(context_type))
+    return out.select(
+        "query_id", F.coalesce("results", F.array().cast(results.schema["results"].dataType)).alias("results"),
+        F.coalesce("graph_context", F.array().cast(context_type)).alias("graph_context"), "metadata")

@@ -7,6 +7,7 @@ allow; the product of a block and a chunk is cut to the best of each query where
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import product
 
 import numpy as np
@@ -20,6 +21,7 @@ from caselight.functions.text import TOKEN
 from caselight.operators.scale import top_n_per_group
 
 DIMENSIONS = 384
+Encoder = PipelineModel | Callable[[DataFrame], DataFrame]
 #: Vectors of a chunk, queries of a block, and rows of a chunk that are multiplied at once.
 CHUNK_ROWS, QUERY_BLOCK, SLICE = 16_384, 1024, 2048
 
@@ -38,8 +40,11 @@ def fit_encoder(texts: DataFrame, text: str = "text", dimensions: int = DIMENSIO
     ]).fit(texts)
 
 
-def encode(model: PipelineModel, texts: DataFrame, out: str = "vector") -> DataFrame:
-    """Any function of this shape can take the encoder's place."""
+def encode(model: Encoder, texts: DataFrame, out: str = "vector") -> DataFrame:
+    """Rows with ``text`` and their vector, by a fitted pipeline or by any function that maps
+    such rows to the same rows plus ``vector``."""
+    if not isinstance(model, PipelineModel):
+        return model(texts).withColumnRenamed("vector", out)
     return model.transform(texts).withColumn(out, vector_to_array("_unit", "float32")).drop(
         "_tok", "_tf", "_idf", "_unit")
 

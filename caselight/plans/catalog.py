@@ -317,6 +317,20 @@ def hybrid_keyword_only(spark, d):
     return rounded(out.select("query_id", "rank", "ticket_id", "rrf_score", "final_score"))
 
 
+@register
+def hybrid_answer(spark, d):
+    """Whole answers from stored edges: results, graph context, error codes and labels."""
+    t, base = b.tickets_d(spark, d), shared_dir(spark, "answer-edges")
+    store.replace_graph_tables(t, base)
+    edges = store.read_graph_tables(spark, base)
+    out = fusion.hybrid_answers(b.queries_b(spark, d), t, _index(spark, d), None, None, edges, 5)
+    named = F.transform("graph_context", lambda c: F.concat_ws(":", c["kind"], c["code"]))
+    return out.select(
+        "query_id", F.array_join("results.ticket_id", ",").alias("results"), F.array_join(named, ",").alias("context"),
+        F.array_join("metadata.error_codes", ",").alias("error_codes"), "metadata.predicted_category", "metadata.predicted_subcategory",
+        "metadata.predicted_priority", "metadata.predicted_sentiment", "metadata.product")
+
+
 # ---- quality of results ---------------------------------------------------------
 
 def _pairs(spark, d) -> DataFrame:

@@ -245,26 +245,28 @@ ORACLES["error_code_map"] = query("tickets_d", "SELECT * FROM m", {"codes": _COD
 _QUERY_CODES = f"""
     SELECT DISTINCT query_id, unnest(regexp_extract_all(description, '{tx.ERROR_CODE}')) AS error_code
     FROM queries_b"""
-ORACLES["graph_context"] = query("tickets_d queries_b", f"""
-    SELECT query_id, 'template' AS kind, CAST(rank AS INTEGER) AS rank, resolution_code AS code,
-           resolution_template AS text, {r6('score')} FROM templates
-    UNION ALL
-    SELECT query_id, 'error_code', CAST(rank AS INTEGER), error_code, resolution_text,
-           CAST(occurrences AS DOUBLE) FROM hits WHERE rank <= 5""", {
+_CONTEXT = {
     "i": _ISSUES, "s": _SOLUTIONS, "codes": _CODES, "m": _MAPPING, "qc": _QUERY_CODES,
     "top": """SELECT q.query_id, q.predicted_subcategory AS sub, s.*, row_number() OVER (
                 PARTITION BY q.query_id ORDER BY s.success_rate DESC NULLS FIRST, s.resolution_code) AS rr
               FROM queries_b q JOIN i ON i.product = q.product AND i.issue_type = q.predicted_category
               JOIN s ON s.issue_type = i.issue_type""",
-    "scored": """SELECT *, coalesce(success_rate, 0) * CASE WHEN length(sub) > 0 AND contains(
+    "boosted": """SELECT *, coalesce(success_rate, 0) * CASE WHEN length(sub) > 0 AND contains(
                    lower(coalesce(resolution_template, '')),
                    replace(replace(lower(sub), '_', ' '), '/', ' ')) THEN 1.5::DOUBLE ELSE 1::DOUBLE END AS score
                  FROM top WHERE rr <= 5""",
     "templates": """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rr) AS rank
-                    FROM scored""",
+                    FROM boosted""",
     "hits": """SELECT query_id, m.*, row_number() OVER (PARTITION BY query_id
                  ORDER BY occurrences DESC, m.error_code, product, issue_type) AS rank
-               FROM qc JOIN m USING (error_code)"""})
+               FROM qc JOIN m USING (error_code)"""}
+_CONTEXT_ROWS = f"""
+    SELECT query_id, 'template' AS kind, CAST(rank AS INTEGER) AS rank, resolution_code AS code,
+           resolution_template AS text, {r6('score')} FROM templates
+    UNION ALL
+    SELECT query_id, 'error_code', CAST(rank AS INTEGER), error_code, resolution_text,
+           CAST(occurrences AS DOUBLE) FROM hits WHERE rank <= 5"""
+ORACLES["graph_context"] = query("tickets_d queries_b", _CONTEXT_ROWS, _CONTEXT)
 
 # ---- keyword search -------------------------------------------------------------
 
@@ -377,7 +379,7 @@ ORACLES["rerank"] = query("tickets_e", _RERANK_BODY + "10", {
                     {_list(_b.PRIORITIES, _NO)} AS pp, {_list(_b.MOODS, _NO)} AS pm
                   FROM fused f JOIN tickets_e t USING (ticket_id)""",
     "scored": f"SELECT *, {_rerank()} AS final_score FROM joined"})
-ORACLES["hybrid_keyword_only"] = query("tickets_d queries_b", _RERANK_BODY + "5", {
+_KEYWORD_ONLY = {
     **_search(_IN_CATEGORY),
     "joined": """SELECT r.query_id, r.ticket_id, 1.0::DOUBLE / (60 + r.rank) AS rrf_score, r.rank AS first_seen,
                    t.resolution_helpful, t.satisfaction_score, t.subcategory, t.category, t.priority,
@@ -385,7 +387,16 @@ ORACLES["hybrid_keyword_only"] = query("tickets_d queries_b", _RERANK_BODY + "5"
                    b.predicted_priority AS pp, b.predicted_sentiment AS pm
                  FROM ranked r JOIN tickets_d t USING (ticket_id) JOIN queries_b b USING (query_id)
                  WHERE r.rank <= 10""",
-    "scored": f"SELECT *, {_rerank()} AS final_score FROM joined"})
+    "scored": f"SELECT *, {_rerank()} AS final_score FROM joined"}
+ORACLES["hybrid_keyword_only"] = query("tickets_d queries_b", _RERANK_BODY + "5", _KEYWORD_ONLY)
+ORACLES["hybrid_answer"] = query("tickets_d queries_b", """
+    SELECT b.query_id, coalesce(results, '') AS results, coalesce(context, '') AS context, coalesce(error_codes, '') AS error_codes,
+           b.predicted_category, b.predicted_subcategory, b.predicted_priority, b.predicted_sentiment, b.product
+    FROM queries_b b
+    LEFT JOIN (SELECT query_id, string_agg(ticket_id, ',' ORDER BY rank) AS results FROM answered GROUP BY 1) USING (query_id)
+    LEFT JOIN (SELECT query_id, string_agg(kind || ':' || code, ',' ORDER BY kind, rank) AS context FROM context GROUP BY 1) USING (query_id)
+    LEFT JOIN (SELECT query_id, string_agg(error_code, ',' ORDER BY error_code) AS error_codes FROM qc GROUP BY 1) USING (query_id)""", {
+    **_KEYWORD_ONLY, "answered": _RERANK_BODY + "5", **_CONTEXT, "context": _CONTEXT_ROWS})
 
 # ---- quality of results ---------------------------------------------------------
 

@@ -197,6 +197,25 @@ def test_hybrid_uses_both_branches(spark, index):
         fusion.hybrid_retrieve(q, docs, None, None, None)
 
 
+def test_whole_answers_with_any_encoder(spark, index):
+    docs = spark.createDataFrame(DOCS, DOC_SCHEMA).withColumns({
+        "product": F.lit("P"), "created_at": F.current_timestamp(), "resolution_code": F.lit("RC"), "resolution_helpful": F.lit(True),
+        "resolution_time_hours": F.lit(1.0), "error_logs": F.lit("ERROR_TIMEOUT_429")})
+    encoder = lambda df: df.withColumn("vector", F.array(F.length("text").cast("double"), F.lit(1.0)))
+    same, table = fusion.build_vectors(docs, encoder=encoder)
+    assert same is encoder
+    q = spark.createDataFrame(
+        [("q", "timeout", "database sync ERROR_TIMEOUT_429", "P", "Tech", "S", "high", None), ("none", "", "", None, "Unknown", None, None, None)],
+        "query_id string, subject string, description string, product string, predicted_category string, "
+        "predicted_subcategory string, predicted_priority string, predicted_sentiment string")
+    got = {r.query_id: r for r in fusion.hybrid_answers(q, docs, index, encoder, table).collect()}
+    assert [r["rank"] for r in got["q"].results] == [1, 2, 3] and {r.ticket_id for r in got["q"].results} == {"1", "3", "4"}
+    assert {c.kind for c in got["q"].graph_context} == {"template", "error_code"}
+    assert got["q"].metadata.error_codes == ["ERROR_TIMEOUT_429"] and got["q"].metadata.predicted_priority == "high"
+    assert got["none"].graph_context == [] and got["none"].metadata.error_codes == []
+    assert all(r.graph_context == [] for r in fusion.hybrid_answers(q, docs, index, None, None, use_graph=False).collect())
+
+
 GOOD = "Updated the config parameter in settings.yaml to version 2.4, ran the api script; ERROR_DB_1 resolved and confirmed working. " * 2
 
 
