@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .licenses import RULES, SENTENCES, normal
+from .licenses import RULES, SENTENCES, normal, parts_of
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -90,27 +90,40 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _values(rows) -> str:
+    return ", ".join(f"({_quoted(x)}, {_quoted(y)})" for x, y in rows)
+
+
 def _op5() -> str:
-    known = ", ".join(f"({_quoted(normal(s))}, {_quoted(name)})" for name, s in SENTENCES.items())
+    # a known sentence is the run of its parts; each distinct part has a token
+    tokens: dict[str, str] = {}
+    known: dict[str, str] = {}
+    for name, sentence in SENTENCES.items():
+        for own in ([normal(sentence)], parts_of(sentence)):
+            known["".join(tokens.setdefault(x, f" {len(tokens)};") for x in own)] = name
+    longest = "|".join(sorted(known, key=lambda r: -r.count(";")))
     runs = sorted({"".join(f" {x};" for x in run): name for name, run in RULES}.items(), key=lambda r: -r[0].count(";"))
-    rules = ", ".join(f"({_quoted(run)}, {_quoted(name)})" for run, name in runs)
     norm = "trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'))"
     return rf"""
-WITH known(sentence, id) AS (VALUES {known}), rules(run, license) AS (VALUES {rules}),
+WITH tokens(norm, token) AS (VALUES {_values([*tokens.items(), ("", "")])}), known(run, id) AS (VALUES {_values(known.items())}),
+rules(run, license) AS (VALUES {_values(runs)}),
 parts AS (
   SELECT doc_id, unnest(p) AS part, unnest(range(len(p))) AS pos FROM (
     SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?;:])\s+|\n\s*\n', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents)
 ), whole AS (
-  SELECT doc_id, part, pos, id FROM parts LEFT JOIN known ON sentence = {norm.format('part')}
+  SELECT doc_id, part, pos, token FROM parts LEFT JOIN tokens ON norm = {norm.format('part')}
 ), lines AS (
   SELECT doc_id, pos, unnest(l) AS line, unnest(range(len(l))) AS sub
-  FROM (SELECT doc_id, pos, string_split(part, chr(10)) AS l FROM whole WHERE id IS NULL)
-), found AS (
-  SELECT doc_id, pos, 0 AS sub, id FROM whole WHERE id IS NOT NULL
+  FROM (SELECT doc_id, pos, string_split(part, chr(10)) AS l FROM whole WHERE token IS NULL)
+), every AS (
+  SELECT doc_id, pos, 0 AS sub, token FROM whole WHERE token IS NOT NULL
   UNION ALL
-  SELECT doc_id, pos, sub, known.id FROM lines JOIN known ON sentence = {norm.format('line')}
+  SELECT doc_id, pos, sub, coalesce(token, ' -;') FROM lines LEFT JOIN tokens ON norm = {norm.format('line')}
+), said AS (
+  SELECT doc_id, regexp_extract_all(string_agg(token, '' ORDER BY pos, sub), {_quoted(longest)}) AS m FROM every GROUP BY 1
 ), sequences AS (
-  SELECT doc_id, list(id ORDER BY pos, sub) AS ids FROM found GROUP BY 1
+  SELECT doc_id, list(id ORDER BY place) AS ids
+  FROM (SELECT doc_id, unnest(m) AS run, unnest(range(len(m))) AS place FROM said) JOIN known USING (run) GROUP BY 1
 ), matched AS (
   SELECT doc_id, regexp_extract_all(list_reduce(list_prepend('', list_transform(ids, lambda x: ' ' || x || ';')), lambda x, y: x || y),
     {_quoted('|'.join(r for r, _ in runs))}) AS m FROM sequences
