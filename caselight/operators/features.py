@@ -18,8 +18,7 @@ def ticket_features(tickets: DataFrame) -> DataFrame:
     """The 18 feature columns.
 
     Texts become numbers before any shuffle. Customer and product aggregates are
-    combined map-side; where they are measured to be small they are broadcast, so the
-    tickets are not shuffled at all, otherwise narrow rows are.
+    combined map-side and joined to narrow rows; run-time planning picks the kind of join.
     """
     t = with_columns(tickets, _INPUTS)
     by_customer = (

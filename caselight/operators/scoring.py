@@ -9,6 +9,7 @@ from caselight.operators.scale import quantiles, top_n_per_group
 from caselight.session import kept_aside
 
 # ---- fixed values: weights and patterns -----------------------------------------
+# alternatives of plain words stand as lists, in their order: they are looked up, not matched
 WEIGHTS = {
     "relevance": 0.30, "success": 0.25, "satisfaction": 0.10,
     "completeness": 0.20, "specificity": 0.15,

@@ -680,7 +680,7 @@ def model_comparison(spark, d):
     _, parts = _split_features(spark, d)
     rows = None
     for name, params in (("small", {"trees": 10, "depth": 4}), ("large", {"trees": 30, "depth": 8})):
-        models = {t: learning.fit_task(parts["train"], t, **params) for t in ("category", "priority")}
+        models = {t: learning.fit_task(parts["train"], t, **params) for t in learning.CLASSIFIER_TASKS}
         scored = learning.predict(models, parts["test"])
         for t in models:
             row = evaluation.weighted_f1(scored, f"label_{t}", f"pred_{t}").select(
@@ -691,8 +691,13 @@ def model_comparison(spark, d):
 
 @register
 def feature_importance(spark, d):
+    """Importances of all four tasks."""
     _, parts = _split_features(spark, d)
-    return learning.feature_importance(learning.fit_task(parts["train"], "category"), spark)
+    rows = None
+    for t in learning.CLASSIFIER_TASKS:
+        own = learning.feature_importance(learning.fit_task(parts["train"], t), spark).withColumn("task", F.lit(t))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows
 
 
 @register
