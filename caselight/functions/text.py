@@ -7,6 +7,9 @@ specified line and character semantics.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # ---- fixed values: patterns that must match the specification -------------------
@@ -38,10 +41,10 @@ REPEATED_PUNCTUATION = r"([!?.=\-]){3,}"
 MANY_NEWLINES = r"\n{3,}"
 MANY_SPACES = r" {2,}"
 
-# parts that every match of the two searching patterns contains; letters with more
-# than one upper-case form are left out, so that testing the lower-cased text is safe
-REPLY_PARTS = ["wrote", "from", ">", "original", "forwarded"]
-CLOSING_PARTS = ["regard", "than", "cheer", "incerely", "forward", "advi", "appreciate"]
+# parts that every match of the two searching patterns contains, all of a group; letters with
+# more than one upper-case form are left out, so that testing the lower-cased text is safe
+REPLY_PARTS = [["wrote"], ["from", "\nto"], ["\n>"], ["---", "original"], ["---", "forwarded"]]
+CLOSING_PARTS = [["regard"], ["than"], ["cheer"], ["incerely"], ["forward"], ["advi"], ["appreciate"]]
 
 # ---------------------------------------------------------------------------------
 
@@ -82,18 +85,18 @@ def first_line(c: str | Column) -> Column:
     return F.substring_index(F.col(c) if isinstance(c, str) else c, "\n", 1)
 
 
-def _where(c: Column, parts: list[str], changed: Column) -> Column:
-    """Run an expensive pattern only on texts that can match it."""
-    low, some = F.lower(c), F.lit(False)
-    for p in parts:
-        some = some | F.contains(low, F.lit(p))
+def _where(c: Column, parts: list[list[str]], changed: Column, some: Column | None = None) -> Column:
+    """Run an expensive pattern only on texts that can match it: those with all parts of a group."""
+    low, some = F.lower(c), F.lit(False) if some is None else some
+    for group in parts:
+        some = some | reduce(and_, [F.contains(low, F.lit(p)) for p in group])
     return F.when(some, changed).otherwise(c)
 
 
 def _cut_at_reply(c: Column) -> Column:
     """Text before the first quoted reply, trimmed if there is one."""
     parts = F.split(c, _uni(QUOTED_REPLY), 2)
-    return _where(c, REPLY_PARTS, F.when(F.size(parts) > 1, strip(parts[0])).otherwise(c))
+    return _where(c, REPLY_PARTS, F.when(F.size(parts) > 1, strip(parts[0])).otherwise(c), F.startswith(c, F.lit(">")))
 
 
 def _without_closing(c: Column) -> Column:

@@ -98,11 +98,12 @@ def build_vectors(
     spark = tickets.sparkSession
     path = path or shared_dir(spark, "vectors")
     texts = index_text(resolved(tickets), "text").select("ticket_id", "category", "product", "text")
-    model = encoder
-    if model is None:
-        model = vectors.fit_encoder(texts)
+    if encoder is None:
+        model, rows = vectors.fit_and_encode(texts)
         model.write().overwrite().save(f"{path}/encoder")
-    vectors.encode(model, texts).drop("text").write.mode("overwrite").parquet(f"{path}/vectors")
+    else:
+        model, rows = encoder, vectors.encode(encoder, texts).drop("text")
+    rows.write.mode("overwrite").parquet(f"{path}/vectors")
     return model, spark.read.parquet(f"{path}/vectors")
 
 

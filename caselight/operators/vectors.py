@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from caselight.functions.text import TOKEN
 from caselight.operators.scale import top_n_per_group
+from caselight.session import kept_aside
 
 DIMENSIONS = 384
 Encoder = PipelineModel | Callable[[DataFrame], DataFrame]
@@ -30,14 +31,28 @@ def _best_first():
     return [F.desc(F.round("score", 9)), F.asc("ticket_id")]
 
 
-def fit_encoder(texts: DataFrame, text: str = "text", dimensions: int = DIMENSIONS) -> PipelineModel:
-    """The default encoder: hashed term counts, idf weights, unit length."""
-    return Pipeline(stages=[
+def _stages(text: str, dimensions: int) -> list:
+    return [
         RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN, gaps=False),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dimensions),
         IDF(inputCol="_tf", outputCol="_idf"),
         Normalizer(inputCol="_idf", outputCol="_unit"),
-    ]).fit(texts)
+    ]
+
+
+def fit_encoder(texts: DataFrame, text: str = "text", dimensions: int = DIMENSIONS) -> PipelineModel:
+    """The default encoder: hashed term counts, idf weights, unit length."""
+    return Pipeline(stages=_stages(text, dimensions)).fit(texts)
+
+
+def fit_and_encode(texts: DataFrame, out: str = "vector", dimensions: int = DIMENSIONS) -> tuple[PipelineModel, DataFrame]:
+    """``fit_encoder`` of ``texts`` and their vectors, without ``text``. The texts are read once: their
+    term counts are kept, and the weights are fitted to and applied to those."""
+    tokenizer, hashing, idf, unit = _stages("text", dimensions)
+    counted = kept_aside(hashing.transform(tokenizer.transform(texts)).drop("text", "_tok"))
+    weights = idf.fit(counted)
+    rows = unit.transform(weights.transform(counted)).withColumn(out, vector_to_array("_unit", "float32"))
+    return PipelineModel(stages=[tokenizer, hashing, weights, unit]), rows.drop("_tf", "_idf", "_unit")
 
 
 def encode(model: Encoder, texts: DataFrame, out: str = "vector") -> DataFrame:

@@ -108,3 +108,16 @@ def test_guards_do_not_change_results(spark):
         assert clean(spark, "s", t) == "s. x", t
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert df.filter(tx._where(F.col("t"), tx.CLOSING_PARTS, F.lit("")) != "").count() == 0
+
+
+def test_reply_test_leaves_out_only_texts_without_a_reply(make):
+    """The cheap test before the reply pattern agrees with the pattern itself."""
+    texts = ["answer\n> quoted", "> all quoted", "a > b from me", "x\nOn Monday 3 May Ann wrote: hi", "--- Original Message ---\nold", "ok\n----forwarded message----",
+             "new\nFrom: a\nSent: b\nTO : c\nSubject: d\nold", "from a to b", "forwarded to you", None, ""]
+    df = make([(x,) for x in texts], "t string")
+    cut = F.split(F.coalesce("t", F.lit("")), tx._uni(tx.QUOTED_REPLY), 2)
+    plain = F.when(F.size(cut) > 1, tx.strip(cut[0])).otherwise(F.coalesce("t", F.lit("")))
+    for r in df.select("t", tx._cut_at_reply(F.coalesce("t", F.lit(""))).alias("a"), plain.alias("b")).collect():
+        assert r.a == r.b, r.t
+    tried = tx._where(F.col("t"), tx.REPLY_PARTS, F.lit("tried"), F.startswith("t", F.lit(">")))
+    assert [r[0] for r in df.select(tried).collect()][-4:] == texts[-4:]
