@@ -8,8 +8,12 @@ per query without being shuffled. Only k rows per task and query leave a task.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from caselight.functions.text import tokens
@@ -52,6 +56,63 @@ def postings(tokenised_docs: DataFrame) -> DataFrame:
     )
 
 
+_POSTINGS = "ticket_id string, category string, dl int, term string, tf int"
+#: Texts of an Arrow batch that are counted at once.
+COUNTED_ROWS = 1000
+
+
+def _counts(batch: pa.RecordBatch) -> pa.Table:
+    """Terms and their counts per run of rows with equal ticket, category and length."""
+    tokens = batch["tokens"]
+    own = [batch["ticket_id"], batch["category"], pc.list_value_length(tokens)]
+    codes = [c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for c in own]
+    new = np.zeros(len(batch), dtype=np.int64)
+    for c in codes:
+        new[1:] |= c[1:] != c[:-1]
+    run = np.cumsum(new)
+    words = tokens.flatten().dictionary_encode()
+    n = max(1, len(words.dictionary))
+    pairs = run[pc.list_parent_indices(tokens).to_numpy()] * n + words.indices.to_numpy()
+    pairs, counts = np.unique(pairs, return_counts=True)
+    row = pa.array(np.flatnonzero(np.diff(run, prepend=-1))[pairs // n])
+    return pa.table({"ticket_id": own[0].take(row), "category": own[1].take(row), "dl": own[2].take(row),
+                     "term": words.dictionary.take(pa.array(pairs % n)), "tf": pa.array(counts, pa.int32())})
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of rows in order of ticket, category and length; the counts of the last of them
+    are held until it is certain that the next batch doesn't go on with it."""
+    names = ["ticket_id", "category", "dl"]
+    key = lambda t, at: tuple(t[c][at].as_py() for c in names)
+    held = None
+    for whole in batches:
+        for at in range(0, len(whole), COUNTED_ROWS):
+            found = _counts(whole.slice(at, COUNTED_ROWS))
+            if not len(found):
+                continue
+            last = key(found, -1)
+            if held is not None and key(held, 0) == key(found, 0):
+                both = pa.concat_tables([held, found]).group_by([*names, "term"]).aggregate([("tf", "sum")])
+                found = both.select([*names, "term", "tf_sum"]).rename_columns([*names, "term", "tf"])
+                found = found.set_column(4, "tf", found["tf"].cast(pa.int32()))
+            elif held is not None:
+                yield from held.to_batches()
+            mine = pa.array([True] * len(found))
+            for c, x in zip(names, last):
+                mine = pc.and_(mine, pc.is_null(found[c]) if x is None else pc.fill_null(pc.equal(found[c], x), False))
+            held = found.filter(mine).combine_chunks()
+            yield from found.filter(pc.invert(mine)).combine_chunks().to_batches()
+    if held is not None:
+        yield from held.to_batches()
+
+
+def counted_postings(tokenised_docs: DataFrame) -> DataFrame:
+    """``postings`` of rows that are dealt by ticket. Texts are put in order, not their many words,
+    and words are counted where they are, so none is a row or a key of its own."""
+    rows = tokenised_docs.select(F.col("ticket_id").cast("string"), F.col("category").cast("string"), "tokens")
+    return rows.sortWithinPartitions("ticket_id", "category", F.size("tokens")).mapInArrow(_counted, _POSTINGS)
+
+
 def corpus_terms(post: DataFrame, n_docs: int) -> DataFrame:
     """(term, df, tokens, idf): unfloored inverse document frequency."""
     n = F.lit(float(n_docs))
@@ -91,11 +152,11 @@ def build_index(docs: DataFrame, base: str | None = None, buckets: int | None =
     buckets = buckets or state_partitions(spark)
     base = base or shared_dir(spark, "bm25")
     name = f"caselight_postings_{uuid.uuid4().hex[:12]}"
-    # the raw texts are spread, which is less to shuffle than their tokens; tokenising
-    # and counting then stay in the task that holds the ticket
+    # the raw texts are spread, which is less to shuffle than their tokens; tokenising and
+    # counting then stay in the task that holds the ticket
     by_doc = search_texts(docs).repartition(buckets, "ticket_id")
     # sorted by term inside a bucket: a search skips the row groups without its terms
-    (postings(tokenised(by_doc)).write.bucketBy(buckets, "ticket_id").sortBy("term")
+    (counted_postings(tokenised(by_doc)).write.bucketBy(buckets, "ticket_id").sortBy("term")
      .option("path", f"{base}/postings").format("parquet").saveAsTable(name))
     docs.groupBy("category").agg(F.count("*").alias("n")).write.parquet(f"{base}/categories")
     n = spark.read.parquet(f"{base}/categories").agg(F.sum("n")).first()[0] or 0

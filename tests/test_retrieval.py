@@ -234,3 +234,16 @@ def test_quality(make):
     scores = [r.quality_score for r in got.values()]
     assert m.n_results_scored == 3 and m.p25_quality == pytest.approx(np.percentile(scores, 25))
     assert m.high_quality_rate == pytest.approx(1 / 3)
+
+
+def test_counted_postings_equal_grouped_words(spark, make, monkeypatch):
+    """Words are counted without a row each; repeated tickets and missing ids meet over batches."""
+    monkeypatch.setattr(bm25, "COUNTED_ROWS", 3)
+    rows = [(None if i % 9 == 0 else str(i % 7), [None, "a", "b"][i % 3], "w%d x x y%d" % (i % 2, i % 5) if i % 11 else "") for i in range(120)]
+    rows += [("7", "a", "x " * 50), ("7", "a", "x " * 50), ("8", None, None)]
+    df = make(rows, "ticket_id string, category string, text string").repartition(3, "ticket_id")
+    docs = bm25.tokenised(df)
+    plan = bm25.counted_postings(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "HashAggregate" not in plan
+    want = sorted(map(tuple, bm25.postings(docs).collect()), key=str)
+    assert sorted(map(tuple, bm25.counted_postings(docs).collect()), key=str) == want
