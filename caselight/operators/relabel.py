@@ -98,8 +98,11 @@ def parse_answers(answers: DataFrame, raw: str = "raw", category: str = "categor
     first = F.try_parse_json(F.nullif(F.regexp_extract("_text", r"\{[^}]+\}", 0), F.lit("")))
     df = df.withColumn("_json", F.coalesce(whole, first))
 
+    # each part is taken from the answer once, in a step of its own
+    df = df.withColumns({f"_{n}": F.try_variant_get("_json", f"$.{n}", "string") for n in ("subcategory", "priority", "sentiment")})
+
     def part(name: str) -> Column:
-        return F.try_variant_get("_json", f"$.{name}", "string")
+        return F.col(f"_{name}")
 
     valid = _subcategories(F.col(category))
     exact = F.filter(valid, lambda v: v == part("subcategory"))
@@ -112,7 +115,7 @@ def parse_answers(answers: DataFrame, raw: str = "raw", category: str = "categor
     })
     some = F.coalesce("new_subcategory", "new_priority", "new_sentiment").isNotNull()
     status = F.when(F.col(raw).isNull(), "api_fail").when(some, "success").otherwise("parse_fail")
-    return df.withColumn("status", status).drop("_text", "_json")
+    return df.withColumn("status", status).drop("_text", "_json", "_subcategory", "_priority", "_sentiment")
 
 
 def remaining(tickets: DataFrame, done: DataFrame) -> DataFrame:
@@ -131,6 +134,8 @@ def label_tickets(tickets: DataFrame, done: DataFrame, labeler: Callable[[DataFr
         "ticket_id", "new_subcategory", "new_priority", "new_sentiment", "status")
 
 
+#: Prompts of a chunk that one task writes.
+PROMPTS_PER_PART = 50_000
 _PLAN, _COMMIT = "chunks int", "chunk int, n long, failed long, finished_at timestamp"
 
 
@@ -154,7 +159,13 @@ def plan_labelling(tickets: DataFrame, base: str, chunk_tickets: int = 10_000) -
         return plan["chunks"]
     chunks = max(1, -(-tickets.count() // chunk_tickets))
     asked = with_prompt(tickets).select("ticket_id", "category", "prompt", F.pmod(F.xxhash64("ticket_id"), F.lit(chunks)).cast("int").alias("chunk"))
-    asked.repartition("chunk").write.mode("overwrite").partitionBy("chunk").parquet(f"{base}/asked")
+    # a chunk may be large: its prompts are dealt to parts, which later jobs read side by side
+    per_chunk = -(-min(chunk_tickets, tickets.count()) // PROMPTS_PER_PART)
+    if per_chunk > 1:
+        asked = asked.repartition(chunks * per_chunk, "chunk", F.pmod(F.xxhash64("ticket_id", "prompt", F.lit(1)), F.lit(per_chunk)))
+    else:
+        asked = asked.repartition("chunk")
+    asked.write.mode("overwrite").partitionBy("chunk").parquet(f"{base}/asked")
     spark.createDataFrame([(chunks,)], _PLAN).write.mode("overwrite").parquet(f"{base}/plan")
     return chunks
 
@@ -236,9 +247,11 @@ def change_counts(tickets: DataFrame, corrections: DataFrame) -> DataFrame:
 
 def spot_check(tickets: DataFrame, corrections: DataFrame, n: int = 200, seed: int = 0) -> DataFrame:
     """A repeatable random sample of n corrected tickets with old and new labels."""
-    usable = corrections.filter(
-        F.coalesce(*[F.col(f"new_{f}") for f in FIELDS]).isNotNull())
-    sample = usable.orderBy(F.xxhash64("ticket_id", F.lit(seed)), "ticket_id").limit(n)
+    usable = F.coalesce(*[F.col(f"new_{f}") for f in FIELDS]).isNotNull()
+    # unusable rows come last and are left out behind the limit: a filter before it would be moved
+    # below the parsing and parse every answer again for each label
+    first = [(~usable).asc(), F.xxhash64("ticket_id", F.lit(seed)).asc(), F.col("ticket_id").asc()]
+    sample = corrections.orderBy(*first).limit(n).filter(usable)
     df = with_columns(tickets, [*FIELDS.values(), "category"]).join(
         F.broadcast(sample.select("ticket_id", *[f"new_{f}" for f in FIELDS])), "ticket_id")
     return df.select(
