@@ -20,11 +20,12 @@ from caselight.functions.expr import flag, number
 from caselight.functions.text import TOKEN, classifier_text
 from caselight.operators.analytics import standardised
 from caselight.operators.evaluation import class_weights, weighted_f1
+from caselight.operators.scale import PART_ROWS, dealt
 from caselight.schemas import (
     CLASSIFIER_BOOLEAN, CLASSIFIER_CATEGORICAL, CLASSIFIER_NUMERIC, CLASSIFIER_TASKS,
     HOURS_BOOLEAN, HOURS_CATEGORICAL, HOURS_NUMERIC, with_columns,
 )
-from caselight.session import ensure_checkpoint_dir
+from caselight.session import ensure_checkpoint_dir, kept_aside
 
 EMBEDDING = 384
 UNKNOWN_LABEL = "UNKNOWN"
@@ -57,15 +58,15 @@ def scoring_inputs(tickets: DataFrame) -> DataFrame:
     return with_columns(df, ["subject", "description"]).withColumn("_text", classifier_text())
 
 
-def classifier_inputs(tickets: DataFrame) -> DataFrame:
-    """Text and structured columns shared by the four tasks; persist it once."""
+def classifier_inputs(tickets: DataFrame, also: tuple[str, ...] = ()) -> DataFrame:
+    """Text and structured columns shared by the four tasks, and the columns ``also``; persist it once."""
     df = with_columns(scoring_inputs(tickets), CLASSIFIER_TASKS.values())
     keep = [f"{c}_code" for c in CLASSIFIER_CATEGORICAL]
     keep += [f"{c}_num" for c in CLASSIFIER_NUMERIC + CLASSIFIER_BOOLEAN]
     labels = {
         f"label_{t}": F.coalesce(F.col(c).cast("string"), F.lit(UNKNOWN_LABEL))
         for t, c in CLASSIFIER_TASKS.items()}
-    return df.withColumns(labels).select("ticket_id", "_text", *keep, *labels)
+    return df.withColumns(labels).select("ticket_id", "_text", *keep, *labels, *also)
 
 
 def feature_stages() -> list:
@@ -86,6 +87,25 @@ def fit_features(inputs: DataFrame) -> PipelineModel:
     return Pipeline(stages=feature_stages()).fit(inputs)
 
 
+def term_counts(inputs: DataFrame) -> DataFrame:
+    """``inputs`` with hashed term counts in place of the text, written once: fitting and encoding
+    read these few numbers and neither cut nor move the texts again."""
+    tokenizer, hashing = feature_stages()[:2]
+    return kept_aside(hashing.transform(tokenizer.transform(inputs)).drop("_text", "_tok"))
+
+
+def fit_counted(counted: DataFrame) -> PipelineModel:
+    """The model of ``fit_features`` from the rows of ``term_counts``."""
+    stages = feature_stages()
+    return PipelineModel(stages=[*stages[:2], *Pipeline(stages=stages[2:]).fit(counted).stages])
+
+
+def encode_counted(model: PipelineModel, counted: DataFrame) -> DataFrame:
+    """Identifier, features and labels of the rows of ``term_counts``, nothing else, written once."""
+    labels = [c for c in counted.columns if c.startswith("label_")]
+    return kept_aside(PipelineModel(stages=model.stages[2:]).transform(counted).select("ticket_id", "features", *labels))
+
+
 def category_codes(tickets: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """(feature, value, code): the values of each column numbered in alphabetical order."""
     columns = columns or CLASSIFIER_CATEGORICAL
@@ -152,7 +172,13 @@ def fit_task(train: DataFrame, task: str, trees: int = 50, depth: int = 8, seed:
     """One class-weighted forest for a task; ``train`` has ``features`` and labels."""
     label = f"label_{task}"
     weights = class_weights(train, label).select(label, "weight")
-    rows = train.select("features", label).join(weights, label)
+    # a row per class, whose names the indexer lists anyway; dealt by label, the rows of a class
+    # would be one task's, however many there are
+    # a row per class, whose names the indexer lists anyway; dealt by label, the rows of a class
+    # would be one task's, however many there are. Every part sends sums of all nodes of all trees,
+    # so there are no more parts than cores need
+    parts = max(train.sparkSession.sparkContext.defaultParallelism, -(-train.count() // PART_ROWS))
+    rows = train.select("features", label).join(F.broadcast(weights), label).coalesce(parts)
     indexer = StringIndexer(
         inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep").fit(rows)
     forest = RandomForestClassifier(
@@ -222,9 +248,11 @@ def fit_hours(tickets: DataFrame, trees: int = 200, depth: int = 5, step: float
               subsample: float = 0.8, seed: int = 42) -> PipelineModel:
     """Boosted trees on log1p(hours) of tickets with a positive resolution time."""
     ensure_checkpoint_dir(tickets.sparkSession)
-    rows = hours_inputs(tickets.filter(F.col("resolution_time_hours") > 0)).withColumn(
-        "_y", F.log1p("resolution_time_hours"))
     nums = [f"{c}_num" for c in HOURS_NUMERIC + HOURS_BOOLEAN] + ["hour_num"]
+    rows = hours_inputs(tickets.filter(F.col("resolution_time_hours") > 0)).select(
+        F.log1p("resolution_time_hours").alias("_y"), *[f"{c}_code" for c in HOURS_CATEGORICAL], *nums)
+    # each of a thousand passes takes as long as its largest part
+    rows = dealt(rows)
     return Pipeline(stages=[
         VectorAssembler(inputCols=[f"{c}_code" for c in HOURS_CATEGORICAL] + nums, outputCol="features"),
         GBTRegressor(labelCol="_y", featuresCol="features", predictionCol="_log_hours",

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from caselight.functions.expr import same
 
 SALTS = 32
+#: Rows of a part that ``dealt`` makes at most.
+PART_ROWS = 500_000
 #: Histogram sizes: buckets per e-fold of the first level, equal parts of the second.
 PER_EFOLD, PARTS = 256, 1 << 16
 
@@ -37,6 +39,16 @@ def top_n_per_group(
     )
 
 
+def dealt(df: DataFrame, most: int = PART_ROWS) -> DataFrame:
+    """``df`` in even parts of about ``most`` rows, at least one per core; as it is if no part is
+    larger. A scan can't split the row groups of a file, and later steps keep its parts."""
+    sizes = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n"))
+    largest, rows = sizes.agg(F.max("n"), F.sum("n")).first()
+    if (largest or 0) <= most:
+        return df
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // most)))
+
+
 def _first_level(v: Column) -> Column:
     """A monotone bucket number, relative to the value's size; a few hundred thousand at most."""
     return F.floor(F.signum(v) * F.log1p(F.abs(v) * F.lit(1e6)) * F.lit(float(PER_EFOLD))).cast("long")

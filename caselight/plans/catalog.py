@@ -11,7 +11,7 @@ from caselight.operators import (
     analytics, anomaly, bm25, drift, evaluation, features, fusion, graph, learning, lifecycle,
     quality, relabel, scoring, sketches, split, vector_index, vectors,
 )
-from caselight.operators.scale import top_n_per_group
+from caselight.operators.scale import dealt, top_n_per_group
 from caselight.plans import bindings as b, batch as jobs_batch
 from caselight.schemas import DRIFT_FEATURES
 from caselight.session import kept_aside, shared_dir
@@ -659,11 +659,10 @@ def ensemble_route(spark, d):
 
 def _split_features(spark, d):
     t = split.temporal_split(b.tickets_d(spark, d))
-    parts = {s: t.filter(F.col("data_split") == s) for s in ("train", "val", "test")}
-    train = learning.classifier_inputs(parts["train"])
-    model = learning.fit_features(train)
-    make = lambda p: kept_aside(model.transform(learning.classifier_inputs(p)))
-    return model, {s: make(p) for s, p in parts.items()}
+    counted = learning.term_counts(learning.classifier_inputs(t, ("data_split",)))
+    parts = {s: counted.filter(F.col("data_split") == s) for s in ("train", "val", "test")}
+    model = learning.fit_counted(parts["train"])
+    return model, {s: learning.encode_counted(model, p) for s, p in parts.items()}
 
 
 @register
@@ -906,9 +905,9 @@ def stream_last_n(spark, d):
 def stream_score(spark, d):
     """Primary and shadow forests of the older tickets on the stream of newer ones."""
     older, _ = week_windows(b.tickets_e(spark, d))
-    inputs = kept_aside(learning.classifier_inputs(older))
-    feats = learning.fit_features(inputs)
-    train = kept_aside(feats.transform(inputs))
+    counted = learning.term_counts(learning.classifier_inputs(dealt(older)))
+    feats = learning.fit_counted(counted)
+    train = learning.encode_counted(feats, counted)
     cut = older.agg(F.max("created_at")).first()[0]
 
     def model(trees: int, depth: int):

@@ -9,7 +9,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from caselight.operators import analytics, evaluation, learning, relabel
+from caselight.operators import analytics, evaluation, learning, relabel, scale
 from caselight.session import shared_dir
 from caselight.streaming import jobs
 
@@ -321,3 +321,75 @@ def test_shadow_scoring_on_a_stream(spark, stream_dir):
     log = jobs.scored(stream, say("A", .9), "m", "1", F.create_map(F.lit("x"), F.col("x").cast("string")), say("B", .8))
     row = jobs.run_append(log, "t-score").first()
     assert (row.predicted_category, row.confidence, row.shadow_category, row.agree) == ("A", .9, "B", False)
+
+
+def test_forest_rows_are_not_dealt_by_class(spark, make):
+    """One class or many: the rows stay in the parts they came in, with their class's weight."""
+    from unittest import mock
+
+    rows = [(str(i), "a" if i % 10 else "b", float(i % 7)) for i in range(400)]
+    df = make(rows, "ticket_id string, label_priority string, x double").repartition(4)
+    train = learning.kept_aside(learning.VectorAssembler(inputCols=["x"], outputCol="features").transform(df))
+    given = []
+    fit = learning.RandomForestClassifier.fit
+    with mock.patch.object(learning.RandomForestClassifier, "fit", lambda self, d: given.append(d) or fit(self, d)):
+        learning.fit_task(train, "priority", trees=2, depth=2)
+    sizes = [r["count"] for r in given[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 150
+    weights = {r[0]: r[1] for r in given[0].select("label_priority", "weight").distinct().collect()}
+    assert weights == {"a": 400 / (2 * 360), "b": 400 / (2 * 40)}
+
+
+def test_counted_features_equal_those_of_the_text(spark, make):
+    """Encoded from kept counts, rows have the same features and nothing wide beside them."""
+    df = make([("1", "disk full", "the disk is full"), ("2", "login", "no login since today"), ("3", None, None)],
+              "ticket_id string, subject string, description string")
+    inputs = learning.classifier_inputs(df)
+    plain = {r.ticket_id: r.features for r in learning.fit_features(inputs).transform(inputs).collect()}
+    counted = learning.term_counts(inputs)
+    model = learning.fit_counted(counted)
+    out = learning.encode_counted(model, counted)
+    assert {r.ticket_id: r.features for r in out.collect()} == plain
+    assert {r.ticket_id: r.features for r in model.transform(inputs).collect()} == plain
+    assert "_text" not in counted.columns and set(out.columns) == {"ticket_id", "features", *[f"label_{t}" for t in learning.CLASSIFIER_TASKS]}
+
+
+def test_boosted_trees_are_fitted_to_even_parts(spark, scored, monkeypatch):
+    """A file's single row group doesn't make one task do all passes."""
+    given = []
+    monkeypatch.setattr(learning, "dealt", lambda df: given.append(scale.dealt(df, 50)) or given[-1])
+    learning.fit_hours(scored.coalesce(1), trees=1, depth=2)
+    assert given[0].rdd.getNumPartitions() >= 8
+    assert not {"ticket_id", "created_at"} & set(given[0].columns)
+
+
+def test_large_chunk_is_written_by_several_tasks(spark, make, tmp_path, monkeypatch):
+    monkeypatch.setattr(relabel, "PROMPTS_PER_PART", 20)
+    rows = [(str(i), "Other", f"text {i}") for i in range(300)]
+    tickets = make(rows, "ticket_id string, category string, description string")
+    assert relabel.plan_labelling(tickets, str(tmp_path), 150) == 2
+    asked = spark.read.parquet(f"{tmp_path}/asked")
+    assert sorted(r.ticket_id for r in asked.select("ticket_id").collect()) == sorted(r[0] for r in rows)
+    for chunk in ("0", "1"):
+        assert len(list((tmp_path / "asked" / f"chunk={chunk}").glob("*.parquet"))) > 1
+
+
+def test_spot_check_parses_each_answer_once(spark, make):
+    """No filter is moved below the parsing, and only usable answers are drawn."""
+    good, bad = '{"priority": "high", "sentiment": "angry"}', "no answer"
+    rows = [(str(i), "Other", good if i % 3 else bad, "low", None, None) for i in range(60)] + [("x", "Other", None, None, None, None)]
+    a = make(rows, "ticket_id string, category string, raw string, priority string, subcategory string, customer_sentiment string")
+    out = relabel.spot_check(a, relabel.parse_answers(a), 50)
+    # twice in the text of a plan that parses once: whole answer and first braces
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parse_json") <= 4
+    assert sorted(r.ticket_id for r in out.collect()) == sorted(str(i) for i in range(60) if i % 3)
+
+
+def test_events_of_large_batches_come_in_several_files(spark, tmp_path):
+    from caselight.plans import bindings
+    rows = spark.range(200).selectExpr("id as event_id", "timestamp'2024-01-02 00:00:00' + make_interval(0,0,0,0,id) as ts")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    folder, each = bindings.event_files(spark, str(tmp_path), 4, 2, 40, file_rows=40)
+    assert each == 3
+    assert spark.read.parquet(folder).count() == 400 + sum(1 for i in range(200) if i % 50 and i < 24 * 6)
+    assert bindings.event_files(spark, str(tmp_path))[1] == 1

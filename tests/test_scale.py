@@ -122,3 +122,12 @@ def test_bucket_is_monotone(spark):
     got = [r.b for r in spark.createDataFrame([(v,) for v in vs], "v double").select(
         scale._first_level(F.col("v")).alias("b")).collect()]
     assert got == sorted(got)
+
+
+def test_dealt_makes_even_parts_of_large_ones_only(spark):
+    df = spark.range(1000).coalesce(1)
+    few = scale.dealt(df, 1000)
+    assert few is df
+    sizes = [r["count"] for r in scale.dealt(df, 100).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 10 and max(sizes) <= 150 and sum(sizes) == 1000
+    assert scale.dealt(spark.range(0), 10).count() == 0
