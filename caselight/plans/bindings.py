@@ -18,6 +18,8 @@ MOODS = ["angry", "frustrated", "anxious", "confused", "neutral", "satisfied", "
 EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
 LANGS = ["en", "fr", "de", "es"]
 SKILLS = ["network", "billing", "product"]
+#: Events of a file that one task writes and one reads.
+FILE_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,21 +98,26 @@ def tickets_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     }).drop("copy")
 
 
-def event_files(spark: SparkSession, sf_dir: str, n: int = 4, times: int = 1, shift_days: int = 0) -> str:
-    """The events written as ``n`` files, each over the whole time, for streams of many batches;
-    every event is delivered ``times`` times, each time dated ``shift_days`` later. Events of
-    the first week that have been delivered before come once more in a last file."""
+def event_files(spark: SparkSession, sf_dir: str, n: int = 4, times: int = 1, shift_days: int = 0,
+                file_rows: int = FILE_ROWS) -> tuple[str, int]:
+    """The events written for a stream of ``n`` batches, each over the whole time; every event is
+    delivered ``times`` times, each time dated ``shift_days`` later. Events of the first week that
+    have been delivered before come once more in a last batch. The folder, and the files of a
+    batch: one up to ``file_rows`` events, more beyond, as one task writes a file and one reads it."""
     base = shared_dir(spark, "event-files")
     events = table(spark, sf_dir, "events")
+    each = max(1, -(-events.count() * times // (n * file_rows)))
     if times > 1:
         events = events.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(times - 1))))
         later = F.make_dt_interval(days=F.col("_t") * shift_days)
         events = events.withColumn("ts", (F.col("ts").cast("timestamp") + later).cast(events.schema["ts"].dataType)).drop("_t")
-    events.repartition(n).write.parquet(base)
+    events.repartition(n * each).write.parquet(base)
     if times > 1:
         first = F.col("ts").cast("timestamp") < F.lit("2024-01-08").cast("timestamp")
-        events.filter(first & (F.col("event_id") % 50 != 0)).coalesce(1).write.mode("append").parquet(base)
-    return base
+        late = events.filter(first & (F.col("event_id") % 50 != 0))
+        late = late.repartition(each) if each > 1 else late.coalesce(1)
+        late.write.mode("append").parquet(base)
+    return base, each
 
 
 def tickets_d(spark: SparkSession, sf_dir: str) -> DataFrame:

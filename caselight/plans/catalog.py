@@ -843,8 +843,8 @@ def _event_stream(spark, d) -> DataFrame:
 
 def _event_batches(spark, d, times: int = 1, shift_days: int = 0) -> DataFrame:
     """The events in several micro-batches, each over the whole time, so most rows are late."""
-    files = b.event_files(spark, d, times=times, shift_days=shift_days)
-    return b.events_as_tickets(jobs.open_stream(spark, files, 1))
+    files, each = b.event_files(spark, d, times=times, shift_days=shift_days)
+    return b.events_as_tickets(jobs.open_stream(spark, files, each))
 
 
 @register
