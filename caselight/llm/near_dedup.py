@@ -27,6 +27,8 @@ from .superminhash import band_keys, signatures
 from .wordhash import U64, WordHashes, combine, sub_batches
 
 _HASHES = WordHashes()
+#: Shingles that are signed at once; each needs a permutation of all slots.
+SHINGLES = 40_000
 
 
 def shingle_set(text: bytes | None, size: int) -> np.ndarray:
@@ -48,7 +50,7 @@ def _sketch(size: int, slots: int, rows: int):
         sets = [shingle_set(t, size) for t in batch["text"].to_pylist()]
         lengths = [len(s) for s in sets]
         keys = []
-        for a, b in sub_batches(lengths, 150_000):
+        for a, b in sub_batches(lengths, SHINGLES):
             owner = np.repeat(np.arange(b - a), lengths[a:b])
             keys.append(band_keys(signatures(np.concatenate(sets[a:b]), owner, b - a, slots), rows))
         n_bands = slots // rows

@@ -60,3 +60,18 @@ def test_components_of_chains_and_stars(spark):
     out = {r["node"]: r["label"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert out == {i: 100 for i in range(100, 141)} | {k: 1 for k in range(1, 30)} | {60: 60, 61: 60}
     assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_few_shingles_are_signed_at_once(monkeypatch):
+    """The memory of a task is that of a part of its batch; parts don't change the keys."""
+    import pyarrow as pa
+    from caselight.llm import near_dedup as nd
+
+    texts = [" ".join(f"w{i}x{j}" for j in range(1000)).encode() for i in range(100)]
+    batch = pa.record_batch({"doc_id": pa.array(range(100), pa.int64()), "text": pa.array(texts, pa.binary())})
+    sizes, signed = [], nd.signatures
+    monkeypatch.setattr(nd, "signatures", lambda e, *rest: sizes.append(len(e)) or signed(e, *rest))
+    out = nd._sketch(5, 128, 4)(batch)
+    assert max(sizes) <= 40_000 and sum(sizes) == 100 * 996
+    monkeypatch.setattr(nd, "SHINGLES", 10**9)
+    assert nd._sketch(5, 128, 4)(batch).equals(out)
